@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, simhash
+from pagemill.llm import decontaminate, mixing, simhash, token_counts, tokens
 
 _ALL = {
     "op1_decontaminate": decontaminate,
+    "op4_mixing": mixing,
+    "op7_token_counts": token_counts,
+    "op8_token_output": tokens,
     "op10_simhash": simhash,
 }
 QUERIES = {name: module.query for name, module in _ALL.items()}
