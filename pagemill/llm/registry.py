@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, mixing, simhash, token_counts, tokens
+from pagemill.llm import decontaminate, mixing, quality, secrets, simhash, token_counts, tokens
 
 _ALL = {
     "op1_decontaminate": decontaminate,
+    "op3_quality": quality,
     "op4_mixing": mixing,
+    "op5_secrets": secrets,
     "op7_token_counts": token_counts,
     "op8_token_output": tokens,
     "op10_simhash": simhash,
