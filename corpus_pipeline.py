@@ -1,11 +1,51 @@
-"""The corpus pipeline (its stages follow as their operators are written)."""
+"""The corpus pipeline: what the quality classifier rejects goes, near-duplicates and benchmark leaks go, sources are mixed, tokens are written.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagemill.llm import common, decontaminate, mixing, quality, simhash, tokens
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of docs, scores at 0.3 or more."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = docs.columns
+    return quality.classify(docs, model, keep=names).where("predicted = 1").select(names)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less those with a twentieth or more of their words in benchmark windows."""
+    names = docs.columns
+    marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=names)
+    return marked.where("not contaminated").select(names)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix in the shared folder, read back: one row per record."""
+    return tokens.token_files(spark, docs)
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontaminate", uncontaminated), ("mix", mixed), ("tokens", token_files)]
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, function in STAGES:
+        docs = common.stage(function(spark, docs, sf_dir), name)
     return docs

@@ -176,7 +176,7 @@ def bucket_links(batches, ring: Ring):
 
 
 def cells(df: DataFrame, key: str, block: int, by: str) -> DataFrame:
-    """Adds cell: 0 for a bucket of up to `block` rows; rows of a larger one are dealt to blocks, and each pair of blocks is a cell.
+    """Adds cell: 0 for a bucket of up to `block` rows; rows of a larger one are dealt to blocks (own), and each pair of blocks is a cell.
 
     Two rows of a bucket meet in at least one cell, and no cell has much over two blocks.
     """
@@ -186,7 +186,7 @@ def cells(df: DataFrame, key: str, block: int, by: str) -> DataFrame:
     other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     df = df.withColumn("_other", other).withColumn("_own", F.coalesce(own, F.lit(-1)))
     cell = F.when(F.col("_blocks").isNull(), F.lit(0).cast("long")).otherwise(F.least("_own", "_other").cast("long") * F.lit(1 << 31) + F.greatest("_own", "_other"))
-    return df.withColumn("cell", cell).drop("_blocks", "_other", "_own")
+    return df.withColumn("cell", cell).withColumn("own", F.col("_own")).drop("_blocks", "_other", "_own")
 
 
 def fingerprint_links(fps: DataFrame, most: int) -> DataFrame:
@@ -202,7 +202,7 @@ def fingerprint_links(fps: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(start), pa.array(stored), pa.array(np.tile(fp.view(np.int64), many))], ["key", "start", "stored", "fp"])
 
     rows = fps.select("fp").mapInArrow(index, "key long, start byte, stored boolean, fp long")
-    rows = cells(rows, "key", BLOCK, "fp")
+    rows = cells(rows, "key", BLOCK, "fp").drop("own")
     rows = rows.repartition(partitions(spark), "key", "cell").sortWithinPartitions("key", "cell", "fp", "stored")
     return rows.mapInArrow(lambda batches: bucket_links(batches, ring), "a long, b long")
 
