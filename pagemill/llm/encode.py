@@ -17,10 +17,11 @@ class Encoder:
     """Encodes whole texts as the library does; pieces of up to 64 characters are encoded once and remembered.
 
     Texts with one of the tokenizer's added tokens, and tokenizers that aren't byte-level BPE with the usual pattern,
-    go through the library as they are. At most `most` pieces are remembered; then it starts anew.
+    go through the library as they are. At most twice `most` pieces are remembered: those met since
+    the last `most` new ones, and those met before.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
@@ -37,6 +38,7 @@ class Encoder:
         self.opens[[k for t, k in vocab.items() if t.startswith("\u0120")]] = True
         self.line = vocab.get("\u010a", -1)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spans: dict[str, tuple[bytes, bytes]] = {}
 
     @classmethod
@@ -81,10 +83,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [None if self._whole(t) else _PIECE.findall(t) for t in texts]
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        missing = list({p for some in pieces if some for p in some if p not in known})
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = list(set().union(*filter(None, pieces)).difference(known))
+        if older:
+            again = [p for p in missing if p in older]
+            known.update((p, older[p]) for p in again)
+            missing = list(set(missing).difference(again))
         for at in range(0, len(missing), 50_000):
             self._learn(missing[at : at + 50_000])
         out = [self._ids([t])[0] if some is None else b"".join(map(known.__getitem__, some)) for t, some in zip(texts, pieces, strict=True)]

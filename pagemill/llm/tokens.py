@@ -1,8 +1,8 @@
 """Token-id output: length-delimited binary records with masked checksums, and an offset index beside each file.
 
 A shard is a file of MAGIC and records. A record is its payload's length (8 bytes), that length's masked checksum (4),
-the payload, and the payload's masked checksum (4). A payload is a flag byte (1: the document has no id), the document's
-id (8 bytes, signed), and the token ids, 4 bytes each. All numbers are little-endian; a checksum is CRC-32 masked as
+the payload, and the payload's masked checksum (4). A payload is a flag byte (1: the document has no id; 2: ids of 2
+bytes, which records have whose ids allow it, else of 4), the document's id (8 bytes, signed), and the token ids. All numbers are little-endian; a checksum is CRC-32 masked as
 ((crc >> 15 | crc << 17) + MASK). Beside shard-N.bin, shard-N.idx has (offset, number of ids), 8 bytes each, by record,
 so that readers may take records in any order.
 """
@@ -65,12 +65,14 @@ def records(stream):
 
 
 def payload_of(doc: int | None, code: bytes) -> bytes:
-    return _ID.pack(doc is None, doc or 0) + code
+    ids = np.frombuffer(code, "<u4")
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return _ID.pack((doc is None) + 2 * small, doc or 0) + (ids.astype("<u2").tobytes() if small else code)
 
 
 def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
-    null, doc = _ID.unpack_from(payload)
-    return (None if null else doc), np.frombuffer(payload, "<u4", offset=_ID.size)
+    flags, doc = _ID.unpack_from(payload)
+    return (None if flags & 1 else doc), np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=_ID.size).astype("<u4")
 
 
 def read_at(uri: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]]:
