@@ -36,10 +36,12 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[k for t, k in vocab.items() if t.startswith("\u0120")]] = True
+        self.size = np.zeros(len(self.opens), np.int64)
+        for t, k in vocab.items():
+            self.size[k] = len(t.encode()) if t in self.added else len(t)
         self.line = vocab.get("\u010a", -1)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.spans: dict[str, tuple[bytes, bytes]] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -99,37 +101,22 @@ class Encoder:
                 del known[p]
         return out
 
-    def _cut(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        out = []
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-            out.append((spans[:, 0].tobytes(), spans[:, 1].tobytes()))
-        return out
-
     def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The character spans (starts, ends) of each text's tokens. Tokens of parts of a character span the character."""
-        pieces = [None if self._whole(t) else _PIECE.findall(t) for t in texts]
-        known = self.spans
-        if len(known) > self.most:
-            known.clear()
-        missing = list({p for some in pieces if some for p in some if p not in known})
-        for at in range(0, len(missing), 5000):
-            part = missing[at : at + 5000]
-            known.update(zip(part, self._cut(part), strict=True))
+        """The character spans (starts, ends) of each text's tokens. Tokens of parts of a character span the character.
+
+        Byte-level tokens follow each other byte for byte, so their spans are running sums of their lengths.
+        """
+        if not self.by_piece:
+            spans = [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [(x[:, 0], x[:, 1]) for x in spans]
         out = []
-        for t, some in zip(texts, pieces, strict=True):
-            if some is None:
-                a, b = self._cut([t])[0]
-                out.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
-                continue
-            got = [known[p] for p in some]
-            many = np.fromiter((len(a) // 8 for a, _ in got), np.int64, len(got))
-            size = np.fromiter(map(len, some), np.int64, len(some))
-            base = np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, many)
-            out.append((np.frombuffer(b"".join(a for a, _ in got), np.int64) + base, np.frombuffer(b"".join(b for _, b in got), np.int64) + base))
-        for p in missing:
-            if len(p) > _LONG:
-                del known[p]
+        for t, code in zip(texts, self.encode(texts), strict=True):
+            ends = np.cumsum(self.size[np.frombuffer(code, "<u4")])
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            if not t.isascii():
+                char = np.cumsum((np.frombuffer(t.encode(), np.uint8) & 0xC0) != 0x80) - 1
+                starts, ends = char[starts], char[ends - 1] + 1
+            out.append((starts, ends))
         return out
 
 
