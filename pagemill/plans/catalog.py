@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from pagemill.plans import scalar, sensitive, structure
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (sensitive, scalar, structure):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
