@@ -10,48 +10,62 @@ from pagemill.llm.common import stage, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 OUT = ["clean_text", "n_lines", "n_removed", "n_words_removed", "removed"]
-_none = "array<struct<h:bigint,p:int>>"
+
+
+def n_words(line: Column) -> Column:
+    """Words of a line between white space (space and \\x09-\\x0D); of most lines, from their single spaces alone."""
+    odd = line.contains("  ")
+    for c in "\t\x0b\f\r":
+        odd = odd | line.contains(c)
+    single = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1 - line.startswith(" ").cast("int") - line.endswith(" ").cast("int")
+    return F.when(line == "", 0).when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(single)
 
 
 def _same(a: Column, b: Column) -> Column:
-    """How many elements two arrays of (h, p) start with whose h are equal, one by one."""
-    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
+    """How many elements two arrays start with that are equal, one by one."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     at = F.array_position(equal, False)
     return F.when(at > 0, at - 1).otherwise(F.size(equal)).cast("int")
 
 
-def repeated_lines(lines: DataFrame, words: int) -> DataFrame:
-    """Lines (d, p) to delete, of lines (d, p, h, n): d the document in its order, p the line, h its hash, n > 0 its words.
+def repeated_lines(lines: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Lines to delete as runs (d, lo, hi) of lines (d, p, h, n): d the document in its order, p the line, h its hash, n > 0 its words.
 
     A gram is the fewest lines from one on that have `words` words. In each window of grams that start within `words`
     words, the one with the smallest hash is a fingerprint: two equal runs of lines of twice as many words share one,
     however the documents differ before and after. All later occurrences of a fingerprint are held against its first one
     in document order and extended both ways line by line; what then equals is deleted. Fingerprints of one run start at
-    most `words` words apart, so what an extension has to look at is bounded by 4 * words lines.
+    most `words` words apart, so an extension has fewer than `words` lines to look at before and 2 * words + 1 after.
+
+    Both sides of every join here grow with the corpus: they are merged at any size, never broadcast, and what a hot
+    fingerprint gathers adaptive execution may split.
+
+    Returns the runs, and the lines numbered by q, which lo and hi refer to.
     """
     doc = Window.partitionBy("d").orderBy("p")
-    t = lines.withColumn("off", F.sum("n").over(doc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    by_word = Window.partitionBy("d").orderBy("off").rangeBetween(0, words - 1)
-    here = F.struct("h", "p")
-    t = t.withColumn("gram", F.collect_list("h").over(by_word)).withColumn("total", F.sum("n").over(by_word))
+    upto = doc.rowsBetween(Window.unboundedPreceding, 0)
+    t = lines.withColumn("q", F.row_number().over(doc)).withColumn("off", F.sum("n").over(upto) - F.col("n"))
+    on, back = (Window.partitionBy("d").orderBy("off").rangeBetween(*r) for r in ((0, words - 1), (1 - words, 0)))
+    t = t.withColumn("gram", F.collect_list("h").over(on)).withColumn("total", F.sum("n").over(on))
     t = t.withColumn("g", F.when(F.col("total") >= words, F.xxhash64("gram"))).withColumn("long", F.size("gram")).drop("gram", "total")
-    t = t.withColumn("best", F.min(F.when(F.col("g").isNotNull(), F.struct("g", "p"))).over(by_word)["p"])
-    t = t.withColumn("after", F.collect_list(here).over(doc.rowsBetween(0, 4 * words)))
-    t = t.withColumn("before", F.reverse(F.collect_list(here).over(doc.rowsBetween(-4 * words, -1))))
+    t = t.withColumn("best", F.min(F.when(F.col("g").isNotNull(), F.struct("g", "q"))).over(on)["q"])
     # A line is chosen if it is the best of a window that starts at it or up to `words` words before.
-    back = Window.partitionBy("d").orderBy("off").rangeBetween(-(words - 1), 0)
-    t = t.withColumn("chosen", F.array_contains(F.collect_set("best").over(back), F.col("p")))
-    prints = stage(t.where("g is not null and chosen").select("d", "p", "g", "long", "after", "before"), "winnow")
-    first = prints.groupBy("g").agg(F.min(F.struct("d", "p")).alias("at"), F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("g").alias("g1"), "at")
-    source = prints.join(first, (prints["g"] == first["g1"]) & (F.struct("d", "p") == first["at"])).select(F.col("g").alias("g1"), F.col("d").alias("d1"), F.col("p").alias("p1"), F.col("after").alias("after1"), F.col("before").alias("before1"))
-    pairs = prints.join(source, prints["g"] == source["g1"]).where(F.struct("d", "p") != F.struct(F.col("d1"), F.col("p1")))
-    # Within one document the copies may touch: what precedes the later one is not taken back beyond the earlier one.
-    room = F.when(F.col("d") == F.col("d1"), F.col("p") - F.col("p1")).otherwise(F.lit(1 << 30))
+    t = t.withColumn("chosen", F.array_contains(F.collect_set("best").over(back), F.col("q")))
+    t = stage(t.select("d", "p", "q", "h", "n", F.when(F.col("chosen"), F.col("g")).alias("g"), "long"), "lines")
+
+    prints = t.where("g is not null").select("d", "q", "g", "long")
+    first = prints.groupBy("g").agg(F.min(F.struct("d", "q")).alias("at"), F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("g").alias("g1"), "at")
+    # Only lines round fingerprints that recur, and only in the documents that have them, are looked at again.
+    known = stage(prints.join(first.hint("merge"), prints["g"] == first["g1"]).select("d", "q", "g", "long", "at"), "recurring")
+    near = t.select("d", "q", "h").join(known.select("d").distinct().hint("merge"), "d", "left_semi")
+    by = Window.partitionBy("d").orderBy("q")
+    near = near.select("d", "q", F.collect_list("h").over(by.rowsBetween(0, 2 * words + 1)).alias("after"), F.reverse(F.collect_list("h").over(by.rowsBetween(-words, -1))).alias("before"))
+    known = stage(known.join(near.hint("merge"), ["d", "q"]), "context")
+    here = F.struct("d", "q") == F.col("at")
+    source = known.where(here).select(F.col("g").alias("g1"), F.col("after").alias("after1"), F.col("before").alias("before1"))
+    pairs = known.where(~here).join(source.hint("merge"), F.col("g") == F.col("g1"))
     pairs = pairs.withColumn("right", _same(F.col("after"), F.col("after1"))).where(F.col("right") >= F.col("long"))
-    pairs = pairs.withColumn("left", _same(F.col("before"), F.col("before1")))
-    near = F.filter(F.slice("before", 1, F.greatest(F.col("left"), F.lit(0))), lambda x: x["p"] > F.col("p") - room)
-    run = F.concat(F.transform(near, lambda x: x["p"]), F.transform(F.slice("after", 1, F.col("right")), lambda x: x["p"]))
-    return pairs.select("d", F.array_min(run).alias("lo"), F.array_max(run).alias("hi")).distinct()
+    return pairs.select("d", (F.col("q") - _same(F.col("before"), F.col("before1"))).alias("lo"), (F.col("q") + F.col("right") - 1).alias("hi")).distinct(), t
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 25, keep: list[str] | None = None) -> DataFrame:
@@ -71,17 +85,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`")
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"))
     split = F.split(text, "\n", -1)
-    count = F.regexp_count(F.col("line"), F.lit(WORD))
+    count = n_words(F.col("line"))
     lines = docs.where(text.isNotNull()).select(key.alias("d"), F.posexplode(split).alias("p", "line")).select("d", "p", F.xxhash64("line").alias("h"), count.cast("long").alias("n")).where("n > 0")
-    # Equal rows are one document.
-    lines = stage(lines.groupBy("d", "p").agg(F.any_value("h").alias("h"), F.any_value("n").alias("n")), "lines")
-    runs = repeated_lines(lines, words)
-    gone = runs.select("d", F.explode(F.sequence("lo", "hi")).alias("p")).distinct()
-    sized = gone.join(lines.select("d", "p", "n"), ["d", "p"], "left")
-    gone = sized.groupBy(F.col("d").alias("d2")).agg(F.array_sort(F.collect_list("p")).alias("removed"), F.sum(F.coalesce("n", F.lit(0))).alias("n_words_removed"))
+    # Equal rows are one document. All windows go by d, which the lines are dealt by once.
+    lines = lines.repartition("d").groupBy("d", "p").agg(F.any_value("h").alias("h"), F.any_value("n").alias("n"))
+    runs, numbered = repeated_lines(lines, words)
+    gone = runs.select("d", F.explode(F.sequence("lo", "hi")).alias("q"), "hi").groupBy("d", "q").agg(F.max("hi").alias("hi"))
+    # A line goes with the lines without words up to the next line of its run.
+    after = F.lead("p").over(Window.partitionBy("d").orderBy("q"))
+    placed = numbered.select("d", "q", "p", "n").join(gone.select("d").distinct().hint("merge"), "d", "left_semi").withColumn("end", after)
+    placed = placed.join(gone.hint("merge"), ["d", "q"]).withColumn("line", F.explode(F.sequence("p", F.when(F.col("q") < F.col("hi"), F.col("end") - 1).otherwise(F.col("p")))))
+    gone = placed.groupBy(F.col("d").alias("d2")).agg(F.array_sort(F.collect_list("line")).alias("removed"), F.sum(F.when(F.col("line") == F.col("p"), F.col("n")).otherwise(0)).alias("n_words_removed"))
     gone = stage(gone, "repeated")
     out = src.withColumn("_d", key)
-    out = out.join(gone, out["_d"] == gone["d2"], "left")
+    out = out.join(gone.hint("merge"), out["_d"] == gone["d2"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed"))
     clean = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.transform(rest, lambda i: F.element_at(split, i + 1)), "\n"))
