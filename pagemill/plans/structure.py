@@ -56,7 +56,7 @@ _over_pages("flt_rotate", lambda p: pages.rotate_pages(p.withColumn("rotate", (F
 _over_pages("src_page_index", lambda p: p.where("page_index = 3"), "SELECT * FROM p WHERE page_index = 3")
 _over_pages("set_split", lambda p: pages.split(p), "SELECT doc_id, 0 AS page_index, role, n, doc_id || '-' || page_index AS part, page_index AS source_page FROM p")
 _over_pages("set_merge", lambda p: pages.merge(p, [5, 1, 3], -1), "SELECT CAST(-1 AS BIGINT) AS doc_id, CAST(row_number() OVER (ORDER BY list_position([5, 1, 3], doc_id), page_index) - 1 AS BIGINT) AS page_index, doc_id AS source_doc, page_index AS source_page, role, n FROM p WHERE doc_id IN (5, 1, 3)")
-_over_pages("set_outline_rebase", lambda p: pages.rebase_outline(p.where("page_index = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, -1).otherwise(F.col("page_index")).cast("int").alias("page_index"), "role"), pages.document_offsets(p.where("doc_id < 20").withColumn("_at", F.col("doc_id")))), "SELECT a.doc_id, a.role, CAST(CASE WHEN a.doc_id % 3 = 0 THEN -1 ELSE (SELECT count(*) FROM p b WHERE b.doc_id < a.doc_id) END AS BIGINT) AS page_index FROM p a WHERE a.page_index = 0 AND a.doc_id < 20")
+_over_pages("set_outline_rebase", lambda p: pages.rebase_outline(p.where("page_index = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, -1).otherwise(F.col("page_index")).cast("int").alias("page_index"), "role"), pages.document_offsets(p.withColumn("_at", F.col("doc_id")))), "SELECT doc_id, role, CAST(CASE WHEN doc_id % 3 = 0 THEN -1 ELSE before END AS BIGINT) AS page_index FROM (SELECT *, count(*) OVER (ORDER BY doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) WHERE page_index = 0")
 _PICKS = ("pos int, doc_id long, page_index int", [(0, 2, 1), (1, 1, 0), (2, 2, 1), (3, 7, 0), (4, 1, 1)])
 _add("set_assemble", lambda s, d: pages.assemble(_pages(s, d), _rows(s, *_PICKS), -1), f"WITH {_PAGES}, k AS (SELECT * FROM {_sql_rows(*_PICKS)}), f AS (SELECT doc_id, row_number() OVER (ORDER BY min(pos)) - 1 AS copy FROM k GROUP BY doc_id) SELECT CAST(-1 AS BIGINT) AS doc_id, pos AS page_index, k.doc_id AS source_doc, k.page_index AS source_page, CAST(copy AS INT) AS copy, role, n FROM k JOIN p ON p.doc_id = k.doc_id AND p.page_index = k.page_index JOIN f ON f.doc_id = k.doc_id")
 
@@ -71,7 +71,7 @@ _over_pages("ord_booklet", lambda p: pages.booklet(p), "SELECT a.doc_id, a.page_
 _over_pages("ord_bates", lambda p: p.select("doc_id", "page_index", *[num.label(num.page_value(F.col("page_index"), 98, mode), "B-", "-Z", 3).alias(mode) for mode in ("number", "skip", "renumber")]), "SELECT doc_id, page_index, 'B-' || lpad(CAST(98 + page_index AS VARCHAR), CAST(greatest(3, length(CAST(98 + page_index AS VARCHAR))) AS INT), '0') || '-Z' AS number, CASE WHEN page_index > 0 THEN 'B-' || lpad(CAST(98 + page_index AS VARCHAR), CAST(greatest(3, length(CAST(98 + page_index AS VARCHAR))) AS INT), '0') || '-Z' END AS skip, CASE WHEN page_index > 0 THEN 'B-' || lpad(CAST(97 + page_index AS VARCHAR), CAST(greatest(3, length(CAST(97 + page_index AS VARCHAR))) AS INT), '0') || '-Z' END AS renumber FROM p")
 _over_pages("ord_paginate", lambda p: pages.paginate(p.withColumn("at", F.col("page_index").cast("long")).withColumn("h", F.lit(30.0)), "doc_id", "at", "h", 100.0).select("doc_id", "at", "page", "y"), "SELECT doc_id, CAST(page_index AS BIGINT) AS at, CAST(page_index // 3 AS INT) AS page, (page_index % 3) * 30.0::DOUBLE AS y FROM p")
 _over_pages("aut_table", lambda p: pages.paginate(p.withColumn("at", F.col("page_index").cast("long")).withColumn("h", F.lit(30.0)), "doc_id", "at", "h", 100.0, repeat=40.0).groupBy("doc_id").agg((F.max("page") + 1).alias("pages")), "SELECT doc_id, CAST(CASE WHEN count(*) <= 3 THEN 1 ELSE 1 + ceil((count(*) - 3) / 2.0) END AS INT) AS pages FROM p GROUP BY doc_id")
-_over_pages("aut_headerfooter", lambda p: pages.header_footer(p.select("doc_id", "page_index", "role"), {"top-left": F.col("role"), "top-center": F.lit(""), "bottom-right": num.template("{page:roman}/{total}", F.col("page_index") + 1, F.lit(9))}).where("page_index < 3"), "SELECT doc_id, page_index, role, 'top-left' AS slot, role AS text FROM p WHERE page_index < 3 UNION ALL SELECT doc_id, page_index, role, 'bottom-right', ['i', 'ii', 'iii'][page_index + 1] || '/9' FROM p WHERE page_index < 3")
+_over_pages("aut_headerfooter", lambda p: pages.header_footer(p.select("doc_id", "page_index", "role"), {"top-left": F.col("role"), "top-center": F.lit(""), "bottom-right": num.template("{page}/{total}", F.col("page_index") + 1, F.lit(9))}), "SELECT doc_id, page_index, role, 'top-left' AS slot, role AS text FROM p UNION ALL SELECT doc_id, page_index, role, 'bottom-right', CAST(page_index + 1 AS VARCHAR) || '/9' FROM p")
 _over_pages("set_pipeline", lambda p: p.transform(lambda x: pages.delete_pages(x, [0])).transform(lambda x: pages.page_range(x, 0, 2)), "SELECT doc_id, CAST(page_index - 1 AS INT) AS page_index, role, n FROM p WHERE page_index BETWEEN 1 AND 2")
 
 _CONTENT = ("doc_id long, page_index int, z int, payload string, stamp string", [(1, 0, 0, "a", None), (1, 0, 1, "b", "draft"), (1, 1, 0, "c", None), (2, 0, 5, "d", "final")])
@@ -95,7 +95,7 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEX = "SELECT CAST(1 AS BIGINT) AS doc_id, o_custkey AS obj_no, o_orderkey AS revision, o_orderkey % 2 = 0 AS is_xrefstm, CASE WHEN o_orderstatus = 'F' THEN 'free' ELSE 'offset' END AS kind FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"
 _add("src_xref_merge", _latest, _INDEX)
 _add("sink_incremental", lambda s, d: objects.live(_latest(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), f"SELECT kind, count(*) AS n FROM ({_INDEX}) WHERE kind <> 'free' GROUP BY kind")
-_add("join_resolve", lambda s, d: objects.resolve(s.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1").select((F.col("l_orderkey") + 5).alias("o_orderkey"), "l_partkey"), s.read.parquet(f"{d}/orders.parquet"), ["o_orderkey"], ["o_custkey"]), "SELECT l_orderkey + 5 AS o_orderkey, l_partkey, o_custkey FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey + 5 WHERE l_linenumber = 1")
+_add("join_resolve", lambda s, d: objects.resolve(s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") + 5).alias("o_orderkey"), "l_partkey"), s.read.parquet(f"{d}/orders.parquet"), ["o_orderkey"], ["o_custkey"]), "SELECT l_orderkey + 5 AS o_orderkey, l_partkey, o_custkey FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey + 5")
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
