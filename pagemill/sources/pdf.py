@@ -220,8 +220,12 @@ class Pdf:
                 if kind != "number":
                     break
                 count = p.next()[1]
+                if not isinstance(first, int) or not isinstance(count, int):
+                    raise Malformed("an index section is no numbers")
                 for k in range(count):
                     offset, gen, kind_ = p.next()[1], p.next()[1], p.next()[1]
+                    if not isinstance(offset, int) or not isinstance(gen, int):
+                        raise Malformed("an index entry is no numbers")
                     entries.setdefault(first + k, Entry("offset" if kind_ == "n" else "free", offset, gen, revision, hybrid))
             self.sections.append((revision, entries))
             trailer = p.value()
@@ -585,19 +589,20 @@ def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: s
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(width + 1)], schema=arrow)
+
     def read(batches):
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
                 try:
                     if data is None or len(data) > most_bytes:
                         raise Malformed("no content" if data is None else "too large")
-                    out = [(doc, *r) for r in _rows(what, data)]
+                    out = made([(doc, *r) for r in _rows(what, data)])
                 except Exception as e:  # any damage is this row's error
-                    if what == "documents":
-                        out = [(doc, None, None, None, None, None, [], f"{type(e).__name__}: {e}")]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], arrow.field(k).type) for k in range(width + 1)], schema=arrow)
+                    out = made([(doc, None, None, None, None, None, [], f"{type(e).__name__}: {e}")] if what == "documents" else [])
+                if out.num_rows:
+                    yield out
 
     return files.select(F.col(id_col), F.col(content_col)).mapInArrow(read, schema)
 
