@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.common import without
+from pagemill.llm.encode import groups
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -207,21 +208,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "item_id", it
 
     def match(batches):
         for batch in batches:
-            docs = [words_of(t) for t in _texts(batch, "_t")]
-            hit: list = [None] * len(docs)
-            found: list[list[str]] = [[] for _ in docs]
-            for shared in indexes:
-                index = shared.value
-                for i, words in enumerate(docs):
-                    inside, items = index.hits(words)
-                    if len(items):
-                        hit[i] = inside if hit[i] is None else hit[i] | inside
-                        found[i] += [index.names[k] for k in items]
-                if len(indexes) > 1:
-                    del shared._value  # one block in memory at a time
-            n_hit = np.array([0 if h is None else int(h.sum()) for h in hit], np.int64)
-            n_words = np.array([len(x) for x in docs], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words), pa.array(n_hit), pa.array([len(set(x)) for x in found], pa.int64()), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())), pa.array((n_hit > 0) & (n_hit >= share * n_words))], schema.fieldNames())
+            texts = _texts(batch, "_t")
+            n_words, n_hit, names = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+            for a, b in groups([t or b"" for t in texts], 1_000_000):  # the words of a few texts in memory at once
+                docs = [words_of(t) for t in texts[a:b]]
+                hit: list = [None] * len(docs)
+                found: list[list[str]] = [[] for _ in docs]
+                for shared in indexes:
+                    index = shared.value
+                    for i, words in enumerate(docs):
+                        inside, items = index.hits(words)
+                        if len(items):
+                            hit[i] = inside if hit[i] is None else hit[i] | inside
+                            found[i] += [index.names[k] for k in items]
+                    if len(indexes) > 1:
+                        del shared._value  # one block in memory at a time
+                n_words[a:b] = [len(x) for x in docs]
+                n_hit[a:b] = [0 if h is None else int(h.sum()) for h in hit]
+                names += [sorted(set(x)) for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array((n_hit > 0) & (n_hit >= share * n_words))], schema.fieldNames())
 
     return src.mapInArrow(match, schema)
 
