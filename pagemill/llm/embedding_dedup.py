@@ -181,14 +181,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     listed = nodes.select("hi", "lo", "n", "v").mapInArrow(list_decode, "key long, dim int, hi long, lo long, n long, vec binary, filters binary")
     listed = cells(listed, "key", BLOCK, "hi").repartition(partitions(vectors.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "dim", "hi", "lo")
     links = stage(listed.mapInArrow(lambda batches: _links(batches, least), _IDS), "cosines")
-    a, b = F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")), F.struct(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
-    roots = components(links.where("b_hi is not null").select(a.alias("a"), b.alias("b")))
+    # Nodes are ordered by their smallest id, so that a component's root has the component's id, and no table of
+    # components has to be joined back to all of a large one's members.
+    key = nodes.select("hi", "lo", F.struct(F.col("low").isNull().alias("no"), "low", "hi", "lo").alias("k"))
+    pairs = links.where("b_hi is not null")
+    for side in "ab":
+        k = key.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("k").alias(side))
+        pairs = pairs.join(k, (F.col(f"{side}_hi") == k["_hi"]) & (F.col(f"{side}_lo") == k["_lo"])).drop("_hi", "_lo")
+    roots = components(pairs.select("a", "b")).select(F.col("node.hi").alias("r_hi"), F.col("node.lo").alias("r_lo"), F.col("root.low").alias("component_id"), F.lit(True).alias("found"))
     direct = links.where("b_hi is null").groupBy("a_hi", "a_lo").agg(F.sum("links").alias("links"))
     node = nodes.select("hi", "lo", "low", "n")
-    node = node.join(direct, (node["hi"] == direct["a_hi"]) & (node["lo"] == direct["a_lo"]), "left").join(roots.select(F.col("node.hi").alias("r_hi"), F.col("node.lo").alias("r_lo"), "root"), (F.col("hi") == F.col("r_hi")) & (F.col("lo") == F.col("r_lo")), "left")
-    node = node.select("hi", "lo", "low", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", F.struct("hi", "lo")).alias("root"))
-    lows = node.groupBy("root").agg(F.min("low").alias("component_id"))
-    node = stage(node.join(lows, "root").select("hi", "lo", "n_links", "component_id"), "components")
+    node = node.join(direct, (node["hi"] == direct["a_hi"]) & (node["lo"] == direct["a_lo"]), "left").join(roots, (F.col("hi") == F.col("r_hi")) & (F.col("lo") == F.col("r_lo")), "left")
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("low"))
+    node = stage(node.select("hi", "lo", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id")), "components")
     drop_staged(links)
     out = rows.drop("_v").join(node, (F.col("_hi") == node["hi"]) & (F.col("_lo") == node["lo"]), "left")
     component = F.when(F.col("_hi").isNull(), F.col("_id")).otherwise(F.col("component_id"))
