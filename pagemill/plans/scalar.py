@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import calculator as calc
 from pagemill.functions import formcalc as fc
 from pagemill.functions import geometry as geo
+from pagemill.functions import jsengine
 from pagemill.functions import numbering as num
 from pagemill.functions import script as js
 
@@ -73,6 +74,7 @@ def _loops(spark: SparkSession, sf_dir: str):
 QUERIES["fn_fc_loops"] = _loops
 ORACLES["fn_fc_loops"] = "SELECT p_partkey, CAST(p_size * (p_size + 1) * (2 * p_size + 1) / 6 AS DOUBLE) AS squares FROM part"
 
+_part("fn_js_exec", a=(lambda: jsengine.script_udf("var t = ''; for (var i = 0; i < p_size % 4; i++) { t += p_name.charAt(i); } t.length > 0 ? t : 'none'", "p_name", "p_size"), "CASE WHEN p_size % 4 = 0 THEN 'none' ELSE substr(p_name, 1, p_size % 4) END"))
 _part("fn_js_global", a=(lambda: js.to_int(price() / 7 - 100), "trunc(p_retailprice / 7 - 100)"), b=(lambda: js.is_nan(name()), "true"), c=(lambda: js.boolean_of(name()), "length(p_name) > 0"), d=(lambda: js.string_of(size()), "CAST(p_size AS VARCHAR)"))
 _part("fn_js_math", a=(lambda: F.floor(price() / 7).cast("double"), "floor(p_retailprice / 7)"), b=(lambda: F.ceil(price() / 7).cast("double"), "ceil(p_retailprice / 7)"), c=(lambda: js.js_round(size() / 2), "round(p_size / 2.0::DOUBLE, 0)"), d=(lambda: js.js_sqrt(size()), "sqrt(p_size::DOUBLE)"), e=(lambda: js.trunc(-size() / 3) + 0.0, "trunc(-p_size / 3.0::DOUBLE) + 0.0"), f=(lambda: F.pow(size(), lit(2.0)), "pow(p_size::DOUBLE, 2)"))
 _part("fn_js_string", a=(lambda: js.js_substr(name(), lit(-3), lit(2)), "substr(p_name, greatest(length(p_name) - 3, 0) + 1, 2)"), b=(lambda: js.js_substring(name(), lit(5), lit(2)), "substr(p_name, 3, 3)"), c=(lambda: js.char_at(name(), lit(1)), "substr(p_name, 2, 1)"), d=(lambda: js.index_of(name(), lit("e")), "CAST(instr(p_name, 'e') - 1 AS INT)"), e=(lambda: js.replace_first(name(), lit("a"), lit("(.)")), "CASE WHEN instr(p_name, 'a') > 0 THEN substr(p_name, 1, instr(p_name, 'a') - 1) || '(.)' || substr(p_name, instr(p_name, 'a') + 1) ELSE p_name END"), f=(lambda: js.split_first(name(), lit(" ")), "split_part(p_name, ' ', 1)"))

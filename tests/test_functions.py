@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill.functions import calculator, codecs, formcalc, geometry, numbering, validators
+from pagemill.functions import calculator, codecs, formcalc, geometry, jsengine, numbering, validators
 from pagemill.operators import detection, objects, pages, search
 from pagemill.sources import pdf, writer
 from pagemill.streaming import ingest
@@ -178,3 +178,20 @@ def test_streaming_files(spark, tmp_path):
     run()
     assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["one a@b.cc", "two"]
     assert detection.findings(pdf.relation(pdf.read_files(spark, f"{tmp_path}/in"), "fragments").select("doc_id", "text"), detection.GENERAL).count() == 1
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("var t = 0; for (var i = 1; i <= 4; i++) { if (i == 3) continue; t += i; } t", 7.0), ("'a' + 1 + 2", "a12"), ("1 + 2 * 3 - 4 / 2", 5.0), ("x > 2 ? 'big' : 'small'", "big"), ("'Hello'.substr(-3, 2)", "ll"), ("'Hello'.substring(4, 1)", "ell"),
+    ("'a-b-c'.split('-')", "a"), ("'aXbX'.replace('X', '.')", "a.bX"), ("Math.round(-2.5)", -3.0), ("Math.max(1, x, 3)", 5.0), ("parseInt('12.9') + Number('1')", 13.0), ("isNaN('q')", True), ("null == 0 || 'else'", "else"), ("'abc'.toUpperCase().charAt(1)", "B"),
+    ("var n = 0; while (true) { n++; if (n > 9) break; } n", 10.0), ("if (x === '5') { return 1; } return 2;", 2.0), ("name.length", 3.0), ("'abc'[2]", "c"), ("-x % 3", -2.0), ("!0 && 'y'", "y"), ("// note\n'a' /* b */ + 'c'", "ac"), ("1 / 0", math.inf),
+])
+def test_small_javascript(source, want):
+    assert jsengine.run(source, {"x": 5, "name": "abc"})[0] == want
+
+
+def test_javascript_ends(spark):
+    for bad in ("while (1) {}", "f(1)", "(" * 300, "1 = 2", "{"):
+        with pytest.raises(formcalc.ScriptError):
+            jsengine.run(bad, {})
+    d = spark.createDataFrame([(2.0, "b"), (None, "c")], "n double, s string")
+    assert [r.v for r in d.select(jsengine.script_udf("s + n * 2", "n", "s").alias("v")).collect()][0] == "b4"
