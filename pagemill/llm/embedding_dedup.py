@@ -13,8 +13,10 @@ from pagemill.llm.common import components, drop_staged, partitions, stage, with
 from pagemill.llm.simhash import cells
 
 OUT = ["n_links", "component_id", "kept"]
-#: Filters a random vector exceeds on average, and those it is in at least (its best ones).
-LISTED, LEAST = 12, 6
+#: The share of pairs exactly at the least cosine that shall have a filter in common, whatever the number of vectors; and the random pairs it is measured on.
+RECALL, TRIED = 0.98, 1000
+#: Filters a random vector exceeds on average, to begin with; as many more are taken as RECALL needs.
+LISTED = 12
 #: Vectors of one bucket that are compared in one go; larger buckets are cut into blocks, each pair of blocks by itself.
 BLOCK = 2048
 _IDS = "a_hi long, a_lo long, b_hi long, b_lo long, links long"
@@ -23,14 +25,21 @@ _IDS = "a_hi long, a_lo long, b_hi long, b_lo long, links long"
 class Caps:
     """Filter directions: after a random rotation, a code word of each half's codebook, side by side.
 
-    The codebooks grow with the square root of the number of vectors, so that buckets stay as large as they are. A
-    vector is in all filters whose direction it exceeds by `height`, and in its LEAST best ones in any case.
+    The codebooks grow with the square root of the number of vectors and of filters a vector is in, so that buckets stay
+    as large as they are. A vector is in all filters whose direction it exceeds by `height`, which `listed` are on
+    average, and in half as many, its best ones, in any case. Larger codebooks' filters are narrower, so that a pair
+    needs more of them: listed, if not given, is the smallest number tried that finds RECALL of random pairs at cosine `least`.
     """
 
-    def __init__(self, dim: int, rows: int, seed: int = 11):
+    def __init__(self, dim: int, rows: int, least: float = 0.95, listed: int | None = None, seed: int = 11):
+        self._build(dim, rows, listed or LISTED, seed)
+        while listed is None and self.recall(least) < RECALL and self.listed < self.words**2:
+            self._build(dim, rows, self.listed * 5 // 4, seed)
+
+    def _build(self, dim: int, rows: int, listed: int, seed: int) -> None:
         rng = np.random.default_rng([seed, dim])
-        self.dim = max(2, dim)
-        self.words = int(min(8192, max(8, np.ceil(np.sqrt(rows / 4)))))
+        self.dim, self.listed, self.best = max(16, dim), listed, listed // 2  # short vectors lie in more dimensions, as halves of few have few directions
+        self.words = int(min(8192, max(8, np.ceil(np.sqrt(rows * listed / (4 * LISTED))))))
         self.turn = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0][:dim]
         cut = self.dim // 2
         self.books = []
@@ -38,7 +47,23 @@ class Caps:
             book = rng.standard_normal((self.words, size))
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True) / np.sqrt(2))
         self.cut = cut
-        self.height = NormalDist().inv_cdf(1 - min(0.5, LISTED / self.words**2)) / np.sqrt(self.dim)
+        self.height = NormalDist().inv_cdf(1 - min(0.5, listed / self.words**2)) / np.sqrt(self.dim)
+
+    def recall(self, cosine: float, pairs: int = TRIED, seed: int = 5) -> float:
+        """The share of random pairs of unit vectors at this cosine that have a filter in common."""
+        dim = len(self.turn)
+        if dim < 2:  # all of one direction are equal
+            return 1.0
+        rng = np.random.default_rng(seed)
+        a, b = rng.standard_normal((2, pairs, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        b = cosine * a + np.sqrt(max(0.0, 1 - cosine**2)) * b
+        found = 0
+        for at in range(0, pairs, 250):
+            found += sum(len(np.intersect1d(p, q, assume_unique=True)) > 0 for p, q in zip(self.decode(a[at : at + 250]), self.decode(b[at : at + 250]), strict=True))
+        return found / pairs
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """The filters of each unit vector, ascending."""
@@ -49,10 +74,10 @@ class Caps:
         out = []
         for i in range(len(x)):
             # Rows of the sorted grid of sums while their best sum exceeds; in each, columns as far as they exceed.
-            a = max(LEAST, int(np.searchsorted(-top[0][i], -(self.height - top[1][i, 0]), "right")))
-            b = max(LEAST, int(np.searchsorted(-top[1][i], -(self.height - top[0][i, 0]), "right")))
+            a = max(self.best, int(np.searchsorted(-top[0][i], -(self.height - top[1][i, 0]), "right")))
+            b = max(self.best, int(np.searchsorted(-top[1][i], -(self.height - top[0][i, 0]), "right")))
             sums = top[0][i, :a, None] + top[1][i, None, :b]
-            least = np.partition(sums.ravel(), -LEAST)[-LEAST] if sums.size > LEAST else -np.inf
+            least = np.partition(sums.ravel(), -self.best)[-self.best] if sums.size > self.best else -np.inf
             k, m = np.nonzero(sums >= min(self.height, least))
             out.append(np.sort(by[0][i, k].astype(np.int64) * self.words + by[1][i, m]))
         return out
@@ -94,7 +119,7 @@ def _bucket(key: int, diagonal: bool, own: np.ndarray, size: np.ndarray, x: np.n
             close &= own[at : at + 256, None] != own
         i, j = np.nonzero(close)
         i += at
-        for part in np.array_split(np.arange(len(i)), len(i) // 20_000 + 1):
+        for part in np.array_split(np.arange(len(i)), len(i) * wide**2 // 50_000_000 + 1):
             a, b = lists[i[part]], lists[j[part]]
             earlier = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
             p, q = i[part][~earlier], j[part][~earlier]
@@ -141,8 +166,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Adds n_links, component_id and kept to each vector: links are pairs of cosine >= `least`, in double precision.
 
     Equal vectors are one node with a weight, so that copies make no pairs, and link with each other. Other pairs are
-    found where both vectors exceed a filter (see Caps; tests measure the recall against brute force) and verified by
-    their cosine; none below `least` links. n_links counts the other vectors linked directly, component_id is the
+    found where both vectors exceed a filter (see Caps: RECALL of the pairs exactly at `least`, more of closer ones, at
+    any number of vectors) and verified by their cosine; none below `least` links. n_links counts the other vectors linked directly, component_id is the
     smallest id reachable, kept says whether a vector is that one.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do vectors of
@@ -160,6 +185,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = stage(rows.where("_hi is not null").groupBy(F.col("_hi").alias("hi"), F.col("_lo").alias("lo")).agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n"), F.any_value("_v").alias("v")), "vectors")
     many = nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     sizes = {r["dim"]: r["n"] for r in many.collect()}  # one row for each vector length
+    listed = {dim: Caps(dim, n, least).listed for dim, n in sizes.items()}
 
     def list_decode(batches):
         caps: dict[int, Caps] = {}
@@ -168,7 +194,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             dims = np.array([len(r) // 8 for r in vec])
             for dim in np.unique(dims).tolist():
                 at = np.nonzero(dims == dim)[0]
-                cap = caps.setdefault(dim, Caps(dim, sizes[dim]))
+                cap = caps.setdefault(dim, Caps(dim, sizes[dim], least, listed[dim]))
                 for part in np.array_split(at, len(at) // 1024 + 1):
                     if not len(part):
                         continue
@@ -178,9 +204,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     took = batch.take(pa.array(rep))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.full(len(rep), dim, np.int32)), took.column("hi"), took.column("lo"), took.column("n"), pa.array([vec[i] for i in rep]), pa.array([text[i] for i in rep.tolist()])], ["key", "dim", "hi", "lo", "n", "vec", "filters"])
 
-    listed = nodes.select("hi", "lo", "n", "v").mapInArrow(list_decode, "key long, dim int, hi long, lo long, n long, vec binary, filters binary")
-    listed = cells(listed, "key", BLOCK, "hi").repartition(partitions(vectors.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "dim", "hi", "lo")
-    links = stage(listed.mapInArrow(lambda batches: _links(batches, least), _IDS), "cosines")
+    decoded = nodes.select("hi", "lo", "n", "v").mapInArrow(list_decode, "key long, dim int, hi long, lo long, n long, vec binary, filters binary")
+    decoded = cells(decoded, "key", BLOCK, "hi").repartition(partitions(vectors.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "dim", "hi", "lo")
+    links = stage(decoded.mapInArrow(lambda batches: _links(batches, least), _IDS), "cosines")
     # Nodes are ordered by their smallest id, so that a component's root has the component's id, and no table of
     # components has to be joined back to all of a large one's members.
     key = nodes.select("hi", "lo", F.struct(F.col("low").isNull().alias("no"), "low", "hi", "lo").alias("k"))

@@ -142,3 +142,9 @@ def test_embeddings(spark, monkeypatch):
         assert (out[1004].n_links, out[1005].n_links, out[1005].component_id, out[1005].kept) == (2, 2, 1004, False)
     empty = spark.createDataFrame([], T.StructType.fromDDL("vec_id long, embedding array<float>"))
     assert embedding_dedup.near_vectors(empty).count() == 0
+
+
+@pytest.mark.parametrize("rows", [2_500, 100_000, 1_000_000, 10_000_000, 100_000_000])
+def test_caps_recall_does_not_fall_with_size(rows):
+    """Pairs exactly at the least cosine, other ones than those the number of filters is chosen by."""
+    assert embedding_dedup.Caps(64, rows).recall(0.95, 1500, seed=77) >= 0.96
