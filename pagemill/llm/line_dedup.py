@@ -34,8 +34,14 @@ def repeated_lines(lines: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     A gram is the fewest lines from one on that have `words` words. In each window of grams that start within `words`
     words, the one with the smallest hash is a fingerprint: two equal runs of lines of twice as many words share one,
     however the documents differ before and after. All later occurrences of a fingerprint are held against its first one
-    in document order and extended both ways line by line; what then equals is deleted. Fingerprints of one run start at
-    most `words` words apart, so an extension has fewer than `words` lines to look at before and 2 * words + 1 after.
+    in document order and extended both ways line by line. Where that ends within what there is to look at, another
+    occurrence before may go on: every longer extension is a key, and an occurrence goes as far as its longest key that
+    an occurrence before has too. What is within an extension is deleted. An occurrence that equals the first one all
+    the way has no key, nor do lengths that the first one covers: whoever shares those shares them with the first one.
+    So no occurrences are paired among themselves, and a key's group is a count and a minimum.
+
+    Fingerprints of one run start at most `words` words apart, so an extension has the lines to look at that start fewer
+    than `words` words before, and fewer than 2 * words words after its own line.
 
     Both sides of every join here grow with the corpus: they are merged at any size, never broadcast, and what a hot
     fingerprint gathers adaptive execution may split.
@@ -51,21 +57,37 @@ def repeated_lines(lines: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     t = t.withColumn("best", F.min(F.when(F.col("g").isNotNull(), F.struct("g", "q"))).over(on)["q"])
     # A line is chosen if it is the best of a window that starts at it or up to `words` words before.
     t = t.withColumn("chosen", F.array_contains(F.collect_set("best").over(back), F.col("q")))
-    t = stage(t.select("d", "p", "q", "h", "n", F.when(F.col("chosen"), F.col("g")).alias("g"), "long"), "lines")
+    t = stage(t.select("d", "p", "q", "h", "n", "off", F.when(F.col("chosen"), F.col("g")).alias("g"), "long"), "lines")
 
     prints = t.where("g is not null").select("d", "q", "g", "long")
     first = prints.groupBy("g").agg(F.min(F.struct("d", "q")).alias("at"), F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("g").alias("g1"), "at")
     # Only lines round fingerprints that recur, and only in the documents that have them, are looked at again.
     known = stage(prints.join(first.hint("merge"), prints["g"] == first["g1"]).select("d", "q", "g", "long", "at"), "recurring")
-    near = t.select("d", "q", "h").join(known.select("d").distinct().hint("merge"), "d", "left_semi")
-    by = Window.partitionBy("d").orderBy("q")
-    near = near.select("d", "q", F.collect_list("h").over(by.rowsBetween(0, 2 * words + 1)).alias("after"), F.reverse(F.collect_list("h").over(by.rowsBetween(-words, -1))).alias("before"))
+    near = t.select("d", "q", "h", "off").join(known.select("d").distinct().hint("merge"), "d", "left_semi")
+    by = Window.partitionBy("d").orderBy("off")
+    near = near.withColumn("on", F.collect_list("h").over(by.rangeBetween(0, 2 * words - 1))).withColumn("before", F.reverse(F.collect_list("h").over(by.rangeBetween(1 - words, -1))))
+    none = F.array().cast("array<bigint>")
+    near = near.select("d", "q", F.concat(F.array("h"), F.coalesce(F.lead("on").over(by), none)).alias("after"), "before")
     known = stage(known.join(near.hint("merge"), ["d", "q"]), "context")
     here = F.struct("d", "q") == F.col("at")
     source = known.where(here).select(F.col("g").alias("g1"), F.col("after").alias("after1"), F.col("before").alias("before1"))
     pairs = known.where(~here).join(source.hint("merge"), F.col("g") == F.col("g1"))
     pairs = pairs.withColumn("right", _same(F.col("after"), F.col("after1"))).where(F.col("right") >= F.col("long"))
-    return pairs.select("d", (F.col("q") - _same(F.col("before"), F.col("before1"))).alias("lo"), (F.col("q") + F.col("right") - 1).alias("hi")).distinct(), t
+    pairs = pairs.withColumn("left", _same(F.col("before"), F.col("before1")))
+    # What the first occurrence does not cover, of lines that lie further out than its.
+    ends = [F.when(F.col(c) < F.size(x), F.col(x)).alias(x) for c, x in (("right", "after"), ("left", "before"))]
+    pairs = stage(pairs.select("d", "q", "g", "right", "left", *ends), "first")
+
+    def longer(side: str, lines: str, sign: int) -> Column:
+        key = lambda k: F.struct((sign * k).alias("far"), F.xxhash64(F.lit(sign), F.slice(lines, F.lit(1), k)).alias("k"))
+        return F.when(F.col(lines).isNotNull(), F.transform(F.sequence(F.col(side) + 1, F.size(lines)), key)).otherwise(F.array().cast("array<struct<far:int,k:bigint>>"))
+
+    keys = pairs.where("after is not null or before is not null").select("d", "q", "g", F.explode(F.concat(longer("right", "after", 1), longer("left", "before", -1))).alias("x")).select("d", "q", "g", "x.far", "x.k")
+    often = keys.groupBy("g", "far", "k").agg(F.min(F.struct("d", "q")).alias("at"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    found = keys.join(often.hint("merge"), ["g", "far", "k"]).where(F.struct("d", "q") != F.col("at"))
+    whole = pairs.select("d", "q", "right", "left").unionByName(found.select("d", "q", F.greatest("far", F.lit(0)).alias("right"), F.greatest(-F.col("far"), F.lit(0)).alias("left")))
+    whole = whole.groupBy("d", "q").agg(F.max("right").alias("right"), F.max("left").alias("left"))
+    return whole.select("d", (F.col("q") - F.col("left")).alias("lo"), (F.col("q") + F.col("right") - 1).alias("hi")), t
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 25, keep: list[str] | None = None) -> DataFrame:

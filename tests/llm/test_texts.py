@@ -55,6 +55,22 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], T.StructType.fromDDL("doc_id long, text string"))).count() == 0
 
 
+def test_line_dedup_after_a_fragment(spark):
+    """A run of 50 words or more goes whole, also where a document before has just a fragment of it."""
+    rng = random.Random(6)
+    rows, runs, odd = [], {}, lambda: [words(rng, 10) for _ in range(3)]
+    for i in range(0, 900, 3):
+        run = [words(rng, 10) for _ in range(rng.randrange(5, 9))]
+        at, n = rng.randrange(len(run) - 2), rng.randrange(3, 5)
+        for k, lines in enumerate((run[at : at + n], run, run)):
+            rows.append((i + k, "\n".join([*odd(), *lines, *odd()])))
+        runs[i + 2] = set(range(3, 3 + len(run)))
+    most = brute.repeated(rows)
+    out = {r.doc_id: set(r.removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[d] == lines for d, lines in runs.items())
+    assert all(out[d] <= most[d] for d in out)
+
+
 def test_words_of_lines(spark):
     lines = ["", " ", "a", " a", "a ", " a b ", "a  b", "\ta\tb", "a\x0bb\fc\rd", "é à", "\xa0", "  ", "a b c"]
     d = spark.createDataFrame([(x,) for x in lines], "line string")
