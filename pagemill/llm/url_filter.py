@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
@@ -11,8 +14,6 @@ from pyspark.sql import types as T
 from pagemill.llm.common import stage, without
 
 OUT = ["host", "path", "rule", "verdict"]
-#: Of a URL's parts, how many become tokens: at most two host suffixes, a subdomain, two path parts, an extension, three query names, a fragment, a scheme.
-SUFFIXES, PATHS, NAMES = 2, 2, 3
 BLOCK, ALLOW = "block", "allow"
 #: (host, path, verdict)
 RULES = (("net", "/", BLOCK), ("example.net", "/en/", ALLOW), ("example.com", "/de/", BLOCK), ("org", "/fr/", ALLOW))
@@ -31,20 +32,19 @@ def split_url(url: str | None) -> tuple[str, str, str, str]:
 
 
 def tokens_of(url: str | None) -> list[str]:
-    """A URL's distinct tokens, at most 12 however long it is: its structure, not its text, is what rules combine."""
+    """A URL's distinct tokens: its scheme, every suffix of its host and label but the last, every path part with its place, its extension, every query name, whether it has a fragment."""
     scheme, host, path, rest = split_url(url)
     if not host and not path:
         return []
     labels = host.split(".")
-    out = [f"scheme:{scheme.translate(_LOWER)}"] + [f"host:{'.'.join(labels[-k:])}" for k in range(1, SUFFIXES + 1) if len(labels) >= k]
-    if len(labels) > SUFFIXES:
-        out.append(f"sub:{labels[0]}")
+    out = [f"scheme:{scheme.translate(_LOWER)}"] + [f"host:{'.'.join(labels[-k:])}" for k in range(1, len(labels) + 1)]
+    out += [f"label:{x}" for x in labels[:-1]]
     parts = [p for p in path.split("/") if p]
-    out += [f"path{k}:{p}" for k, p in enumerate(parts[:PATHS])]
+    out += [f"path{k}:{p}" for k, p in enumerate(parts)]
     if parts and "." in parts[-1]:
         out.append(f"ext:{parts[-1].rpartition('.')[2]}")
     query, mark, _ = rest.partition("#")
-    out += [f"query:{n.partition('=')[0]}" for n in query.lstrip("?").split("&")[:NAMES] if n]
+    out += [f"query:{n.partition('=')[0]}" for n in query.lstrip("?").split("&") if n]
     return sorted({*out, *(["fragment"] if mark else [])})
 
 
@@ -108,10 +108,12 @@ def prune(rules: list[tuple[frozenset[str], str, float, float]]) -> list[tuple[f
 def mine(urls: DataFrame, url_col: str = "url", label_col: str = "label", support: float = 0.01, confidence: float = 0.8) -> list[tuple[frozenset[str], str, float, float]]:
     """Rules tokens -> label that FP-growth finds in URLs, some of them labelled, pruned by support and confidence.
 
-    A URL has at most 12 tokens, hence at most 4096 token sets; sets of at least `support` of the rows are fewer than
-    4096 / support whatever the corpus, so that the rules fit the driver and the workers. URLs without a label count as such: a rule's confidence is the label's
-    share of all URLs with its tokens, so that a few labelled ones don't speak for many others. FP-growth deals conditional
-    trees out by token and sums equal transactions, so no token is a hot group. Null URLs teach nothing.
+    All of a URL's tokens count. Only those of at least `support` of the rows can be in a rule: these are fewer than the
+    average number of tokens over the support, whatever the corpus, and fit the driver. Tokens that are in the very same
+    rows are one item for FP-growth, so that a long host, path or query that many URLs share makes no more sets than a
+    short one; in the rules each stands for the others. URLs without a label count as such: a rule's confidence is the
+    label's share of all URLs with its tokens, so that a few labelled ones don't speak for many others. FP-growth deals
+    conditional trees out by token and sums equal transactions, so no token is a hot group. Null URLs teach nothing.
     """
     def transactions(batches):
         for batch in batches:
@@ -119,11 +121,25 @@ def mine(urls: DataFrame, url_col: str = "url", label_col: str = "label", suppor
 
     known = urls.select(F.col(f"`{url_col}`").alias("u"), F.col(f"`{label_col}`").cast("string").alias("y")).where("u is not null")
     items = stage(known.mapInArrow(transactions, "items array<string>"), "transactions")
-    if items.isEmpty():
+    n = items.count()
+    if not n:
         return []
+    rows = F.sum(F.col("h").cast("decimal(38,0)"))
+    often = items.select(F.explode("items").alias("t"), F.xxhash64("items").alias("h")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), rows.alias("rows"))
+    classes: dict[tuple, list[str]] = {}
+    for t, *key in often.where((F.col("n") >= math.ceil(support * n)) & ~F.col("t").startswith("=")).orderBy("t").collect():
+        classes.setdefault(tuple(key), []).append(t)
+    same = {ts[0]: ts for ts in classes.values()}
+
+    def frequent(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([[t for t in ts if t in same or t.startswith("=")] for ts in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["items"])
+
+    items = stage(items.mapInArrow(frequent, "items array<string>"), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith("=")).select("antecedent", F.element_at("consequent", 1).alias("y"), "confidence", "support").collect()
-    return prune([(frozenset(r.antecedent), r.y[1:], r.confidence, r.support) for r in found])
+    few = prune([(frozenset(r.antecedent), r.y[1:], r.confidence, r.support) for r in found])
+    return [(frozenset(items), *rest) for own, *rest in few for items in product(*[same[t] for t in own])]
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, support: float = 0.01, confidence: float = 0.8, otherwise: str = ALLOW, keep: list[str] | None = None) -> DataFrame:

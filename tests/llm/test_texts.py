@@ -288,6 +288,29 @@ def test_mined_rules_are_all_rules(spark):
         assert mined.judge(url_filter.tokens_of(u)) == best[1]
 
 
+@pytest.mark.parametrize("named", ["site", "path", "name"])
+def test_mined_verdicts_by_any_part(spark, named):
+    """What decides may be any host label, path part or query name; verdicts against those of all token sets, and long shared parts add no sets."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(200):
+        bad = i % 2
+        site, part, name = (("spam" if bad else "good") if named == x else "any" for x in ("site", "path", "name"))
+        tail = "/".join(f"p{k}" for k in range(30))
+        url = f"http://m.{site}.example.com/{rng.choice('ab')}/x/{part}/{tail}?a=1&b=2&c=3&{name}=4"
+        rows.append((i, url, ("block" if bad else "allow") if i % 10 < 9 else None))
+    d = spark.createDataFrame(rows, "page_id long, url string, label string")
+    out = url_filter.filter_urls(d, rules=(), labelled=d, otherwise="none").collect()
+    decides = []
+    for t in sorted({t for _, u, _ in rows for t in url_filter.tokens_of(u)}):
+        with_t = [y for _, u, y in rows if t in url_filter.tokens_of(u)]
+        decides += [(t, y) for y in ("block", "allow") if with_t.count(y) >= 0.8 * len(with_t)]
+    assert decides
+    for r in out:
+        want = {y for t, y in decides if t in url_filter.tokens_of(r.url)}
+        assert {r.verdict} == want and r.verdict == ("block" if r.page_id % 2 else "allow")
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(500, i) for i in range(501, 540)] + [(None, 3), (7, 7)]
