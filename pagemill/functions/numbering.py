@@ -27,7 +27,7 @@ def letters(n: Column) -> Column:
 
     def step(acc, _):
         k = acc["n"] - 1
-        return F.when(acc["n"] > 0, F.struct(F.floor(k / 26).alias("n"), F.concat(F.char(F.pmod(k, F.lit(26)) + 65), acc["s"]).alias("s"))).otherwise(acc)
+        return F.when(acc["n"] > 0, F.struct(F.call_function("div", k, F.lit(26)).alias("n"), F.concat(F.char(F.pmod(k, F.lit(26)) + 65), acc["s"]).alias("s"))).otherwise(acc)
 
     return F.when(n <= 0, n.cast("string")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["s"]))
 

@@ -101,7 +101,7 @@ _add("join_resolve", lambda s, d: objects.resolve(s.read.parquet(f"{d}/lineitem.
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     fields = c.select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("n"), F.col("c_custkey") % 500).alias("name"), F.col("c_custkey").alias("ordinal"), F.when(F.col("c_custkey") % 7 == 0, "button").otherwise("text").alias("type"), F.lit("old").alias("value"))
-    values = c.where("c_custkey <= 600").select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("n"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("value"))
+    values = c.select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("n"), F.col("c_custkey")).alias("name"), F.col("c_mktsegment").alias("value"))
     return objects.fill_form(fields, values)[0]
 
 
