@@ -207,14 +207,15 @@ def fingerprint_links(fps: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: bucket_links(batches, ring), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, most: int = 4, keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, most: int = 4, keep: list[str] | None = None, root: str | None = None) -> DataFrame:
     """Adds to each document fingerprint (16 lowercase hex digits) and component_id, the smallest id reachable over links.
 
     Fingerprints are SimHashes over shingles of `words` words; two link at `most` or fewer differing bits. Equal
     fingerprints are one node, so that copies make no pairs. Links come from pigeonring filtering (see Ring), components
     from links. Null, empty and word-less texts have fingerprint zero and link like any other; a null id is passed over
     as component id unless a component has no other; repeated rows each get their row; an empty table gives no rows.
-    Input columns named like an output column are replaced. keep: the input columns to return (all, if None).
+    Input columns named like an output column are replaced. keep: the input columns to return (all, if None). root: the
+    name, free in docs, of another column to add: one fingerprint of the row's component, the same in all its rows.
     """
     src = docs if id_col in OUT or text_col in OUT else without(docs, OUT)
     names = [c for c in src.columns if (keep is None or c in keep) and c.lower() not in OUT]
@@ -235,21 +236,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_staged(links)
     whole = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    whole = stage(whole.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id"), "components")
+    whole = stage(whole.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id", *([F.col("root").alias(root)] if root else [])), "components")
     out = marked.join(whole, marked[fp] == whole["_fp"])
     text = F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-    return out.select(*[F.col(f"`{c}`") for c in names], text.alias("fingerprint"), "component_id")
+    return out.select(*[F.col(f"`{c}`") for c in names], text.alias("fingerprint"), "component_id", *([root] if root else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents less all but one of each near-duplicate component: the one with the smallest id stays.
 
-    Of rows that share that id, one stays: the first by a hash of the text. Columns and their order are those of docs.
-    Rows of a component without any id keep one row by the same order.
+    Of a component's rows that share that id, or of one without any id, one stays: the first by a hash of the text.
+    Components that share an id keep one row each. Columns and their order are those of docs.
     """
-    marked = near_duplicates(docs, id_col, text_col, **settings)
+    root = free_name(docs, "_root")
+    marked = near_duplicates(docs, id_col, text_col, root=root, **settings)
     kept = marked.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.col("fingerprint"))).orderBy(F.xxhash64(text_col), F.length(text_col))
+    one = Window.partitionBy(root).orderBy(F.xxhash64(text_col), F.length(text_col))
     return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
