@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     except Exception:  # an unset key without a default raises
         found = None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{DIR_KEY} must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pagemill-"))
     return found.rstrip("/")
@@ -63,6 +64,17 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def rows_where(docs: DataFrame, own: Sequence[str], mark: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of docs for which condition holds after mark(docs) has added its own columns; docs' columns as they were.
+
+    Columns of docs named like one of own are set aside under other names meanwhile.
+    """
+    taken = {n.lower() for n in own}
+    aside = {c: free_name(docs, f"_aside{i}") if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    marked = mark(docs.select(*[F.col(f"`{c}`").alias(aside[c]) for c in docs.columns]))
+    return marked.where(condition).select(*[F.col(f"`{aside[c]}`").alias(c) for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,7 +144,3 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     on = [left[k].eqNullSafe(renamed[f"_r{i}"]) for i, k in enumerate(keys)]
     joined = left.join(renamed, on)
     return joined.drop(*[f"_r{i}" for i in range(len(keys))])
-
-
-def have_local(path: str) -> bool:
-    return os.path.exists(path.removeprefix("file://"))
