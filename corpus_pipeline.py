@@ -12,31 +12,46 @@ from pagemill.llm import common, decontaminate, mixing, quality, simhash, tokens
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of docs, scores at 0.3 or more."""
+    """Documents that the classifier, trained on the labels of docs, scores at 0.3 or more.
+
+    Null and empty texts have the score of a text without features; equal texts share their fate; without labels of both
+    classes all documents get the labels' rate.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    return quality.classify(docs, model, keep=names).where("predicted = 1").select(names)
+    return common.rows_where(docs, quality.OUT, lambda d: quality.classify(d, model), "predicted = 1")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Texts without words are one group; of a group's rows with the same id, or without any, one stays.
+    """
     return simhash.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less those with a twentieth or more of their words in benchmark windows."""
-    names = docs.columns
-    marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=names)
-    return marked.where("not contaminated").select(names)
+    """Documents less those that hold any whole benchmark window, however long the document is.
+
+    Null, empty and word-less texts hold none and stay; equal texts share their fate; without items all stay.
+    """
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return common.rows_where(docs, decontaminate.OUT, lambda d: decontaminate.decontaminate(d, items), "n_hit = 0")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: not at all, or up to three times.
+
+    A null source is a source; null and empty texts have no words, so that they cost the mix nothing; equal rows are
+    taken alike.
+    """
     return mixing.mix(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix in the shared folder, read back: one row per record."""
+    """Token files of the mix in the shared folder, read back: one row per record (doc_id, start, n_tokens, ids_crc32).
+
+    Every document has a record for each time it is taken; null and empty texts have the end id alone.
+    """
     return tokens.token_files(spark, docs)
 
 
