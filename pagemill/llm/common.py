@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIR_KEY = "spark.checkpoint.dir"
+#: Nodes with more than this many edges, and more than 1/HUBS of all, are joined by broadcast.
+LEAST_HUB, HUBS = 100, 1024
 _own: dict[str, str] = {}
 
 
@@ -89,26 +91,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each node's neighbours are hung on the smallest node it knows,
     so that after a few rounds every component is a star round its smallest node. Every round is a grouped minimum
-    (combined before the shuffle, so a hub is no hot group) and a join that adaptive execution can split; its result
-    is written to the shared folder. Returns (node, root) for every node with an edge to another one, root being the
+    (combined before the shuffle) and a join with it; the result is written to the shared folder. In that join the edges
+    of hubs, nodes with more than 1/HUBS of all edges and more than LEAST_HUB, go by broadcast: there are fewer than
+    HUBS of these whatever the graph. Returns (node, root) for every node with an edge to another one, root being the
     smallest node of its component. Null ends are ignored; no edges give no rows.
     """
-    spark = edges.sparkSession
     now = stage(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen, many = None, now.count()
     for _ in range(max_rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large star: the larger end of an edge moves on to the smallest neighbour of the smaller end, if that has a smaller one.
+        low = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        hubs = now.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(LEAST_HUB, many // HUBS)).select("v", F.lit(True).alias("hub"))
+        marked = now.join(F.broadcast(hubs), "v", "left")
+        cold = marked.where("hub is null").join(low, "v", "left")
+        hot = marked.where("hub").join(F.broadcast(low.join(F.broadcast(hubs), "v", "left_semi")), "v", "left")
+        large = cold.select("u", F.coalesce("m", "v").alias("v")).union(hot.select("u", F.coalesce("m", "v").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = stage(small, "edges")
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_staged(now)
-        now = after
+        now, many = after, mark[0]
         if tuple(mark) == seen:
             break
         seen = tuple(mark)

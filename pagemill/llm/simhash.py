@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from pagemill.llm.common import components, drop_staged, free_name, partitions, stage, without
 
@@ -18,6 +17,8 @@ OUT = ["fingerprint", "component_id"]
 BITS = 64
 #: Fingerprints of one bucket that are compared in one go; larger buckets are cut into blocks, each pair of blocks by itself.
 BLOCK = 4096
+#: Larger buckets whose sizes (16 bytes each) may be broadcast.
+LISTED_BUCKETS = 100_000
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -121,33 +122,58 @@ def _small(fps, start, stored, group, ring):
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def _large(fps, start, stored, ring):
-    """A spanning forest of the links within one large group: no more links than rows leave it."""
-    n = len(fps)
-    root = np.arange(n)
-    a, b = [], []
+def forest(n: int, linked) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among n rows; linked(i, j) says which rows of j, all after i, link with row i.
+
+    Rows that are connected already aren't looked at again, so that a large group of copies takes few rounds.
+    """
+    root, a, b = np.arange(n), [], []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        j = j[ring.linked(np.broadcast_to(fps[i], len(j)), fps[j], np.broadcast_to(start[i], len(j))) & (stored[i] | stored[j])]
-        new = j[root[j] != root[i]]
-        if len(new):
-            kin, first = np.unique(root[new], return_index=True)
+        j = j[root[j] != root[i]]
+        if len(j):
+            j = j[linked(i, j)]
+        if len(j):
+            kin, first = np.unique(root[j], return_index=True)
             a += [i] * len(kin)
-            b += new[first].tolist()
+            b += j[first].tolist()
             low = min(int(kin[0]), int(root[i]))
             root[np.isin(root, np.append(kin, root[i]))] = low
     return np.array(a, int), np.array(b, int)
 
 
-def bucket_links(batches, ring: Ring):
-    """Links within buckets: rows come sorted by (key, cell), so that a bucket's rows follow each other, across batches too."""
+def _large(fps, start, stored, ring):
+    """A spanning forest of the links within one large group: no more links than rows leave it."""
+    return forest(len(fps), lambda i, j: ring.linked(np.broadcast_to(fps[i], len(j)), fps[j], np.broadcast_to(start[i], len(j))) & (stored[i] | stored[j]))
+
+
+def whole_buckets(batches):
+    """Tables of rows sorted by (key, cell), cut where a bucket ends, and each row's bucket number in them: a bucket's rows follow each other, across batches too."""
     held: pa.Table | None = None
 
-    def links(t: pa.Table) -> pa.RecordBatch:
+    def cuts(t: pa.Table) -> np.ndarray:
         key, cell = t["key"].to_numpy(), t["cell"].to_numpy()
+        return (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+
+    def numbered(t: pa.Table):
+        return t, np.concatenate([[0], np.cumsum(cuts(t))])
+
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        ends = np.nonzero(cuts(held))[0]
+        if len(ends):  # all but the last bucket are whole
+            yield numbered(held.slice(0, int(ends[-1]) + 1).combine_chunks())
+            held = held.slice(int(ends[-1]) + 1).combine_chunks()
+    if held is not None and held.num_rows:
+        yield numbered(held.combine_chunks())
+
+
+def bucket_links(batches, ring: Ring):
+    """Links within buckets of rows sorted by (key, cell)."""
+    for t, group in whole_buckets(batches):
         fps, start, stored = t["fp"].to_numpy().view(np.uint64), t["start"].to_numpy().astype(np.int64), t["stored"].to_numpy()
-        group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))]) if len(key) else np.empty(0, int)
-        size = np.bincount(group) if len(key) else np.empty(0, int)
+        size = np.bincount(group)
         pairs = []
         few = np.nonzero((size[group] > 1) & (size[group] <= 64))[0]
         if len(few):
@@ -161,26 +187,18 @@ def bucket_links(batches, ring: Ring):
         a = np.concatenate([x for x, _ in pairs]) if pairs else np.empty(0, np.uint64)
         b = np.concatenate([x for _, x in pairs]) if pairs else np.empty(0, np.uint64)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["a", "b"])
-
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        key, cell = held["key"].to_numpy(), held["cell"].to_numpy()
-        ends = np.nonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))[0]
-        if len(ends):  # all but the last bucket are whole
-            yield links(held.slice(0, int(ends[-1]) + 1))
-            held = held.slice(int(ends[-1]) + 1)
-    if held is not None and held.num_rows:
-        yield links(held)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["a", "b"])
 
 
 def cells(df: DataFrame, key: str, block: int, by: str) -> DataFrame:
     """Adds cell: 0 for a bucket of up to `block` rows; rows of a larger one are dealt to blocks (own), and each pair of blocks is a cell.
 
-    Two rows of a bucket meet in at least one cell, and no cell has much over two blocks.
+    Two rows of a bucket meet in at least one cell, and no cell has much over two blocks. The table of larger buckets is
+    counted: up to LISTED_BUCKETS of them are broadcast, more are merged.
     """
     big = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(F.col(key).alias("_k"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    big = stage(big, "buckets")
+    big = F.broadcast(big) if big.count() <= LISTED_BUCKETS else big.hint("merge")
     df = df.join(big, df[key] == big["_k"], "left").drop("_k")
     own = F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")
     other = F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -207,15 +225,14 @@ def fingerprint_links(fps: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: bucket_links(batches, ring), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, most: int = 4, keep: list[str] | None = None, root: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, most: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Adds to each document fingerprint (16 lowercase hex digits) and component_id, the smallest id reachable over links.
 
     Fingerprints are SimHashes over shingles of `words` words; two link at `most` or fewer differing bits. Equal
     fingerprints are one node, so that copies make no pairs. Links come from pigeonring filtering (see Ring), components
     from links. Null, empty and word-less texts have fingerprint zero and link like any other; a null id is passed over
     as component id unless a component has no other; repeated rows each get their row; an empty table gives no rows.
-    Input columns named like an output column are replaced. keep: the input columns to return (all, if None). root: the
-    name, free in docs, of another column to add: one fingerprint of the row's component, the same in all its rows.
+    Input columns named like an output column are replaced. keep: the input columns to return (all, if None).
     """
     src = docs if id_col in OUT or text_col in OUT else without(docs, OUT)
     names = [c for c in src.columns if (keep is None or c in keep) and c.lower() not in OUT]
@@ -232,27 +249,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = stage(src.mapInArrow(scan, schema), "simhash")
     nodes = stage(marked.groupBy(F.col(fp).alias("fp")).agg(F.min("_id").alias("low")), "nodes")
     links = stage(fingerprint_links(nodes, most), "links")
-    roots = components(links)
+    whole = stage(grouped(nodes, links, "fp").select(F.col("fp").alias("_fp"), "component_id"), "components")
     drop_staged(links)
-    whole = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    whole = stage(whole.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id", *([F.col("root").alias(root)] if root else [])), "components")
+    drop_staged(nodes)
     out = marked.join(whole, marked[fp] == whole["_fp"])
     text = F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-    return out.select(*[F.col(f"`{c}`") for c in names], text.alias("fingerprint"), "component_id", *([root] if root else []))
+    return out.select(*[F.col(f"`{c}`") for c in names], text.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents less all but one of each near-duplicate component: the one with the smallest id stays.
+def grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(name, component_id, root) of each node (name, low), low being the smallest id of its rows, under links (a, b) of names.
 
-    Of a component's rows that share that id, or of one without any id, one stays: the first by a hash of the text.
-    Components that share an id keep one row each. Columns and their order are those of docs.
+    Nodes are ordered by their smallest id (none: last), so that a component's root has the component's id, and no table
+    of components has to be joined back to all of a large one's members. root is the root's name.
     """
-    root = free_name(docs, "_root")
-    marked = near_duplicates(docs, id_col, text_col, root=root, **settings)
-    kept = marked.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy(root).orderBy(F.xxhash64(text_col), F.length(text_col))
-    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = nodes.select(name, F.struct(F.col("low").isNull().alias("no"), "low", F.col(name).alias("name")).alias("k"))
+    for side in "ab":
+        k = key.select(F.col(name).alias("_name"), F.col("k").alias(f"k{side}"))
+        links = links.join(k, F.col(side) == k["_name"]).drop("_name")
+    roots = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).select(F.col("node.name").alias("_name"), F.col("root").alias("_root"))
+    whole = nodes.join(roots, nodes[name] == roots["_name"], "left")
+    found = F.col("_root").isNotNull()
+    return whole.select(name, F.when(found, F.col("_root.low")).otherwise(F.col("low")).alias("component_id"), F.when(found, F.col("_root.name")).otherwise(F.col(name)).alias("root"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

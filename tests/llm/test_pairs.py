@@ -82,21 +82,9 @@ def test_simhash(spark):
     fps = [brute.simhash(t) for _, t, *_ in rows]
     want = brute.classes([r[0] for r in rows], lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in out) == sorted((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, want, strict=True))
-    kept = simhash.keep_one(spark.createDataFrame(rows, DOC)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(want)) and kept[0].asDict().keys() == {"doc_id", "text", "n_words", "Fingerprint"}
     assert simhash.near_duplicates(spark.createDataFrame(rows, DOC).limit(0)).count() == 0
 
 
-def test_keep_one_of_each_component(spark):
-    """Unrelated texts of one id both stay; of linked texts without ids, one does."""
-    rng = random.Random(9)
-    one, other, none = (words(rng, 300, 5000) for _ in range(3))
-    near = next(t for i in range(300) if 0 < (brute.simhash(t := f"{none} {i}") ^ brute.simhash(none)).bit_count() <= 4)
-    d = spark.createDataFrame([(1, one), (1, other), (2, one), (None, none), (None, near)], "doc_id long, text string")
-    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(d).collect())
-    assert len(kept) == 3 and kept[0][1] in (none, near) and kept[1:] == sorted([(1, one), (1, other)])
-
-
 def flipped(rng, fp, k):
     for b in rng.sample(range(64), k):
         fp ^= 1 << b

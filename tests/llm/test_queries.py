@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import quality, registry, tokens
+from pagemill.llm import quality, registry, similar, tokens
 from tests import oracle
 from tests.llm import brute
 from tests.llm.test_texts import library, plain_mix
@@ -104,8 +104,9 @@ def test_pipeline_stage_by_stage(spark):
     model = quality.fit(docs, spark.read.parquet(f"{oracle.SF}/labels.parquet"))
     good = model.scores([t.encode() for t in seen[0].text]) >= 0.3
     assert seen[1].doc_id.tolist() == seen[0].doc_id[good].tolist() and not good.all()
-    fps = [brute.simhash(t) for t in seen[1].text]
-    low = brute.classes(seen[1].doc_id.tolist(), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    ring = similar.Wide()
+    fps = [np.frombuffer(similar.fingerprint(similar.shingles(t.encode()), ring.bits), np.uint8) for t in seen[1].text]
+    low = brute.classes(seen[1].doc_id.tolist(), lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum() <= ring.most)
     assert seen[2].doc_id.tolist() == sorted(set(low)) and len(seen[2]) < len(seen[1])
     items = [(r.item_id, r.text) for r in table("benchmark").itertuples()]
     clean = [d for d, t in zip(seen[2].doc_id, seen[2].text, strict=True) for _, hit, _ in [brute.windows_in(t, items)] if not hit]
