@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import common, decontaminate, mixing, quality, simhash, tokens
+from pagemill.llm import common, decontaminate, mixing, quality, similar, tokens
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
     Texts without words are one group; of a group's rows with the same id, or without any, one stays.
     """
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
