@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -77,6 +79,35 @@ def rows_where(docs: DataFrame, own: Sequence[str], mark: Callable[[DataFrame],
     return marked.where(condition).select(*[F.col(f"`{aside[c]}`").alias(c) for c in docs.columns])
 
 
+def guarded(*own: str):
+    """For an operator over a DataFrame: input columns named like its own working columns get other names while it runs.
+
+    Parameters that end in _col, and keep, are column names and follow; so does the result.
+    """
+    taken = {n.lower() for n in own}
+
+    def wrap(operator):
+        said = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def call(df: DataFrame, *args, **settings) -> DataFrame:
+            aside = {c: free_name(df, f"aside{i}") for i, c in enumerate(df.columns) if c.lower() in taken}
+            if not aside:
+                return operator(df, *args, **settings)
+            bound = said.bind(df.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in df.columns]), *args, **settings)
+            for name, value in bound.arguments.items():
+                if name.endswith("_col"):
+                    bound.arguments[name] = aside.get(value, value)
+                elif name == "keep" and value is not None:
+                    bound.arguments[name] = [aside.get(c, c) for c in value]
+            out, back = operator(*bound.args, **bound.kwargs), {v: k for k, v in aside.items()}
+            return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns])
+
+        return call
+
+    return wrap
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import stage, without
+from pagemill.llm.common import guarded, stage, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 OUT = ["clean_text", "n_lines", "n_removed", "n_words_removed", "removed"]
@@ -90,6 +90,7 @@ def repeated_lines(lines: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     return whole.select("d", (F.col("q") - F.col("left")).alias("lo"), (F.col("q") + F.col("right") - 1).alias("hi")), t
 
 
+@guarded("_d", "d2")
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 25, keep: list[str] | None = None) -> DataFrame:
     """Adds clean_text, n_lines, n_removed, n_words_removed and removed (the deleted lines' numbers, from 0, ascending).
 

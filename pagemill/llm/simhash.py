@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import components, drop_staged, free_name, partitions, stage, without
+from pagemill.llm.common import components, drop_staged, free_name, guarded, partitions, stage, without
 
 OUT = ["fingerprint", "component_id"]
 BITS = 64
@@ -225,6 +225,7 @@ def fingerprint_links(fps: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: bucket_links(batches, ring), "a long, b long")
 
 
+@guarded("_id", "_t", "_fp")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, most: int = 4, keep: list[str] | None = None) -> DataFrame:
     """Adds to each document fingerprint (16 lowercase hex digits) and component_id, the smallest id reachable over links.
 

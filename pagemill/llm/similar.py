@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.llm import simhash
-from pagemill.llm.common import drop_staged, free_name, partitions, stage
+from pagemill.llm.common import drop_staged, free_name, guarded, partitions, stage
 
 OUT = ["component_id"]
 #: The most rows of a bucket whose pairs are all looked at; in larger ones only a forest's.
@@ -177,6 +177,7 @@ def links(nodes: DataFrame, ring: Wide) -> DataFrame:
     return rows.mapInArrow(lambda batches: bucket_links(batches, ring), "a binary, b binary")
 
 
+@guarded("_n")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 384, keep: list[str] | None = None, extra: dict | None = None) -> DataFrame:
     """Adds component_id, the smallest id reachable over links of fingerprints as similar as two sets of Jaccard `similarity`.
 

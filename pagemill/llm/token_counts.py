@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import without
+from pagemill.llm.common import guarded, without
 from pagemill.llm.encode import Encoder, groups
 from pagemill.llm.tokens import default_tokenizer
 
@@ -47,6 +47,7 @@ def section_cuts(text: str, separator: str = "\n") -> np.ndarray:
     return np.array([*cuts, len(text)], np.int64)
 
 
+@guarded("_parts")
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text", separator: str = "\n", fields: list[str] | None = None, joint: str = "\n", rule: str = "first") -> DataFrame:
     """Adds sections: an array of (section, start, end, n_tokens, n_crossing), spans in characters of the encoded text.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import stage, without
+from pagemill.llm.common import guarded, stage, without
 
 OUT = ["host", "path", "rule", "verdict"]
 BLOCK, ALLOW = "block", "allow"
@@ -142,6 +142,7 @@ def mine(urls: DataFrame, url_col: str = "url", label_col: str = "label", suppor
     return [(frozenset(items), *rest) for own, *rest in few for items in product(*[same[t] for t in own])]
 
 
+@guarded("_u")
 def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, support: float = 0.01, confidence: float = 0.8, otherwise: str = ALLOW, keep: list[str] | None = None) -> DataFrame:
     """Adds host, path, rule (like "net/", or null) and verdict to each row.
 
