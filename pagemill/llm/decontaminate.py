@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
@@ -12,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import without
-from pagemill.llm.encode import groups
+from pagemill.llm.common import guarded, without
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -34,53 +32,54 @@ def _rolled(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.nonzero(known[k:] - known[:-k] == k)[0]
     h = np.zeros(len(at), np.uint64)
     for i in range(k):
-        h = (h ^ ids[at + i].astype(np.uint64)) * _MULT
-        h ^= h >> np.uint64(29)
+        h = _stirred(h, ids[at + i])
     return at, h
 
 
+def _stirred(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hashes of shingles that go on with a word."""
+    h = (h ^ ids.astype(np.uint64)) * _MULT
+    return h ^ h >> np.uint64(29)
+
+
 class WindowIndex:
     """Windows of one block of items: distinct word-id sequences, their shingles, and (once counted) rarest-first prefixes."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int, shingle: int):
         self.vocab: dict[bytes, int] = {}
-        self.names: list[str] = []
         number: dict[str, int] = {}
-        windows: dict[tuple[int, ...], int] = {}
-        owners: list[set[int]] = []
+        rows, owner = [np.empty((0, window), np.int32)], [np.empty(0, np.int64)]
         for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            if not ids:
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.int32)
+            if not len(ids):
                 continue
-            if name not in number:
-                number[name] = len(self.names)
-                self.names.append(name)
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1):
-                k = windows.setdefault(tuple(ids[i : i + size]), len(windows))
-                if k == len(owners):
-                    owners.append(set())
-                owners[k].add(number[name])
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        self.owner = np.array([o for x in owners for o in sorted(x)], np.int64)
-        self.length = np.array([len(x) for x in windows], np.int64)
-        self.words = np.zeros((len(windows), window), np.int64)
-        for x, k in windows.items():
-            self.words[k, : len(x)] = x
+            if len(ids) < window:
+                ids = np.pad(ids, (0, window - len(ids)))
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owner.append(np.full(len(rows[-1]), number.setdefault(name, len(number)), np.int64))
+        self.names = list(number)
+        self.words, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.length = (self.words != 0).sum(axis=1)
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owner)], axis=1), axis=0)
+        self.owner_at, self.owner = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1)), pairs[:, 1]
         #: By shingle size, each window's shingle hashes in order. An item of fewer words than a shingle has is one shingle.
         self.shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in np.unique(np.minimum(self.length, shingle)):
             of = np.nonzero(np.minimum(self.length, shingle) == size)[0]
-            hashes = np.zeros((len(of), window), np.uint64)
-            for row, k in enumerate(of):
-                h = _rolled(self.words[k, : self.length[k]], int(size))[1]
-                hashes[row, : len(h)] = h
+            wide = window - int(size) + 1
+            hashes = np.zeros((len(of), wide), np.uint64)
+            for k in range(int(size)):
+                hashes = _stirred(hashes, self.words[of, k : k + wide])
             self.shingles[int(size)] = (of, hashes)
-        self.counted = {size: np.unique(np.concatenate([h[i, : self.length[k] - size + 1] for i, k in enumerate(of)])) for size, (of, h) in self.shingles.items()}
+        self.counted = {size: np.unique(h[self._inside(size, of, h)]) for size, (of, h) in self.shingles.items()}
         self.prefixes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
+    def _inside(self, size: int, of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which places of `hashes` are shingles that lie within their window."""
+        return np.arange(hashes.shape[1]) <= (self.length[of] - size)[:, None]
+
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int32, len(words))
 
     def seen(self, words: list[bytes]) -> list[tuple[int, np.ndarray]]:
         """By shingle size, which of the counted shingles are in a document, each once."""
@@ -101,7 +100,7 @@ class WindowIndex:
         for size, (of, hashes) in self.shingles.items():
             known = self.counted[size]
             df = frequency[size][np.minimum(np.searchsorted(known, hashes), len(known) - 1)].astype(np.int64)
-            df[np.arange(hashes.shape[1]) > (self.length[of] - size)[:, None]] = np.iinfo(np.int64).max
+            df[~self._inside(size, of, hashes)] = np.iinfo(np.int64).max
             at = df.argmin(axis=1)
             row = np.nonzero(df[np.arange(len(of)), at] > 0)[0]
             key = hashes[row, at[row]]
@@ -158,8 +157,9 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+@guarded("_t")
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text",
-                  window: int = 13, shingle: int = 5, share: float = 0.05, block_chars: int = 16_000_000, keep: list[str] | None = None) -> DataFrame:
+                  window: int = 13, shingle: int = 5, share: float = 0.05, block_chars: int = 4_000_000, keep: list[str] | None = None) -> DataFrame:
     """Adds to each document n_words, n_hit, n_items, item_ids (sorted strings) and contaminated.
 
     A window is `window` consecutive words of an item (all of them, if it has fewer). Windows are sets of word shingles;
@@ -169,36 +169,50 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "item_id", it
     contaminated: n_hit > 0 and n_hit >= share * n_words.
 
     Items go to the workers in blocks of about block_chars bytes, however many there are (a longer single item is a block
-    of its own); documents are never shuffled, so a passage in a third of them is no hot key.
+    of its own). Documents are read twice, in both passes a batch of texts against one block after another, so that a
+    worker and the driver have one block in memory, and a block is loaded once a batch. They are never shuffled, so a
+    passage in a third of them is no hot key.
     Null and empty texts have no words; items without words match nothing; a null item id reads "null"; rows with the
     same item id are one item; repeated documents each get their row; an empty table gives no rows. Input columns named
     like an output column are replaced. keep: the input columns to return (all, if None).
     """
     spark = docs.sparkSession
     src = without(docs, OUT) if text_col not in OUT else docs
-    indexes = []
+    blocks, sizes = [], []
     for index in _blocks(items, id_col, item_text, window, shingle, block_chars):
-        shared = spark.sparkContext.broadcast(index)
+        sizes.append({size: len(x) for size, x in index.counted.items()})
+        blocks.append(spark.sparkContext.broadcast(index))
+        del index
 
-        def count(batches, shared=shared):
-            index = shared.value
-            totals = {size: np.zeros(len(x), np.int64) for size, x in index.counted.items()}
-            for batch in batches:
-                for text in _texts(batch, "t"):
+    def by_block():
+        """(number of the block, its index) one after another, one in memory at a time."""
+        for b, shared in enumerate(blocks):
+            yield b, shared.value
+            if len(blocks) > 1:
+                del shared._value
+
+    def count(batches):
+        for batch in batches:
+            texts = _texts(batch, "t")
+            for b, index in by_block():
+                totals = {size: np.zeros(len(x), np.int64) for size, x in index.counted.items()}
+                for text in texts:
                     for size, at in index.seen(words_of(text)):
                         totals[size][at] += 1
-            for size, x in totals.items():
-                at = np.nonzero(x)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size), pa.int32()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], ["size", "at", "n"])
-
-        frequency = {size: np.zeros(len(x), np.int64) for size, x in index.counted.items()}
-        if frequency:
-            seen = src.select(F.col(f"`{text_col}`").alias("t")).where("t is not null").mapInArrow(count, "size int, at long, n long")
-            for r in seen.groupBy("size", "at").agg(F.sum("n").alias("n")).toLocalIterator():
-                frequency[r["size"]][r["at"]] = r["n"]
-        index.order(frequency)
-        shared.unpersist()
-        indexes.append(spark.sparkContext.broadcast(index))
+                for size, x in totals.items():
+                    at = np.nonzero(x)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b), pa.int32()), pa.array(np.full(len(at), size), pa.int32()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], ["block", "size", "at", "n"])
+
+    frequency = [{size: np.zeros(n, np.int64) for size, n in x.items()} for x in sizes]
+    if any(frequency):
+        seen = src.select(F.col(f"`{text_col}`").alias("t")).where("t is not null").mapInArrow(count, "block int, size int, at long, n long")
+        for r in seen.groupBy("block", "size", "at").agg(F.sum("n").alias("n")).toLocalIterator():
+            frequency[r["block"]][r["size"]][r["at"]] = r["n"]
+    for b, shared in enumerate(blocks):
+        index = shared.value
+        index.order(frequency[b])
+        blocks[b] = spark.sparkContext.broadcast(index)
+        shared.destroy()
         del index
     names = [c for c in src.columns if keep is None or c in keep]
     fields = [src.schema[c] for c in names]
@@ -209,32 +223,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "item_id", it
     def match(batches):
         for batch in batches:
             texts = _texts(batch, "_t")
-            n_words, n_hit, names = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
-            for a, b in groups([t or b"" for t in texts], 1_000_000):  # the words of a few texts in memory at once
-                docs = [words_of(t) for t in texts[a:b]]
-                hit: list = [None] * len(docs)
-                found: list[list[str]] = [[] for _ in docs]
-                for shared in indexes:
-                    index = shared.value
-                    for i, words in enumerate(docs):
-                        inside, items = index.hits(words)
-                        if len(items):
-                            hit[i] = inside if hit[i] is None else hit[i] | inside
-                            found[i] += [index.names[k] for k in items]
-                    if len(indexes) > 1:
-                        del shared._value  # one block in memory at a time
-                n_words[a:b] = [len(x) for x in docs]
-                n_hit[a:b] = [0 if h is None else int(h.sum()) for h in hit]
-                names += [sorted(set(x)) for x in found]
+            n_words, hit, found = np.zeros(len(texts), np.int64), [None] * len(texts), [[] for _ in texts]
+            for _, index in by_block():
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    n_words[i] = len(words)
+                    inside, owners = index.hits(words)
+                    if len(owners):
+                        hit[i] = inside if hit[i] is None else hit[i] | inside
+                        found[i] += [index.names[k] for k in owners]
+            n_hit = np.array([0 if h is None else int(h.sum()) for h in hit], np.int64)
+            names = [sorted(set(x)) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array((n_hit > 0) & (n_hit >= share * n_words))], schema.fieldNames())
 
     return src.mapInArrow(match, schema)
 
 
-def digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
