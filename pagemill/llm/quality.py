@@ -9,18 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from pagemill.llm.common import without
+from pagemill.llm.common import drop_staged, guarded, stage, without
 
 OUT = ["score", "predicted"]
 BUCKETS = 1 << 16
 DIM = 8
 #: Neutral features that every document is taken to have besides its own, so that a few words alone decide little.
 FEW = 8
-#: Bytes of a text whose features are in memory at once; grams and pairs across two parts are not features.
+#: Bytes of a text whose features are in memory at once; grams and pairs across two parts, which are cut at white space, are not features.
 PART = 1 << 20
-#: The most labelled documents that one model is trained on; they are the ones with the smallest hash of their id.
-SAMPLE = 3000
+#: The most labelled documents that one model is trained on, and the most bytes of their features; they are the ones with the smallest hash of their id.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 27
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -61,11 +62,24 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(at)
 
 
+def parts(text: bytes):
+    """A text's bytes in parts of up to PART, each ending with white space; a run without any in so much is cut at a code point."""
+    data, a = np.frombuffer(text, np.uint8), 0
+    while len(data) - a > PART:
+        cut = np.flatnonzero(_SPACE[data[a : a + PART]])
+        if not len(cut):
+            cut = np.flatnonzero((data[a + 1 : a + PART + 1] & 0xC0) != 0x80)
+        b = a + (int(cut[-1]) + 1 if len(cut) else PART)
+        yield data[a:b]
+        a = b
+    yield data[a:]
+
+
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A document's distinct buckets and how many features fall into each."""
     counts = np.zeros(BUCKETS, np.int64)
-    for a in range(0, len(text), PART):
-        counts += np.bincount(features(np.frombuffer(text, np.uint8, min(PART, len(text) - a), a))[0], minlength=BUCKETS)
+    for part in parts(text):
+        counts += np.bincount(features(part)[0], minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -80,9 +94,9 @@ class Model:
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         logits = np.full(len(texts), self.bias)
         for i, t in enumerate(texts):
-            total, n, size = 0.0, 0, len(t or b"")
-            for a in range(0, size, PART):  # a very long text goes in parts
-                got = features(np.frombuffer(t, np.uint8, min(PART, size - a), a))[0]
+            total, n = 0.0, 0
+            for part in parts(t or b""):
+                got = features(part)[0]
                 total, n = total + float(self.weights[got].sum()), n + len(got)
             logits[i] += total / (n + FEW)
         return 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
@@ -127,12 +141,13 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Trains on at most `sample` labelled documents that are not held out.
 
-    Only ids and labels choose the sample; a document with several labels has the one most of them say (1 of equals).
+    Only ids, labels and the size of the documents' features choose the sample: documents go in by a hash of their id
+    until their features reach sample_bytes, one at least. A document with several labels has the one most of them say (1 of equals).
     Labels that are null, or whose id or text is null, teach nothing. Executors turn the sample's whole texts into bags
-    of buckets; the driver gets those alone (at most BUCKETS entries a document) and trains.
+    of buckets, six bytes an entry; the driver gets those alone and trains.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     known = known.where(F.coalesce(~held_out(F.col("id")), F.lit(False))).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
@@ -142,15 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def bags(batches):
         for batch in batches:
             got = [bag(t) for t in batch.column("t").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in got]), pa.array([c.astype("<i4").tobytes() for _, c in got])], ["id", "y", "i", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([i.astype("<u2").tobytes() for i, _ in got]), pa.array([c.astype("<i4").tobytes() for _, c in got])], ["id", "y", "i", "c"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("i", T.BinaryType()), T.StructField("c", T.BinaryType())])
     chosen = texts.join(F.broadcast(known), "id").select("id", "y", "t")  # known has at most `sample` rows
-    rows = chosen.mapInArrow(bags, schema).collect()
+    bagged = stage(chosen.mapInArrow(bags, schema), "bags")
+    order = Window.orderBy(F.xxhash64("id"), "id", "y", "size")  # at most `sample` documents' sizes, not their bags
+    sizes = bagged.select("id", "y", (F.octet_length("i") + F.octet_length("c")).alias("size"))
+    sizes = sizes.withColumn("upto", F.sum("size").over(order)).withColumn("at", F.row_number().over(order))
+    last = sizes.where((F.col("upto") <= sample_bytes) | (F.col("at") == 1)).agg(F.max(F.struct(F.xxhash64("id").alias("h"), "id")).alias("k")).first()["k"]
+    rows = [] if last is None else bagged.where((F.xxhash64("id") < last["h"]) | ((F.xxhash64("id") == last["h"]) & (F.col("id") <= F.lit(last["id"])))).collect()
+    drop_staged(bagged)
     rows.sort(key=lambda r: (str(r.id), r.y, bytes(r.i), bytes(r.c)))
-    return train([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.c, "<i4")) for r in rows], np.array([r.y for r in rows], int))
+    return train([(np.frombuffer(r.i, "<u2"), np.frombuffer(r.c, "<i4")) for r in rows], np.array([r.y for r in rows], int))
 
 
+@guarded("_t")
 def classify(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1, of label 1) and predicted (1 if score >= threshold, else 0) from the whole text alone.
 
