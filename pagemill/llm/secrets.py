@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stage
+from pagemill.llm.common import guarded, stage
 
 # What a base span is. The key words of an assignment match in either case, letter by letter, so that no
 # engine's Unicode case folding takes part.
@@ -23,8 +23,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 MIXED = "[A-Za-z0-9+/_-]{20,}"
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "owned")
-#: A value that this many owners have is a copied example.
-COPIED = 2
+#: A value that this many owners have, or this many repositories of whichever owners, is a copied example.
+COPIED, WIDE = 2, 10
 _CHUNK = 256
 
 
@@ -73,13 +73,14 @@ def _mixed(text: Column, base: Column) -> Column:
     return F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
+@guarded("_owner", "_repo", "_key", "_k", "_text", "_base", "_all", "_spans")
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per document: the columns of `keep` (the id alone, if None), n_assign, n_access, n_hex and spans.
 
     spans: array<struct<start, kind, end, hash, n_owners, n_repos, verdict>> in order of start and kind, where kind
     indexes KINDS. Values are hashed (SHA-256); for each hash of the corpus its distinct owners, and the repositories of
-    each of them, are counted, and a value of COPIED owners or more is an "example", any other "live". Base spans stay
-    whatever their verdict; spans of the method's own kind stay if live. Values never leave their document's row but as hashes.
+    each of them, are counted; a value of COPIED owners or WIDE repositories or more is an "example", any other "live".
+    Base spans stay whatever their verdict; spans of the method's own kind stay if live. Values never leave their document's row but as hashes.
 
     repo_col: the repository; a document is its own, if None. A null owner or repository counts as one more of them. Null
     texts are empty; empty texts have no spans; equal rows get equal ones; an empty table gives no rows.
@@ -88,7 +89,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repo = F.col(f"`{repo_col or id_col}`").cast("string")
     names = keep or [id_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{owner_col}`").cast("string").alias("_owner"), repo.alias("_repo"),
-                       F.sha2(F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("?")), text), 256).alias("_key"), text.alias("_text"))
+                       F.sha2(F.concat(F.coalesce(F.concat(F.col(f"`{id_col}`").cast("string"), F.lit(":")), F.lit("?")), text), 256).alias("_key"), text.alias("_text"))
     rows = rows.withColumn("_base", F.concat(matches(F.col("_text"), ASSIGN, 0, 2, LEAST_VALUE), matches(F.col("_text"), ACCESS, 1), matches(F.col("_text"), HEX, 2)))
     rows = rows.withColumn("_all", F.concat("_base", _mixed(F.col("_text"), F.col("_base"))))
     hashed = F.transform("_all", lambda s: F.struct(s["start"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")))
@@ -96,7 +97,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = rows.select("_key", "_owner", "_repo", F.explode("_spans").alias("s")).select("_key", "_owner", "_repo", "s.*")
     owners = found.groupBy("hash", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
     spans = found.select("_key", "start", "kind", "end", "hash").distinct().join(owners, "hash")
-    spans = spans.withColumn("verdict", F.when(F.col("n_owners") >= COPIED, "example").otherwise("live")).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
+    spans = spans.withColumn("verdict", F.when((F.col("n_owners") >= COPIED) | (F.col("n_repos") >= WIDE), "example").otherwise("live")).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
     spans = spans.groupBy(F.col("_key").alias("_k")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "verdict"))).alias("spans"))
     out = rows.join(spans, rows["_key"] == spans["_k"], "left")
     none = F.array().cast(spans.schema["spans"].dataType)
@@ -117,7 +118,9 @@ def written(spans: Column) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     out = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    live = F.size(F.filter("spans", lambda s: s["verdict"] == "live"))
+    told = [(F.size("spans") - live).cast("long").alias("n_example"), live.cast("long").alias("n_live")]
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *told)
 
 
 def _sql_spans(pattern: str, kind: int, group: int, least: int) -> str:
@@ -138,13 +141,17 @@ own AS (
   WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = o.r AND b.start < o."end" AND o.start < b."end")),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM own),
-owners AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n FROM every JOIN doc USING (r) GROUP BY v),
-said AS (SELECT r, kind, start, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS s FROM every JOIN owners USING (v) WHERE kind < 3 OR n < {COPIED}),
+owners AS (
+  SELECT v, count(DISTINCT owner) >= {COPIED} OR count(DISTINCT (owner, repo)) >= {WIDE} AS example
+  FROM (SELECT v, coalesce('s' || source, '') AS owner, coalesce(CAST(doc_id AS VARCHAR), '') AS repo FROM every JOIN doc USING (r)) GROUP BY v),
+said AS (SELECT r, kind, start, example, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS s FROM every JOIN owners USING (v) WHERE kind < 3 OR NOT example),
 per AS (
   SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
-    string_agg(s, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans
+    string_agg(s, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (WHERE example) AS x, count(*) FILTER (WHERE NOT example) AS l
   FROM said GROUP BY r)
 SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CAST(coalesce(x, 0) AS BIGINT) AS n_example, CAST(coalesce(l, 0) AS BIGINT) AS n_live
 FROM doc LEFT JOIN per USING (r)
 """
