@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, drop_staged, partitions, stage, without
+from pagemill.llm.common import components, drop_staged, guarded, partitions, stage, without
 from pagemill.llm.simhash import cells
 
 OUT = ["n_links", "component_id", "kept"]
@@ -39,7 +39,7 @@ class Caps:
     def _build(self, dim: int, rows: int, listed: int, seed: int) -> None:
         rng = np.random.default_rng([seed, dim])
         self.dim, self.listed, self.best = max(16, dim), listed, listed // 2  # short vectors lie in more dimensions, as halves of few have few directions
-        self.words = int(min(8192, max(8, np.ceil(np.sqrt(rows * listed / (4 * LISTED))))))
+        self.words = int(max(8, np.ceil(np.sqrt(rows * listed / (4 * LISTED)))))
         self.turn = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0][:dim]
         cut = self.dim // 2
         self.books = []
@@ -83,8 +83,17 @@ class Caps:
         return out
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, "<f8") for b in raw])
+def _slim(raw: bytes) -> bytes:
+    """8-byte components as 4-byte ones, if these are equal."""
+    x = np.frombuffer(raw, "<f8")
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    return small.tobytes() if (small == x).all() else raw
+
+
+def _unit(raw: list[bytes], dim: int | None = None) -> np.ndarray:
+    """Unit vectors of components of 8 bytes, or, given how many there are, of 8 or 4."""
+    x = np.stack([np.frombuffer(b, "<f4" if dim and len(b) == 4 * dim else "<f8").astype("<f8") for b in raw])
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -99,18 +108,17 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> list[tupl
     return kept
 
 
-def _bucket(key: int, diagonal: bool, own: np.ndarray, size: np.ndarray, x: np.ndarray, filters: list[np.ndarray], least: float):
+def _bucket(diagonal: bool, own: np.ndarray, size: np.ndarray, x: np.ndarray, filters: list[np.ndarray], least: float):
     """Linked weight of each vector of a bucket, and links that connect what is linked.
 
-    A pair that several buckets hold is counted in the one of its smallest common filter; of the cells of a cut bucket,
-    in the one of its two blocks.
+    filters: each vector's filters before this one. A pair that several buckets hold is counted in the one of its smallest
+    common filter; of the cells of a cut bucket, in the one of its two blocks.
     """
     n = len(size)
     weight, edges, root = np.zeros(n, np.int64), [], np.arange(n)
-    wide = max(map(len, filters))
+    wide = max(1, *map(len, filters))
     lists = np.full((n, wide), -1, np.int64)
     for k, f in enumerate(filters):
-        f = f[f < key]
         lists[k, : len(f)] = f
     for at in range(0, n, 256):
         close = x[at : at + 256] @ x.T >= least
@@ -142,10 +150,10 @@ def _links(batches, least: float):
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
             if b - a < 2:
                 continue
-            x = _unit(raw.slice(a, b - a).to_pylist())
+            x = _unit(raw.slice(a, b - a).to_pylist(), int(dim[a]))
             f = [np.frombuffer(r, "<i8") for r in lists.slice(a, b - a).to_pylist()]
             c = int(cell[a])
-            weight, edges = _bucket(int(key[a]), c >> 31 == c & (1 << 31) - 1, own[a:b], size[a:b], x, f, least)
+            weight, edges = _bucket(c >> 31 == c & (1 << 31) - 1, own[a:b], size[a:b], x, f, least)
             out += [(hi[a + k], lo[a + k], None, None, weight[k]) for k in np.nonzero(weight)[0]]
             out += [(hi[a + i], lo[a + i], hi[a + j], lo[a + j], 0) for i, j in edges]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["a_hi", "a_lo", "b_hi", "b_lo", "links"])
@@ -162,6 +170,7 @@ def _links(batches, least: float):
         yield whole(held)
 
 
+@guarded("_id", "_hi", "_lo", "_v", "hi", "lo", "r_hi", "r_lo", "a_hi", "a_lo", "low", "n", "links", "found")
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, keep: list[str] | None = None) -> DataFrame:
     """Adds n_links, component_id and kept to each vector: links are pairs of cosine >= `least`, in double precision.
 
@@ -200,9 +209,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                         continue
                     lists = cap.decode(_unit([vec[i] for i in part]))
                     rep = np.repeat(part, [len(f) for f in lists])
-                    text = {i: f.tobytes() for i, f in zip(part.tolist(), lists, strict=True)}
+                    # A row needs the filters before its own alone, and vectors go in 4 bytes a component where nothing is lost.
+                    before = [f[:k].tobytes() for f in lists for k in range(len(f))]
+                    slim = {i: _slim(vec[i]) for i in part.tolist()}
                     took = batch.take(pa.array(rep))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.full(len(rep), dim, np.int32)), took.column("hi"), took.column("lo"), took.column("n"), pa.array([vec[i] for i in rep]), pa.array([text[i] for i in rep.tolist()])], ["key", "dim", "hi", "lo", "n", "vec", "filters"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.full(len(rep), dim, np.int32)), took.column("hi"), took.column("lo"), took.column("n"), pa.array([slim[i] for i in rep.tolist()], pa.binary()), pa.array(before, pa.binary())], ["key", "dim", "hi", "lo", "n", "vec", "filters"])
 
     decoded = nodes.select("hi", "lo", "n", "v").mapInArrow(list_decode, "key long, dim int, hi long, lo long, n long, vec binary, filters binary")
     decoded = cells(decoded, "key", BLOCK, "hi").repartition(partitions(vectors.sparkSession), "key", "cell").sortWithinPartitions("key", "cell", "dim", "hi", "lo")
