@@ -40,11 +40,15 @@ def running(sizes: Column) -> Column:
 
         return F.aggregate(values, start, step, lambda acc: acc["a"])
 
-    n = F.ceil(F.size(sizes) / _CHUNK).cast("int")
-    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.slice(sizes, c * _CHUNK + 1, _CHUNK))).otherwise(F.array().cast("array<array<bigint>>"))
-    ends = sums(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
-    bases = F.concat(F.array(F.lit(0).cast("long")), ends)
-    return F.flatten(F.zip_with(chunks, F.slice(bases, 1, F.greatest(n, F.lit(1))), lambda c, b: sums(F.coalesce(c, F.array().cast("array<bigint>")), b)))
+    def whole(sizes: Column) -> Column:
+        n = F.ceil(F.size(sizes) / _CHUNK).cast("int")
+        chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.slice(sizes, c * _CHUNK + 1, _CHUNK))).otherwise(F.array().cast("array<array<bigint>>"))
+        ends = sums(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+        bases = F.concat(F.array(F.lit(0).cast("long")), ends)
+        return F.flatten(F.zip_with(chunks, F.slice(bases, 1, F.greatest(n, F.lit(1))), lambda c, b: sums(F.coalesce(c, F.array().cast("array<bigint>")), b)))
+
+    # A one-element array's transform works sizes out once, not once a chunk.
+    return F.element_at(F.transform(F.array(sizes), whole), 1)
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
