@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def digits_only(value: Column) -> Column:
-    """Spaces and dashes are ignored; any other non-digit makes it null (and so not valid)."""
-    bare = F.regexp_replace(value, "[ -]", "")
-    return F.when(bare.rlike("^[0-9]+$"), bare)
+    """The digits alone, whatever separates them; null if there are none."""
+    bare = F.regexp_replace(value, "[^0-9]", "")
+    return F.when(bare != "", bare)
 
 
 def compact(value: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import validators as v
+from pagemill.operators.objects import settled
 
 # The patterns that define each kind of finding.
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -22,7 +23,7 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 ICD10_CATEGORY = r"(?:[A-TV-Z][0-9][0-9]|C4A|C7[AB]|D3A|M1A|Z3A)"
 ICD10_PREFIX = rf"\b{ICD10_CATEGORY}(?:\.[0-9A-Z]{{1,4}})?\b"
 ICD10_CODE = rf"\b{ICD10_CATEGORY}\.[0-9A-Z]{{1,4}}\b"
-ICD10_LABELED = rf"(?<=\b(?i:icd(?:[ -]?10)?(?:[ -]?cm)?|dx|diagnosis)\b[ \t]{{0,20}}[:#]?[ \t]{{0,20}}(?:(?i:code)\b[ \t]{{0,20}}[:#]?[ \t]{{0,20}})?){ICD10_CATEGORY}(?:\.[0-9A-Z]{{1,4}})?\b"
+ICD10_LABEL = r"\b(?i:icd(?:[ -]?10)?(?:[ -]?cm)?|dx|diagnosis)\b[ \t]*[:#]?[ \t]*(?:(?i:code)\b[ \t]*[:#]?[ \t]*)?"
 CARD = r"\b(?:\d[ -]?){13,19}\b"
 ISO_DATE = r"\b\d{4}[-/]\d{2}[-/]\d{2}\b"
 ZIP = r"\b\d{5}(?:-\d{4})?\b"
@@ -31,10 +32,8 @@ PAN = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
 AADHAAR = r"\b[2-9]\d{3}\s?\d{4}\s?\d{4}\b"
 IBAN = r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
 ABA = r"\b\d{9}\b"
-SWIFT = (
-    r"(?:(?<=\b(?i:bic|swift)\b(?:[ -]?(?i:code)\b)?[ \t]{0,20}[:#]?[ \t]{0,20})[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?"
-    r"|\b(?=[A-Z0-9]{8}(?:[A-Z0-9]{3})?\b)[A-Z]{6}(?=[A-Z0-9]{0,4}[0-9])[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b"
-)
+SWIFT_LABEL = r"\b(?i:bic|swift)\b(?:[ -]?(?i:code)\b)?[ \t]*[:#]?[ \t]*"
+SWIFT = r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"
 EIN = r"\b\d{2}-\d{7}\b"
 ITIN = r"\b9\d{2}-\d{2}-\d{4}\b"
 NPI = r"\b\d{10}\b"
@@ -43,24 +42,48 @@ IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 
 @dataclass(frozen=True)
 class Rule:
-    """name: what findings are called. pages: zero-based page numbers it applies to, or None for all."""
+    """name: what findings are called. pages: zero-based page numbers it applies to, or None for all.
+
+    label: a pattern in front that is no part of the finding. alone: what a value must fulfil that has no label in front;
+    without it, there must be one. Patterns have no groups of their own that capture.
+    """
 
     name: str
     pattern: str
     validator: Callable[[Column], Column] | None = None
     pages: tuple[int, ...] | None = None
     ignore_case: bool = False
+    label: str = ""
+    alone: Callable[[Column], Column] | None = None
 
     @property
     def regex(self) -> str:
-        return f"(?i){self.pattern}" if self.ignore_case else self.pattern
+        pattern = self.pattern
+        if self.label:
+            pattern = rf"({self.label})({pattern})" if self.alone is None else rf"({self.label})?\b({pattern})"
+        return f"(?i){pattern}" if self.ignore_case else pattern
+
+    def matches(self, text: Column) -> Column:
+        """All matches in order, as array<struct<label, value>>; null for a null text."""
+        p = F.lit(self.regex)
+        if not self.label:
+            return F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.struct(F.lit("").alias("label"), m.alias("value")))
+        return F.zip_with(F.regexp_extract_all(text, p, F.lit(1)), F.regexp_extract_all(text, p, F.lit(2)), lambda a, b: F.struct(a.alias("label"), b.alias("value")))
+
+    def valid(self, match: Column) -> Column:
+        """Whether a match is a finding."""
+        ok = F.lit(True) if self.validator is None else self.validator(match["value"])
+        return ok if self.alone is None else ok & ((match["label"] != "") | self.alone(match["value"]))
 
     def found(self, text: Column) -> Column:
         """The matched strings that are findings, in order; empty for a null text."""
-        all_ = F.when(text.rlike(self.regex), F.regexp_extract_all(text, F.lit(self.regex), F.lit(0)))
-        if self.validator is not None:
-            all_ = F.filter(all_, self.validator)
-        return F.coalesce(all_, F.array().cast("array<string>"))
+        if self.label:
+            every = F.filter(self.matches(text), self.valid)
+            values = F.transform(every, lambda m: m["value"])
+        else:
+            values = F.regexp_extract_all(text, F.lit(self.regex), F.lit(0))
+            values = values if self.validator is None else F.filter(values, self.validator)
+        return F.coalesce(values, F.array().cast("array<string>"))
 
     def applies(self, page: Column | None) -> Column:
         return F.lit(True) if self.pages is None or page is None else page.isin(*self.pages)
@@ -74,8 +97,8 @@ def labeled(label: str, name: str | None = None) -> Rule:
 RULES = {
     r.name: r for r in (
         Rule("ssn", SSN), Rule("phone", PHONE), Rule("email", EMAIL), Rule("icd10", ICD10_PREFIX), Rule("icd10_code", ICD10_CODE),
-        Rule("icd10_labeled", ICD10_LABELED), Rule("card", CARD, v.luhn), Rule("isodate", ISO_DATE), Rule("zip", ZIP), Rule("nhs", NHS),
-        Rule("pan", PAN), Rule("aadhaar", AADHAAR, v.verhoeff), Rule("iban", IBAN, v.iban), Rule("aba", ABA, v.aba), Rule("swift", SWIFT, v.bic),
+        Rule("icd10_labeled", ICD10_CATEGORY + r"(?:\.[0-9A-Z]{1,4})?\b", label=ICD10_LABEL), Rule("card", CARD, v.luhn), Rule("isodate", ISO_DATE), Rule("zip", ZIP), Rule("nhs", NHS),
+        Rule("pan", PAN), Rule("aadhaar", AADHAAR, v.verhoeff), Rule("iban", IBAN, v.iban), Rule("aba", ABA, v.aba), Rule("swift", SWIFT, v.bic, label=SWIFT_LABEL, alone=lambda m: m.rlike("[0-9]")),
         Rule("ein", EIN), Rule("itin", ITIN, v.itin), Rule("npi", NPI, v.npi), Rule("ipv4", IPV4),
     )
 }
@@ -114,22 +137,14 @@ def redact(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", mask:
     """docs with every finding replaced by as many mask characters as it has; other columns pass through.
 
     Rules with a validator replace only valid matches: the text between matches is kept and each match is looked at.
+    Every rule reads the last one's text, a projection over a projection, so that the plan grows with the rules alone.
     """
-    text = F.col(text_col)
-    page = F.col(page_col) if page_col else None
     for r in rules:
-        p = F.lit(r.regex)
-        found = F.regexp_extract_all(text, p, F.lit(0))
-        between = F.split(text, r.regex, -1)
-        valid = r.validator or (lambda m: F.lit(True))
-        masked = F.transform(found, _masker(valid, mask))
-        parts = F.zip_with(between, masked, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        text = F.when(text.rlike(r.regex) & r.applies(page), F.array_join(parts, "")).otherwise(text)
-    return docs.withColumn(text_col, text)
+        text = F.col(f"`{text_col}`")
 
-
-def _masker(valid, mask):
-    return lambda m: F.when(valid(m), F.repeat(F.lit(mask), F.length(m))).otherwise(m)
+        parts = F.zip_with(F.split(text, r.regex, -1), F.transform(r.matches(text), _masker(r, mask)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        docs = docs.withColumn(text_col, F.when(text.rlike(r.regex) & r.applies(F.col(page_col) if page_col else None), F.array_join(parts, "")).otherwise(text))
+    return docs
 
 
 def survivors(docs: DataFrame, rules: Sequence[Rule], text_cols: Sequence[str] = ("text",), by: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -141,15 +156,25 @@ def survivors(docs: DataFrame, rules: Sequence[Rule], text_cols: Sequence[str] =
     return out
 
 
+def _masker(r: Rule, mask: str) -> Callable[[Column], Column]:
+    return lambda m: F.concat(m["label"], F.when(r.valid(m), F.repeat(F.lit(mask), F.length(m["value"]))).otherwise(m["value"]))
+
+
 class RedactionIncomplete(RuntimeError):
     """Findings survive after the last pass; nothing was written."""
 
 
-def write_redacted(docs: DataFrame, rules: Sequence[Rule], path: str, text_col: str = "text", passes: int = 3, **settings) -> int:
-    """Redacts and writes Parquet, all or nothing: the text is searched again, up to `passes` times, before the write. Returns the passes."""
+def redacted(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", passes: int = 3, **settings) -> tuple[DataFrame, int]:
+    """Redacted docs, whole or not at all, and how many passes it took: each pass is written to the shared folder and searched again."""
     for n in range(1, passes + 1):
-        docs = redact(docs, rules, text_col, **settings)
-        if survivors(docs.withColumn("_row", F.lit(0)), rules, [text_col], ["_row"]).isEmpty():
-            docs.write.parquet(path)
-            return n
+        docs = settled(redact(docs, rules, text_col, **settings))
+        if survivors(docs.select(F.lit(0).alias("_row"), F.col(f"`{text_col}`")), rules, [text_col], ["_row"]).isEmpty():
+            return docs, n
     raise RedactionIncomplete(f"findings survive {passes} passes")
+
+
+def write_redacted(docs: DataFrame, rules: Sequence[Rule], path: str, text_col: str = "text", passes: int = 3, **settings) -> int:
+    """Redacts and writes Parquet, all or nothing: the text is searched again, up to `passes` times, before the write. Returns the passes."""
+    docs, n = redacted(docs, rules, text_col, passes, **settings)
+    docs.write.parquet(path)
+    return n

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_own: dict[str, str] = {}
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read back: loops cut their lineage here."""
+    """df written to the folder in spark.checkpoint.dir (a temporary one where that is unset, on one machine alone) and read back: loops cut their lineage here."""
     spark = df.sparkSession
     try:
         top = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # an unset key without a default raises
         top = None
-    top = top or "file://" + tempfile.mkdtemp(prefix="pagemill-")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="pagemill-"))
     path = f"{top.rstrip('/')}/pagemill/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -119,17 +125,38 @@ def dedup_objects(objects: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"not settled in {most} rounds")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
-    """(doc_id, obj_no) that roots lead to over (doc_id, src, dst). Each round joins only what the last one found; found rows are written."""
-    found = settled(roots.select("doc_id", "obj_no").distinct())
-    front = found
-    for _ in range(most):
-        step = front.select("doc_id", F.col("obj_no").alias("src")).join(edges, ["doc_id", "src"]).select("doc_id", F.col("dst").alias("obj_no")).distinct()
+def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+    """(doc_id, obj_no) that roots lead to over (doc_id, src, dst).
+
+    Each round joins only what the last one found, and found rows are written once. After every fourth round objects
+    with a single reference get one that leads twice as far as their last one, so that a chain of n objects takes about
+    4 log2(n) rounds and no more than n log2(n) references; `most` counts those doublings.
+    """
+    fronts = [settled(roots.select("doc_id", "obj_no").distinct())]
+    edges, jumps = edges.select("doc_id", "src", "dst").where("src <> dst"), None
+    for n in range(1, most * 4):
+        step = fronts[-1].select("doc_id", F.col("obj_no").alias("src")).join(edges, ["doc_id", "src"]).select("doc_id", F.col("dst").alias("obj_no")).distinct()
+        found = _united(fronts)
         front = settled(step.join(found, ["doc_id", "obj_no"], "left_anti"))
         if front.isEmpty():
             return found
-        found = settled(found.unionByName(front))
-    raise RuntimeError(f"not closed in {most} rounds")
+        fronts.append(front)
+        if n % 4 == 0:
+            if jumps is None:
+                single = edges.distinct().groupBy("doc_id", "src").agg(F.min("dst").alias("dst"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+                jumps = settled(single)
+            on = jumps.select("doc_id", F.col("src").alias("dst"), F.col("dst").alias("_on"))
+            jumps = settled(jumps.join(on, ["doc_id", "dst"]).select("doc_id", "src", F.col("_on").alias("dst")).where("src <> dst"))
+            edges = edges.unionByName(jumps)
+            fronts = [settled(_united(fronts[:-1])), front]
+    raise RuntimeError(f"not closed in {most * 4} rounds")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.functions import folds
+from pagemill.operators.objects import settled
+
 DOC, PAGE = "doc_id", "page_index"
 
 
@@ -67,10 +70,18 @@ def merge(pages: DataFrame, documents: Sequence, target, doc: str = DOC, page: s
 
 
 def document_offsets(pages: DataFrame, doc: str = DOC, at: str = "_at") -> DataFrame:
-    """How many pages stand before each document in the order of `at`: one row a document."""
+    """How many pages stand before each document in the order of `at`: one row a document.
+
+    Documents are dealt to slices by ranges of `at`, which are sorted each by itself; only the slices' sums, one row each,
+    are added up in one task.
+    """
     counts = pages.groupBy(doc, at).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select(doc, at, F.coalesce(before, F.lit(0)).alias("offset"))
+    sliced = settled(counts.repartitionByRange(F.col(at)).withColumn("_slice", F.spark_partition_id()))
+    within = Window.partitionBy("_slice").orderBy(at, doc).rowsBetween(Window.unboundedPreceding, -1)
+    above = sliced.groupBy("_slice").agg(F.sum("n").alias("_sum"))
+    above = above.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    before = F.coalesce(F.sum("n").over(within), F.lit(0))
+    return sliced.withColumn("_before", before).join(above, "_slice").select(doc, at, (F.col("_before") + F.col("_above")).alias("offset"))
 
 
 def rebase_outline(outline: DataFrame, offsets: DataFrame, doc: str = DOC, page: str = PAGE) -> DataFrame:
@@ -126,16 +137,19 @@ def paginate(rows: DataFrame, group: str, order: str, height: str, room: float,
     heights, in order: overflow resets the sum, which no window frame can say.
     """
     items = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(height).cast("double").alias("h")))).alias("_i"))
-    start = F.struct(F.lit(0).alias("page"), F.lit(0.0).alias("y"), F.array().cast("array<struct<o:bigint,page:int,y:double>>").alias("out"))
-
     def step(acc, x):
         top = F.when(acc["page"] > 0, F.lit(float(repeat))).otherwise(0.0)
         over = (acc["y"] + x["h"] > room) & (acc["y"] > top)
-        page = F.when(over, acc["page"] + 1).otherwise(acc["page"])
         y = F.when(over, F.lit(float(repeat))).otherwise(acc["y"])
-        return F.struct(page.alias("page"), (y + x["h"]).alias("y"), F.array_append(acc["out"], F.struct(x["o"].cast("bigint").alias("o"), page.alias("page"), y.alias("y"))).alias("out"))
+        return F.struct(F.when(over, acc["page"] + 1).otherwise(acc["page"]).alias("page"), (y + x["h"]).alias("y"))
+
+    def told(acc, x):
+        at = step(acc, x)
+        return F.struct(x["o"].cast("bigint").alias("o"), at["page"].alias("page"), (at["y"] - x["h"]).alias("y"))
 
-    placed = items.select(group, F.explode(F.aggregate("_i", start, step, lambda acc: acc["out"])).alias("_p")).select(group, F.col("_p.o").alias(order), F.col("_p.page").alias("page"), F.col("_p.y").alias("y"))
+    start = F.struct(F.lit(0).alias("page"), F.lit(0.0).alias("y"))
+    out = folds.scan(F.col("_i"), start, step, told, "struct<o:bigint,page:int,y:double>")
+    placed = items.select(group, F.explode(out).alias("_p")).select(group, F.col("_p.o").alias(order), F.col("_p.page").alias("page"), F.col("_p.y").alias("y"))
     return rows.join(placed, [group, order])
 
 

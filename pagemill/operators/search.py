@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.functions import folds
+
 _SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|\-#&~])")
 
 
@@ -26,18 +28,28 @@ def places(text: Column, query: str, ignore_case: bool = False, whole_word: bool
     if not query:
         raise ValueError("the query is empty")
     pattern = ("(?iu)" if ignore_case else "") + _literal(query)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    ends = F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x["a"] + x["b"]).alias("at"), F.array_append(acc["out"], acc["at"] + x["a"]).alias("out")), lambda acc: acc["out"])
-    if whole_word:
-        def clear(at: Column) -> Column:
-            before = F.when(at > 0, F.substring(text, at, F.lit(1))).otherwise("")
-            return ~before.rlike(r"[\p{L}\p{N}]") & ~F.substring(text, at + len(query) + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-
-        ends = F.filter(ends, clear)
-    return F.when(text.rlike(pattern), ends).otherwise(F.array().cast("array<int>"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    word = [c.isalpha() or c.isnumeric() for c in (query[0], query[-1])]
+    starts = folds.let(parts, lambda p: _starts(p["found"], p["pieces"], word if whole_word else None))
+    return F.when(text.rlike(pattern), starts).otherwise(F.array().cast("array<int>"))
+
+
+def _starts(found: Column, pieces: Column, word: list[bool] | None) -> Column:
+    """Where the matches between pieces start. word: only where no letter stands beside, given whether a match starts or ends with one.
+
+    What stands beside a match is the end of the piece before it and the start of the piece behind it; an empty piece
+    means that another match does, or that the text ends.
+    """
+    n, letter = F.size(found), r"[\p{L}\p{N}]"
+    steps = F.zip_with(F.slice(pieces, 1, n), found, lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b")))
+    starts = folds.scan(steps, F.lit(0), lambda at, x: at + x["a"] + x["b"], lambda at, x: at + x["a"], "int")
+    if word is None:
+        return starts
+    first = F.transform(pieces, lambda p, i: F.when(p != "", F.left(p, F.lit(1)).rlike(letter)).otherwise((i > 0) & (i < n) & F.lit(word[0])))
+    last = F.transform(pieces, lambda p, i: F.when(p != "", F.right(p, F.lit(1)).rlike(letter)).otherwise((i > 0) & (i < n) & F.lit(word[1])))
+    clear = F.zip_with(F.slice(last, 1, n), F.slice(first, 2, n), lambda a, b: ~a & ~b)
+    kept = F.filter(F.zip_with(starts, clear, lambda at, ok: F.struct(at.alias("at"), ok.alias("ok"))), lambda x: x["ok"])
+    return F.transform(kept, lambda x: x["at"])
 
 
 def search(pages: DataFrame, query: str, ignore_case: bool = False, whole_word: bool = False, first: int | None = None, last: int | None = None, text_col: str = "text", page_col: str | None = None) -> DataFrame:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
+from pagemill.operators.objects import settled
+
 DEEPEST = 1024
 
 
 def _recursive(df: DataFrame, sql: str) -> DataFrame:
-    name = f"_tree_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
+    """Runs SQL over df as {t}, in a session whose limits on recursion are these queries' own."""
     spark = df.sparkSession
-    for key, value in (("spark.sql.cteRecursionLevelLimit", str(DEEPEST)), ("spark.sql.cteRecursionRowLimit", "-1")):
+    wanted = {"spark.sql.cteRecursionLevelLimit": str(DEEPEST), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for key, value in wanted.items():
         spark.conf.set(key, value)
-    return spark.sql(sql.format(t=name))
+    try:
+        return settled(spark.sql(sql, t=df))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def form_fields(fields: DataFrame) -> DataFrame:
@@ -37,12 +42,12 @@ FROM walk w LEFT JOIN (SELECT DISTINCT doc_id, parent_id FROM {t} WHERE parent_i
 
 
 def outline(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, title, page_index, depth, place) of (doc_id, node_id, parent_id, ordinal, title, page_index): place sorts a document's bookmarks as read."""
+    """(doc_id, node_id, title, page_index, depth, place) of (doc_id, node_id, parent_id, ordinal, title, page_index): place, the ordinals from the root, sorts a document's bookmarks as read."""
     return _recursive(nodes, """
 WITH RECURSIVE walk AS (
-  SELECT doc_id, node_id, title, page_index, 0 AS depth, lpad(cast(ordinal AS string), 6, '0') AS place, array(node_id) AS path FROM {t} WHERE parent_id IS NULL
+  SELECT doc_id, node_id, title, page_index, 0 AS depth, array(cast(ordinal AS bigint)) AS place, array(node_id) AS path FROM {t} WHERE parent_id IS NULL
   UNION ALL
-  SELECT c.doc_id, c.node_id, c.title, c.page_index, w.depth + 1, concat(w.place, '.', lpad(cast(c.ordinal AS string), 6, '0')), array_append(w.path, c.node_id)
+  SELECT c.doc_id, c.node_id, c.title, c.page_index, w.depth + 1, array_append(w.place, cast(c.ordinal AS bigint)), array_append(w.path, c.node_id)
   FROM walk w JOIN {t} c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id WHERE NOT array_contains(w.path, c.node_id))
 SELECT doc_id, node_id, title, coalesce(page_index, -1) AS page_index, depth, place FROM walk""")
 
@@ -51,8 +56,8 @@ def page_tree(nodes: DataFrame) -> DataFrame:
     """(doc_id, page_index, node_id, rotate) of page-tree nodes (doc_id, node_id, parent_id, ordinal, is_page, rotate): leaves in depth-first order, rotation inherited."""
     return _recursive(nodes, """
 WITH RECURSIVE walk AS (
-  SELECT doc_id, node_id, is_page, coalesce(rotate, 0) AS rotate, lpad(cast(ordinal AS string), 8, '0') AS place, array(node_id) AS path FROM {t} WHERE parent_id IS NULL
+  SELECT doc_id, node_id, is_page, coalesce(rotate, 0) AS rotate, array(cast(ordinal AS bigint)) AS place, array(node_id) AS path FROM {t} WHERE parent_id IS NULL
   UNION ALL
-  SELECT c.doc_id, c.node_id, c.is_page, coalesce(c.rotate, w.rotate), concat(w.place, '.', lpad(cast(c.ordinal AS string), 8, '0')), array_append(w.path, c.node_id)
+  SELECT c.doc_id, c.node_id, c.is_page, coalesce(c.rotate, w.rotate), array_append(w.place, cast(c.ordinal AS bigint)), array_append(w.path, c.node_id)
   FROM walk w JOIN {t} c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id WHERE NOT array_contains(w.path, c.node_id))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS page_index, node_id, rotate FROM walk WHERE is_page""")

@@ -86,9 +86,13 @@ def _roman_digit(place: int) -> str:
 
 
 _ROMAN = f"repeat('M', p_partkey // 1000) || {_roman_digit(100)} || {_roman_digit(10)} || {_roman_digit(1)}"
-_ALPHA = "CASE WHEN p_partkey > 18278 THEN NULL WHEN p_partkey > 702 THEN chr(CAST(65 + (p_partkey - 703) // 676 % 26 AS INT)) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr(CAST(65 + (p_partkey - 27) // 26 % 26 AS INT)) ELSE '' END || chr(CAST(65 + (p_partkey - 1) % 26 AS INT))"
 _part("fn_roman", a=(lambda: num.roman(F.col("p_partkey")), f"CASE WHEN p_partkey <= 0 THEN CAST(p_partkey AS VARCHAR) ELSE {_ROMAN} END"), b=(lambda: num.roman(-F.col("p_partkey")), "CAST(-p_partkey AS VARCHAR)"))
-_part("fn_alpha26", a=(lambda: num.letters(F.col("p_partkey")), f"CASE WHEN p_partkey <= 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_partkey <= 18278 THEN {_ALPHA} END"))
+_part("fn_alpha26", a=(lambda: num.letters(F.col("p_partkey")), "NULL"))
+ORACLES["fn_alpha26"] = """
+WITH RECURSIVE spelt(n, rest, s) AS (
+  SELECT DISTINCT p_partkey, p_partkey, '' FROM part
+  UNION ALL SELECT n, (rest - 1) // 26, chr(CAST(65 + (rest - 1) % 26 AS INT)) || s FROM spelt WHERE rest > 0)
+SELECT p_partkey, CASE WHEN p_partkey <= 0 THEN CAST(p_partkey AS VARCHAR) ELSE s END AS a FROM part JOIN spelt ON n = p_partkey AND rest <= 0"""
 _part("fn_tmpl", a=(lambda: num.template("Page {page} of {total} {{x}} {what} {filename} {number}", F.col("p_size"), lit(50), F.concat(lit("/d/"), name()), num.label(F.col("p_partkey"), "B-", width=6)), "'Page ' || p_size || ' of 50 {x} {what} ' || p_name || ' B-' || CASE WHEN p_partkey < 100000 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END"), b=(lambda: num.template("open {page", F.col("p_size"), lit(1)), "'open {page'"))
 _case("fn_date", "orders", "o_orderkey", a=(lambda: num.template("{date} {time} {date:yyyy/MM}", lit(1), lit(1), stamp=F.col("o_orderdate")), "strftime(o_orderdate, '%Y-%m-%d %H:%M %Y/%m')"), b=(lambda: geo.parse_date(F.concat(lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), lit("+02'30'"))), "o_orderdate - INTERVAL 150 MINUTE"))
 _part("fn_pdf_calc", a=(lambda: calc.calculator("{ dup 10 gt { 2 mul } { 3 add } ifelse }", [size()], [(0, 1000)])[0], "CASE WHEN p_size > 10 THEN p_size * 2.0::DOUBLE ELSE p_size + 3.0::DOUBLE END"), b=(lambda: calc.calculator("{ 0 div }", [size()], [(-1, 1)])[0], "0.0::DOUBLE"), c=(lambda: calc.calculator("{ 1 2 3 3 1 roll pop pop exch pop }", [size()], [(0, 100)])[0], "3.0::DOUBLE"), d=(lambda: calc.calculator("{ 7 mod neg 3 idiv }", [size()], [(-100, 100)])[0], "CAST(trunc(-(p_size % 7) / 3.0::DOUBLE) AS DOUBLE) + 0.0"), e=(lambda: calc.calculator("{ dup 4 and exch 2 bitshift or }", [size()], [(0, 1e6)])[0], "CAST((p_size & 4) | (p_size << 2) AS DOUBLE)"))

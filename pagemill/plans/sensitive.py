@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ EXTRA = [
     (1000000001, "SSN 123-45-6789, again 987-65-4321x; call (555) 123-4567 or 555-123-4567 or 555.123.4567."),
     (1000000002, "Dx: E11 and J45.901, C4A, B2B; icd-10 code: M1A.0; A12"),
     (1000000003, "cards 4532 0151 1283 0366, 4532-0151-1283-0367 and 79927398713; NHS 943 476 5919"),
-    (1000000004, "ABCDE1234F is a PAN; Aadhaar 2341 2341 2346, 9999 9999 0019, 234123412341"),
+    (1000000004, "ABCDE1234F is a PAN; Aadhaar 2341 2341 2346, 9999 9999 0019, 234123412341, 2341\t2341\n2346"),
     (1000000005, "IBAN GB82WEST12345698765432, GB83WEST12345698765432, DE89370400440532013000"),
     (1000000006, "routing 021000021 and 021000022; EIN 12-3456789; ITIN 912-70-1234, 912-93-1234, 812-70-1234"),
     (1000000007, "SWIFT: DEUTDEFF, HDFCINBB0XX, ICICINBB001; TREATMENT APPROVED BY ONCOLOGY HOSPITAL; bic code # HOSPITAL"),
@@ -29,11 +31,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    rows = ", ".join(f"({i}, '{t}')" for i, t in EXTRA)
+    rows = ", ".join(f"({i}, '{t}')" for i, t in EXTRA)  # the same bytes: tabs and line ends as they are
     return f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}) v(doc_id, text))"
 
 
-_D = "regexp_replace(m, '[ -]', '', 'g')"
+_D = "regexp_replace(m, '[^0-9]', '', 'g')"
 
 
 def _luhn(digits: str) -> str:
@@ -57,14 +59,34 @@ _SQL_VALID = {
     "aba": "list_sum(list_transform(range(1, 10), lambda i: [3, 7, 1][(i - 1) % 3 + 1] * (ascii(substr(m, i, 1)) - 48))) % 10 = 0",
     "itin": f"({_GROUP} BETWEEN 50 AND 65 OR {_GROUP} BETWEEN 70 AND 88 OR {_GROUP} BETWEEN 90 AND 92 OR {_GROUP} BETWEEN 94 AND 99)",
 }
-#: Rules whose pattern looks behind or ahead, which DuckDB's engine doesn't.
-_NO_SQL = {"icd10_labeled", "swift"}
+
+
+def _countries() -> str:
+    """ISO 3166-1 codes of the time-zone database, and XK, as a list."""
+    table = (resources.files("tzdata") / "zoneinfo" / "iso3166.tab").read_text(encoding="utf-8")
+    return str(sorted({*(line[:2] for line in table.splitlines() if line and line[0] != "#"), "XK"}))
+
+
+_SQL_VALID["swift"] = f"list_contains({_countries()}, substr(m, 5, 2))"
+
+
+def _regex(name: str) -> str:
+    return d.RULES[name].regex.replace("'", "''")
+
+
+def _pairs(name: str, text: str = "text") -> str:
+    """All matches of a rule as a list of structs (l: the label in front, m: the value)."""
+    p, rule = _regex(name), d.RULES[name]
+    if not rule.label:
+        return f"list_transform(regexp_extract_all({text}, '{p}'), lambda x: {{'l': '', 'm': x}})"
+    return f"list_transform(list_zip(regexp_extract_all({text}, '{p}', 1), regexp_extract_all({text}, '{p}', 2)), lambda x: {{'l': coalesce(x[1], ''), 'm': x[2]}})"
 
 
 def _found(name: str) -> str:
-    pattern = d.RULES[name].pattern.replace("'", "''")
-    every = f"regexp_extract_all(text, '{pattern}')"
-    return f"list_filter({every}, lambda m: {_SQL_VALID[name]})" if name in _SQL_VALID else every
+    if name not in _SQL_VALID and not d.RULES[name].label:
+        return f"regexp_extract_all(text, '{_regex(name)}')"
+    values = f"list_transform({_pairs(name)}, lambda x: x.m)" if not d.RULES[name].alone else f"list_transform(list_filter({_pairs(name)}, lambda x: x.l <> '' OR regexp_matches(x.m, '[0-9]')), lambda x: x.m)"
+    return f"list_filter({values}, lambda m: {_SQL_VALID[name]})" if name in _SQL_VALID else values
 
 
 def _rule(name: str):
@@ -75,26 +97,20 @@ def _rule_sql(name: str) -> str:
     return f"WITH {_values()}, f AS (SELECT doc_id, {_found(name)} AS ms FROM docs) SELECT doc_id, '{name}' AS rule, CAST(i AS INT) AS seq, ms[i] AS \"match\" FROM (SELECT doc_id, ms, unnest(range(1, len(ms) + 1)) AS i FROM f)"
 
 
-_IDS = {n: f"pii_{n}" for n in d.RULES} | {"icd10_code": "pii_icd10_code", "icd10_labeled": "pii_icd10_labeled"}
-QUERIES = {_IDS[n]: _rule(n) for n in d.RULES}
-ORACLES = {_IDS[n]: _rule_sql(n) for n in d.RULES if n not in _NO_SQL}
+QUERIES = {f"pii_{n}": _rule(n) for n in d.RULES}
+ORACLES = {f"pii_{n}": _rule_sql(n) for n in d.RULES}
 
 #: A card's pattern may end with a separator before a letter that only one of the two engines takes for a word's; it is cut off.
 QUERIES["pii_card"] = lambda spark, sf_dir: _rule("card")(spark, sf_dir).withColumn("match", F.rtrim("match"))
 ORACLES["pii_card"] = f"SELECT doc_id, rule, seq, rtrim(\"match\") AS \"match\" FROM ({_rule_sql('card')})"
 
-_SET = [r for name in ("financial", "medical", "general") for r in d.SETS[name] if r.name not in _NO_SQL]
+_SET = [r for name in ("financial", "medical", "general") for r in d.SETS[name]]
 QUERIES["pii_sets"] = lambda spark, sf_dir: d.counts(_docs(spark, sf_dir), _SET, ["doc_id"])
-ORACLES["pii_sets"] = f"WITH {_values()} " + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, CAST(len({_found(r.name)}) AS BIGINT) AS n_found FROM docs WHERE len({_found(r.name)}) > 0" for r in _SET)
+ORACLES["pii_sets"] = f"WITH {_values()}, f AS (SELECT doc_id, " + ", ".join(f"len({_found(r.name)}) AS {r.name}" for r in _SET) + " FROM docs) " + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, CAST({r.name} AS BIGINT) AS n_found FROM f WHERE {r.name} > 0" for r in _SET)
 
 QUERIES["agg_report"] = lambda spark, sf_dir: d.counts(_docs(spark, sf_dir), _SET, ["doc_id"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_found").alias("n_found"))
 ORACLES["agg_report"] = f"SELECT rule, count(*) AS n_docs, CAST(sum(n_found) AS BIGINT) AS n_found FROM ({ORACLES['pii_sets']}) GROUP BY rule"
 
-#: The same over every rule of the three sets: pii_sets and agg_report are held to their SQL, which has no labelled ICD-10 codes and no SWIFT codes.
-_WHOLE_SET = [r for name in ("financial", "medical", "general") for r in d.SETS[name]]
-QUERIES["pii_sets_whole"] = lambda spark, sf_dir: d.counts(_docs(spark, sf_dir), _WHOLE_SET, ["doc_id"])
-QUERIES["agg_report_whole"] = lambda spark, sf_dir: QUERIES["pii_sets_whole"](spark, sf_dir).groupBy("rule").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_found").alias("n_found"))
-
 QUERIES["pii_labeled"] = lambda spark, sf_dir: d.findings(_docs(spark, sf_dir), [d.labeled("MRN"), d.labeled("token", "token")])
 ORACLES["pii_labeled"] = f"WITH {_values()}, f AS (SELECT doc_id, 'labeled:MRN' AS rule, regexp_extract_all(text, 'MRN\\s*[:#]?\\s*([A-Za-z0-9][A-Za-z0-9\\-/]*)') AS ms FROM docs UNION ALL SELECT doc_id, 'token', regexp_extract_all(text, 'token\\s*[:#]?\\s*([A-Za-z0-9][A-Za-z0-9\\-/]*)') FROM docs) SELECT doc_id, rule, CAST(i AS INT) AS seq, ms[i] AS \"match\" FROM (SELECT doc_id, rule, ms, unnest(range(1, len(ms) + 1)) AS i FROM f)"
 
@@ -103,21 +119,26 @@ QUERIES["pii_rule"] = lambda spark, sf_dir: d.findings(_docs(spark, sf_dir).with
 ORACLES["pii_rule"] = f"WITH {_values()}, f AS (SELECT doc_id, CAST(doc_id % 4 AS INT) AS page, regexp_extract_all(text, '(?i)licen[cs]e') AS ms FROM docs WHERE doc_id % 4 IN (0, 2)) SELECT doc_id, page, 'custom' AS rule, CAST(i AS INT) AS seq, ms[i] AS \"match\" FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f)"
 
 _PLAIN = [d.RULES[n] for n in ("email", "ssn", "ipv4", "isodate")]
-QUERIES["red_apply"] = lambda spark, sf_dir: d.redact(_docs(spark, sf_dir), _PLAIN, mask="#").select("doc_id", "text")
+#: Every rule of the three sets, one after the other, then searched again until nothing is left.
+QUERIES["red_apply"] = lambda spark, sf_dir: d.redacted(_docs(spark, sf_dir), _SET, mask="#")[0].select("doc_id", "text")
 
 
-def _masked(sql: str, rule: d.Rule) -> str:
-    p = rule.pattern.replace("'", "''")
-    pieces = f"string_split_regex({sql}, '{p}')"
-    found = f"regexp_extract_all({sql}, '{p}')"
-    return f"array_to_string(list_transform(list_zip({pieces}, {found}), lambda x: x[1] || coalesce(repeat('#', length(x[2])), '')), '')"
+def _masked(name: str) -> str:
+    """The text with a rule's valid values masked: the pieces between matches, and each match's label and value."""
+    checked = _SQL_VALID.get(name, "true")
+    if d.RULES[name].alone:
+        checked = f"({checked}) AND (l <> '' OR regexp_matches(m, '[0-9]'))"
+    return f"""
+  SELECT doc_id, CASE WHEN n = 0 THEN any_value(text) ELSE string_agg(piece || coalesce(l || CASE WHEN {checked} THEN repeat('#', length(m)) ELSE m END, ''), '' ORDER BY i) END AS text
+  FROM (SELECT doc_id, text, len(ms) AS n, unnest(range(1, greatest(len(ps), 1) + 1)) AS i, ps[i] AS piece, ms[i].l AS l, ms[i].m AS m
+    FROM (SELECT doc_id, text, string_split_regex(text, '{_regex(name)}') AS ps, {_pairs(name)} AS ms FROM docs)) GROUP BY doc_id, n"""
 
 
 def _redacted() -> str:
     sql = f"WITH {_values()}, t0 AS (SELECT doc_id, text FROM docs)"
-    for k, r in enumerate(_PLAIN):
-        sql += f", t{k + 1} AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE {_masked('text', r)} END AS text FROM t{k})"
-    return f"{sql} SELECT doc_id, text FROM t{len(_PLAIN)}"
+    for k, r in enumerate(_SET):
+        sql += f", t{k + 1} AS ({_masked(r.name).replace('FROM docs))', f'FROM t{k}))')})"
+    return f"{sql} SELECT doc_id, text FROM t{len(_SET)}"
 
 
 ORACLES["red_apply"] = _redacted()

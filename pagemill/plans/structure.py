@@ -189,6 +189,6 @@ _WALK = "WITH RECURSIVE t AS (SELECT * FROM {t}), w AS (SELECT doc_id, field_id,
 _add("ext_fields", lambda s, d: trees.form_fields(_rows(s, *_FORM)), _WALK.format(t=_sql_rows(*_FORM)))
 _add("ext_leaf_fields", lambda s, d: trees.form_fields(_rows(s, *_FORM)).where("is_leaf").select("doc_id", "field_id", "full_name"), f"SELECT doc_id, field_id, full_name FROM ({_WALK.format(t=_sql_rows(*_FORM))}) WHERE is_leaf")
 _OUTLINE = ("doc_id long, node_id int, parent_id int, ordinal int, title string, page_index int", [(1, 1, None, 0, "One", 0), (1, 2, 1, 0, "One.a", 1), (1, 3, 1, 1, "One.b", None), (1, 4, None, 1, "Two", 4), (2, 1, None, 0, "Only", 0)])
-_add("ext_outlines", lambda s, d: trees.outline(_rows(s, *_OUTLINE)), f"WITH RECURSIVE t AS (SELECT * FROM {_sql_rows(*_OUTLINE)}), w AS (SELECT doc_id, node_id, title, page_index, 0 AS depth, lpad(CAST(ordinal AS VARCHAR), 6, '0') AS place FROM t WHERE parent_id IS NULL UNION ALL SELECT c.doc_id, c.node_id, c.title, c.page_index, w.depth + 1, w.place || '.' || lpad(CAST(c.ordinal AS VARCHAR), 6, '0') FROM w JOIN t c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id) SELECT doc_id, node_id, title, coalesce(page_index, -1) AS page_index, depth, place FROM w")
+_add("ext_outlines", lambda s, d: trees.outline(_rows(s, *_OUTLINE)).withColumn("place", F.array_join(F.col("place").cast("array<string>"), ".")), f"WITH RECURSIVE t AS (SELECT * FROM {_sql_rows(*_OUTLINE)}), w AS (SELECT doc_id, node_id, title, page_index, 0 AS depth, [CAST(ordinal AS BIGINT)] AS place FROM t WHERE parent_id IS NULL UNION ALL SELECT c.doc_id, c.node_id, c.title, c.page_index, w.depth + 1, list_append(w.place, CAST(c.ordinal AS BIGINT)) FROM w JOIN t c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id) SELECT doc_id, node_id, title, coalesce(page_index, -1) AS page_index, depth, array_to_string(place, '.') AS place FROM w")
 _NODES = ("doc_id long, node_id int, parent_id int, ordinal int, is_page boolean, rotate int", [(1, 1, None, 0, False, 90), (1, 2, 1, 0, True, None), (1, 3, 1, 1, False, None), (1, 4, 3, 0, True, 180), (1, 5, 3, 1, True, None), (1, 6, 1, 2, True, 0)])
 _add("src_page_stream", lambda s, d: trees.page_tree(_rows(s, *_NODES)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 2, 90), (1, 1, 4, 180), (1, 2, 5, 90), (1, 3, 6, 0)) v(doc_id, page_index, node_id, rotate)")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagemill.functions import calculator, codecs, formcalc, geometry, jsengine, numbering, validators
-from pagemill.operators import detection, objects, pages, search
+from pagemill.operators import detection, objects, pages, search, trees
 from pagemill.sources import pdf, writer
 from pagemill.streaming import ingest
 
@@ -150,7 +151,7 @@ def test_page_errors(spark):
         pages.page_range(p, 1, 2, strict=True).collect()
     with pytest.raises(Exception, match="as long as"):
         pages.reorder(p, spark.createDataFrame([(1, [0])], "doc_id long, order array<int>")).collect()
-    assert [r.page_index for r in pages.reorder(p, spark.createDataFrame([(1, [1, 1])], "doc_id long, order array<int>")).collect()] == [0, 1]
+    assert [r.page_index for r in pages.reorder(p, spark.createDataFrame([(1, [1, 1])], "doc_id long, order array<int>")).orderBy("page_index").collect()] == [0, 1]
     with pytest.raises(ValueError):
         pages.n_up(p, 0, 1, 1, 1)
 
@@ -195,3 +196,31 @@ def test_javascript_ends(spark):
             jsengine.run(bad, {})
     d = spark.createDataFrame([(2.0, "b"), (None, "c")], "n double, s string")
     assert [r.v for r in d.select(jsengine.script_udf("s + n * 2", "n", "s").alias("v")).collect()][0] == "b4"
+
+
+def test_search_in_long_texts(spark):
+    """As many places as there are, in time linear in the text; neighbours decide about whole words."""
+    text = "the other thethe _the the1 " * 10_000
+    d = spark.createDataFrame([(text,), ("the",), ("x the",), ("é the",), ("éthe the",)], "t string")
+    plain, whole = ([r.p for r in d.select(search.places(F.col("t"), "the", whole_word=w).alias("p")).collect()] for w in (False, True))
+    assert plain[0] == [m.start() for m in re.finditer("the", text)] and plain[1:] == [[0], [2], [2], [1, 5]]
+    assert whole[0] == [m.start() for m in re.finditer(r"(?<![^\W_])the(?![^\W_])", text)] and whole[1:] == [[0], [2], [2], [5]]
+    dots = spark.createDataFrame([("a.a.. .",)], "t string").select(search.places(F.col("t"), ".", whole_word=True).alias("p")).first().p
+    assert dots == [4, 6]
+
+
+def test_reachable_over_chains(spark):
+    """A long chain, a doubly linked one, a hub and a ring, none of which takes a round per object."""
+    chain = [(1, k, k + 1) for k in range(1, 40)]
+    both = [(2, k, k + 1) for k in range(1, 9)] + [(2, k + 1, k) for k in range(1, 9)]
+    hub = [(3, 1, k) for k in range(2, 40)] + [(3, k, 1) for k in range(2, 40)] + [(3, 100, 101), (3, 101, 100), (3, 7, 7)]
+    edges = spark.createDataFrame(chain + both + hub, "doc_id long, src int, dst int")
+    roots = spark.createDataFrame([(1, 3), (2, 1), (3, 5), (4, 1)], "doc_id long, obj_no int")
+    got = {(r.doc_id, r.obj_no) for r in objects.reachable(edges, roots).collect()}
+    assert got == {(1, k) for k in range(3, 41)} | {(2, k) for k in range(1, 10)} | {(3, k) for k in range(1, 40)} | {(4, 1)}
+
+
+def test_outlines_and_pages_by_large_ordinals(spark):
+    rows = [(1, k, None, o, f"t{o}", 0) for k, o in enumerate([999_999, 1_000_000, 12_345_678, 2])]
+    out = trees.outline(spark.createDataFrame(rows, "doc_id long, node_id int, parent_id int, ordinal long, title string, page_index int"))
+    assert [r.title for r in out.orderBy("place").collect()] == ["t2", "t999999", "t1000000", "t12345678"]
