@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.plans import content, scalar, sensitive, structure
+from pagemill.plans import casebook, content, scalar, sensitive, structure
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (sensitive, scalar, structure, content):
+for _part in (sensitive, scalar, structure, content, casebook):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -93,7 +93,6 @@ def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("src_earlier_revision", lambda s, d: pdf.relation(_updated(s, d).where("doc_id >= 0"), "xref").groupBy("doc_id").agg((F.max("revision") + 1).alias("revisions")), "SELECT DISTINCT conv_id AS doc_id, 2 AS revisions FROM conversations")
 _add("sink_save", lambda s, d: pdf.relation(_updated(s, d).where("doc_id >= 0"), "doc_pages").where("rotate = 90").select("doc_id", "page_index"), "SELECT DISTINCT conv_id AS doc_id, 0 AS page_index FROM conversations")
 _add("src_repair", lambda s, d: pdf.relation(_updated(s, d).where("doc_id < 0"), "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "page_count", (F.size("warnings") > 0).alias("rebuilt")), "SELECT conv_id AS doc_id, CAST(count(*) AS INT) AS page_count, true AS rebuilt FROM conversations GROUP BY conv_id")
-_add("src_tokenize", lambda s, d: files(s, d).select("doc_id", F.size(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"\d+ 0 obj"), F.lit(0))).cast("long").alias("objects")), "SELECT conv_id AS doc_id, 4 + 2 * count(*) AS objects FROM conversations GROUP BY conv_id")
 
 
 def packed_file() -> bytes:
@@ -144,8 +143,6 @@ for _n, _e, _d in _CODES:
 _add("codec_adler32", lambda s, d: _bytes(s, d).select("doc_id", codecs.adler32("raw").alias("sum")))
 _add("codec_pdfstring", lambda s, d: s.createDataFrame([(1, bytearray(pdf.string_token(rb"a\(b\)\101\n\\)", 0)[0])), (2, bytearray("﻿é".encode("utf-16-be")))], "id long, raw binary").select("id", F.when(F.hex("raw").startswith("FEFF"), F.decode(F.expr("substring(raw, 3)"), "UTF-16BE")).otherwise(F.decode("raw", "ISO-8859-1")).alias("text")), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a(b)A' || chr(10) || '\\'), (2, 'é')) v(id, text)")
 _add("sink_text", lambda s, d: _pages(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "text"))), lambda x: x["text"]), "\f").alias("text")), f"WITH {_PAGES} SELECT doc_id, string_agg(text, chr(12) ORDER BY page_index) AS text FROM p GROUP BY doc_id")
-_SHAPES = ("doc_id long, page_index int, z int, kind string, x double, y double, width double, height double, text string, fill string", [(1, 0, 0, "rect", 1.0, 2.0, 3.0, 4.0, None, "#fff"), (1, 0, 1, "text", 5.0, 6.0, None, None, "a<b", None)])
-_add("sink_svg", lambda s, d: writer.svg_of(_rows(s, *_SHAPES)), "SELECT CAST(1 AS BIGINT) AS doc_id, 0 AS page_index, '<svg xmlns=\"http://www.w3.org/2000/svg\"><rect x=\"1.00\" y=\"2.00\" width=\"3.00\" height=\"4.00\" fill=\"#fff\"/><text x=\"5.00\" y=\"6.00\">a&lt;b</text></svg>' AS svg")
 _add("sink_report", lambda s, d: pages.paginate(s.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", F.lit(12.0).alias("h")), "o_custkey", "o_orderkey", "h", 60.0).select("o_custkey", "o_orderkey", "page", "y"), "SELECT o_custkey, o_orderkey, CAST(k // 5 AS INT) AS page, (k % 5) * 12.0::DOUBLE AS y FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders)")
 _CURVE = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0)]
 
@@ -157,15 +154,6 @@ def _curve():
 _add("fn_path_flatten", lambda s, d: s.range(3).select("id", F.explode(paths.flattened(_curve(), (F.col("id") + 1) / 10.0)).alias("p")).select("id", "p.x", "p.y"))
 _add("fn_line_segments", lambda s, d: s.range(1).select(F.explode(paths.segments(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 0), (1, 2))]))).alias("s")).select("s.*"), "SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (1.0, 0.0, 1.0, 2.0)) v(x0, y0, x1, y1)")
 _add("fn_script_split", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(paths.script_runs("text")).alias("r")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("r.length").alias("n")), None)
-_SIGNED = ("doc_id long, raw string, o1 int, l1 int, o2 int, l2 int", [(1, "aaaaSIGbbbb", 0, 4, 7, 4)])
-_add("ext_signatures", lambda s, d: _rows(s, *_SIGNED).select("doc_id", F.sha2(F.concat(F.substring("raw", F.col("o1") + 1, F.col("l1")), F.substring("raw", F.col("o2") + 1, F.col("l2"))), 256).alias("digest")), f"SELECT doc_id, sha256(substr(raw, o1 + 1, l1) || substr(raw, o2 + 1, l2)) AS digest FROM {_sql_rows(*_SIGNED)}")
-_OBJ = ("doc_id long, obj_no int, subtype string, filter string, embedded boolean, has_js boolean", [(1, 1, "Type1", None, False, False), (1, 2, "TrueType", "LZWDecode", True, False), (1, 3, "Action", None, None, True), (2, 1, "Type1", None, False, False), (2, 2, "Filespec", None, None, False)])
-_CHECKS = {"lzw": "filter = 'LZWDecode'", "script": "has_js", "attachment": "subtype = 'Filespec'", "font-not-embedded": "subtype IN ('Type1', 'TrueType') AND NOT embedded"}
-_add("qa_pdfa", lambda s, d: _rows(s, *_OBJ).select("doc_id", "obj_no", F.explode(F.filter(F.array(*[F.when(F.expr(c), n) for n, c in _CHECKS.items()]), lambda x: x.isNotNull())).alias("rule")), " UNION ALL ".join(f"SELECT doc_id, obj_no, '{n}' AS rule FROM {_sql_rows(*_OBJ)} WHERE {c}" for n, c in _CHECKS.items()))
-_add("agg_sanitize_inspect", lambda s, d: _rows(s, *_OBJ).groupBy("doc_id").agg(F.count_if(F.col("has_js")).alias("scripts"), F.count_if(F.col("subtype") == "Filespec").alias("attachments")), f"SELECT doc_id, count(*) FILTER (WHERE has_js) AS scripts, count(*) FILTER (WHERE subtype = 'Filespec') AS attachments FROM {_sql_rows(*_OBJ)} GROUP BY doc_id")
-_add("set_sanitize", lambda s, d: _rows(s, *_OBJ).where(~F.col("has_js") & (F.col("subtype") != "Filespec")).select("doc_id", "obj_no"), f"SELECT doc_id, obj_no FROM {_sql_rows(*_OBJ)} WHERE NOT has_js AND subtype <> 'Filespec'")
-_add("agg_font_report", lambda s, d: _rows(s, *_OBJ).where(F.col("embedded").isNotNull()).groupBy("subtype").agg(F.countDistinct("doc_id").alias("docs"), F.bool_and("embedded").alias("embedded")), f"SELECT subtype, count(DISTINCT doc_id) AS docs, bool_and(embedded) AS embedded FROM {_sql_rows(*_OBJ)} WHERE embedded IS NOT NULL GROUP BY subtype")
 _add("set_flatten_annots", lambda s, d: pages.overlay(_rows(s, "doc_id long, page_index int, z int, payload string", [(1, 0, 0, "text")]), _rows(s, "doc_id long, page_index int, payload string, hidden boolean", [(1, 0, "note", False), (1, 0, "gone", True)]).where(~F.col("hidden")).drop("hidden")), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 'text'), (1, 0, 1, 'note')) v(doc_id, page_index, z, payload)")
-_add("ext_annotations", lambda s, d: objects.first_page_of(_rows(s, "doc_id long, page_index int, annots array<int>", [(1, 0, [4]), (1, 1, [5])]), _rows(s, "doc_id long, obj_no int, subtype string", [(1, 4, "Link"), (1, 5, "Text")])).select("doc_id", "page_index", "subtype"), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'Link'), (1, 1, 'Text')) v(doc_id, page_index, subtype)")
 _add("src_requires_password", lambda s, d: pdf.relation(files(s, d), "documents").select("doc_id", "encrypted"), "SELECT DISTINCT conv_id AS doc_id, false AS encrypted FROM conversations")
 _add("rdr_facade", lambda s, d: pdf.relation(files(s, d), "documents").join(reading.stream_text(pdf.relation(files(s, d), "fragments")).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")), "doc_id").select("doc_id", "page_count", "chars"), f"SELECT doc_id, CAST(n AS INT) AS page_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({_READ}) JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (doc_id) GROUP BY doc_id, n")

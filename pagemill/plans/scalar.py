@@ -116,4 +116,3 @@ def _square() -> Column:
 
 _part("cry_hash", a=(lambda: F.sha2(name(), 256), "sha256(p_name)"))
 _part("codec_hex", a=(lambda: F.hex(name()), "hex(p_name)"), b=(lambda: F.unhex(F.regexp_replace(lit("4 8 6\n5 >"), "[^0-9A-Fa-f]", "")).cast("string"), "'He'"))
-_part("src_limits", a=(lambda: F.when(F.length(name()) <= 20, name()), "CASE WHEN length(p_name) <= 20 THEN p_name END"))

@@ -110,7 +110,6 @@ _add("join_form_unknown", lambda s, d: objects.fill_form(_rows(s, "doc_id long,
 _DATA = ("doc_id long, ordinal int, path string, value string", [(1, 0, "form.a", "1"), (1, 1, "form.a", "2"), (1, 2, "x.b", "3"), (1, 3, "y.b", "4"), (1, 4, "c", "5"), (1, 5, "z.c", "6")])
 _FIELDS = ("doc_id long, ref string, name string", [(1, "$record.form.a", "a"), (1, "$.b", "b"), (1, "q.c", "c"), (1, "none", "none")])
 _add("join_xfa_data", lambda s, d: objects.bind_data(_rows(s, *_FIELDS), _rows(s, *_DATA)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '$record.form.a', 'a', '2'), (1, '$.b', 'b', '3'), (1, 'q.c', 'c', '5'), (1, 'none', 'none', NULL)) v(doc_id, ref, name, value)")
-_add("join_widget_page", lambda s, d: objects.first_page_of(_rows(s, "doc_id long, page_index int, annots array<int>", [(1, 0, [4, 5]), (1, 1, [5, 6]), (1, 2, None)]), _rows(s, "doc_id long, obj_no int", [(1, 5), (1, 6), (1, 7)])), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 5, 0), (1, 6, 1), (1, 7, NULL)) v(doc_id, obj_no, page_index)")
 _add("join_outline_dest", lambda s, d: objects.named_targets(_rows(s, "doc_id long, dest string, title string", [(1, "a", "A"), (1, "zz", "Z")]), _rows(s, "doc_id long, dest string, page_index int", [(1, "a", 3)])), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', 'A', 3), (1, 'zz', 'Z', -1)) v(doc_id, dest, title, page_index)")
 _add("join_tag_rank", lambda s, d: objects.tag_ranks(_rows(s, "doc_id long, page_index int, frag_index int, text string, mcid int", [(1, 0, 0, "aaaa", 1), (1, 0, 1, "bbbb", 2), (1, 0, 2, "c", None), (1, 1, 0, "dd", 1), (1, 1, 1, "ee", None)]), _rows(s, "doc_id long, page_index int, mcid int, rank int", [(1, 0, 1, 7), (1, 0, 2, 3), (1, 1, 1, 1)])).select("doc_id", "page_index", "frag_index", "rank"), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 7), (1, 0, 1, 3), (1, 0, 2, NULL), (1, 1, 0, NULL), (1, 1, 1, NULL)) v(doc_id, page_index, frag_index, rank)")
 _RECTS = ("doc_id long, page_index int, x double, y double, w double, h double, replacement string", [(1, 0, 0.0, 0.0, 50.0, 50.0, "[x]"), (1, 1, 10.0, 10.0, 5.0, 5.0, None)])
@@ -156,9 +155,6 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("agg_densify", _dense, "WITH o AS (SELECT o_custkey % 10 AS doc_id, o_orderkey AS obj_no, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F') SELECT a.doc_id, CAST(a.k AS INT) AS src, CAST(coalesce(b.k, 0) AS INT) AS dst FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.obj_no = a.obj_no + 10")
 _add("agg_median", lambda s, d: objects.upper_median(s.read.parquet(f"{d}/lineitem.parquet"), ["l_suppkey"], "l_quantity"), "SELECT l_suppkey, l_quantity AS median FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) = count(*) OVER (PARTITION BY l_suppkey) // 2 + 1")
-_add("agg_placements", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_partkey").agg(F.max("l_quantity").alias("w"), F.max("l_extendedprice").alias("h")), "SELECT l_partkey, max(l_quantity) AS w, max(l_extendedprice) AS h FROM lineitem GROUP BY l_partkey")
-_add("flt_has_drawable", lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("click", "view", "purchase")]), "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id")
-_ANNOTS = ("doc_id long, obj_no int, subtype string, flags int", [(1, 1, "Widget", 4), (1, 2, "Link", 0), (1, 3, "Text", 2), (1, 4, "Widget", 6), (1, 5, "Stamp", 32)])
 
 
 def annotation_mode(annots: DataFrame, mode: str) -> DataFrame:
@@ -168,8 +164,6 @@ def annotation_mode(annots: DataFrame, mode: str) -> DataFrame:
     return annots.where({"view": seen, "print": (f.bitwiseAND(4) != 0) & (f.bitwiseAND(2) == 0), "forms": seen & (F.col("subtype") == "Widget"), "none": F.lit(False)}[mode])
 
 
-_add("flt_annot_mode", lambda s, d: annotation_mode(_rows(s, *_ANNOTS), "view").withColumn("mode", F.lit("view")).unionByName(annotation_mode(_rows(s, *_ANNOTS), "print").withColumn("mode", F.lit("print"))), f"SELECT *, 'view' AS mode FROM {_sql_rows(*_ANNOTS)} WHERE flags & 34 = 0 UNION ALL SELECT *, 'print' FROM {_sql_rows(*_ANNOTS)} WHERE flags & 4 <> 0 AND flags & 2 = 0")
-_LAYERS = ("doc_id long, layer int, name string, base boolean, printed boolean", [(1, 1, "bg", True, None), (1, 2, "draft", False, True), (1, 3, "notes", True, False)])
 
 
 def visible_layers(layers: DataFrame, overrides: dict[str, bool], printing: bool = False) -> DataFrame:
@@ -180,15 +174,8 @@ def visible_layers(layers: DataFrame, overrides: dict[str, bool], printing: bool
     return layers.withColumn("visible", F.coalesce(said, F.col("printed") if printing else F.lit(None).cast("boolean"), F.col("base"), F.lit(True)))
 
 
-_add("flt_layer_visible", lambda s, d: visible_layers(_rows(s, *_LAYERS), {"bg": False}, True), f"SELECT *, CASE WHEN name = 'bg' THEN false ELSE coalesce(printed, base, true) END AS visible FROM {_sql_rows(*_LAYERS)}")
 
 # -- trees -------------------------------------------------------------------------------------------------------------
 
-_FORM = ("doc_id long, field_id int, parent_id int, ordinal int, partial_name string, type string, flags int, max_len int", [(1, 1, None, 0, "a", "Tx", 1, None), (1, 2, 1, 0, "b", None, None, 5), (1, 3, 1, 1, "", "Btn", None, None), (1, 4, 3, 0, "c", None, 2, None), (1, 5, None, 1, None, None, None, None), (1, 6, 5, 0, "d", "Ch", None, None)])
-_WALK = "WITH RECURSIVE t AS (SELECT * FROM {t}), w AS (SELECT doc_id, field_id, coalesce(partial_name, '') AS full_name, type, flags, max_len, 0 AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT c.doc_id, c.field_id, concat_ws('.', nullif(w.full_name, ''), nullif(c.partial_name, '')), coalesce(c.type, w.type), coalesce(c.flags, w.flags), coalesce(c.max_len, w.max_len), w.depth + 1 FROM w JOIN t c ON c.doc_id = w.doc_id AND c.parent_id = w.field_id) SELECT w.*, NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.parent_id = w.field_id) AS is_leaf FROM w"
-_add("ext_fields", lambda s, d: trees.form_fields(_rows(s, *_FORM)), _WALK.format(t=_sql_rows(*_FORM)))
-_add("ext_leaf_fields", lambda s, d: trees.form_fields(_rows(s, *_FORM)).where("is_leaf").select("doc_id", "field_id", "full_name"), f"SELECT doc_id, field_id, full_name FROM ({_WALK.format(t=_sql_rows(*_FORM))}) WHERE is_leaf")
-_OUTLINE = ("doc_id long, node_id int, parent_id int, ordinal int, title string, page_index int", [(1, 1, None, 0, "One", 0), (1, 2, 1, 0, "One.a", 1), (1, 3, 1, 1, "One.b", None), (1, 4, None, 1, "Two", 4), (2, 1, None, 0, "Only", 0)])
-_add("ext_outlines", lambda s, d: trees.outline(_rows(s, *_OUTLINE)).withColumn("place", F.array_join(F.col("place").cast("array<string>"), ".")), f"WITH RECURSIVE t AS (SELECT * FROM {_sql_rows(*_OUTLINE)}), w AS (SELECT doc_id, node_id, title, page_index, 0 AS depth, [CAST(ordinal AS BIGINT)] AS place FROM t WHERE parent_id IS NULL UNION ALL SELECT c.doc_id, c.node_id, c.title, c.page_index, w.depth + 1, list_append(w.place, CAST(c.ordinal AS BIGINT)) FROM w JOIN t c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id) SELECT doc_id, node_id, title, coalesce(page_index, -1) AS page_index, depth, array_to_string(place, '.') AS place FROM w")
 _NODES = ("doc_id long, node_id int, parent_id int, ordinal int, is_page boolean, rotate int", [(1, 1, None, 0, False, 90), (1, 2, 1, 0, True, None), (1, 3, 1, 1, False, None), (1, 4, 3, 0, True, 180), (1, 5, 3, 1, True, None), (1, 6, 1, 2, True, 0)])
 _add("src_page_stream", lambda s, d: trees.page_tree(_rows(s, *_NODES)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 2, 90), (1, 1, 4, 180), (1, 2, 5, 90), (1, 3, 6, 0)) v(doc_id, page_index, node_id, rotate)")

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -540,21 +541,28 @@ def _refs(value) -> list[int]:
 
 
 _RELATIONS = {
-    "documents": ("version string, page_count int, title string, author string, encrypted boolean, warnings array<string>, error string", 7),
-    "xref": ("revision int, is_xrefstm boolean, obj_no int, gen int, kind string, offset long", 6),
-    "objects": ("obj_no int, gen int, kind string, value string, refs array<int>", 5),
-    "doc_pages": ("page_index int, media_box array<double>, crop_box array<double>, rotate int", 4),
-    "fragments": ("page_index int, frag_index int, text string, x double, y double, font_size double, width double, angle double, mcid int", 9),
+    "documents": "version string, page_count int, title string, author string, encrypted boolean, warnings array<string>, error string",
+    "xref": "revision int, is_xrefstm boolean, obj_no int, gen int, kind string, offset long",
+    "objects": "obj_no int, gen int, kind string, value string, refs array<int>",
+    "doc_pages": "page_index int, media_box array<double>, crop_box array<double>, rotate int",
+    "fragments": "page_index int, frag_index int, text string, x double, y double, font_size double, width double, angle double, mcid int",
 }
 
 
-def _rows(what: str, data: bytes):
+def _rows(what: str, data: bytes, most_pages: int):
+    from pagemill.sources import parts
+
     pdf = Pdf.open(data)
+    if what in parts.READERS:
+        yield from parts.READERS[what](pdf)
+        return
     if what == "documents":
         info = pdf.get(pdf.trailer.get("Info"))
         info = info if isinstance(info, dict) else {}
         said = [text_of(v) if isinstance(v := pdf.get(info.get(k)), bytes) else None for k in ("Title", "Author")]
-        n = sum(1 for _ in pdf.pages())
+        n = sum(1 for _ in islice(pdf.pages(), most_pages + 1))
+        if n > most_pages:
+            raise Malformed("too many pages")
         head = re.match(rb"%PDF-(\d+\.\d+)", data)
         yield head[1].decode() if head else None, n, *said, "Encrypt" in pdf.trailer, pdf.warnings, None
     elif what == "xref":
@@ -567,7 +575,7 @@ def _rows(what: str, data: bytes):
                 v = pdf.get(Ref((number, 0)))
                 yield number, pdf.index[number].gen, type(v).__name__.lower(), json_of(v), _refs(v)
     else:
-        for k, (page, inherited) in enumerate(pdf.pages()):
+        for k, (page, inherited) in enumerate(islice(pdf.pages(), most_pages)):
             if what == "doc_pages":
                 boxes = [pdf.get(inherited.get(b)) for b in ("MediaBox", "CropBox")]
                 boxes = [[float(pdf.get(x)) for x in b] if isinstance(b, list) else None for b in boxes]
@@ -577,18 +585,23 @@ def _rows(what: str, data: bytes):
                     yield k, i, f.text, f.x, f.y, f.font_size, f.width, f.angle, f.mcid
 
 
-def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: str = "content", most_bytes: int = 256 << 20) -> DataFrame:
-    """One of the relations (documents, xref, objects, doc_pages, fragments) of files (id, content).
+def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: str = "content", most_bytes: int = 256 << 20, most_pages: int = 1_000_000) -> DataFrame:
+    """One of the relations (documents, xref, objects, doc_pages, fragments, and those of parts.RELATIONS) of files (id, content).
 
-    A file that can't be read has one row in documents, with its error, and none elsewhere; so has one over `most_bytes`.
+    A file that can't be read has one row in documents, with its error, and none elsewhere; so has one over `most_bytes`,
+    and, in documents, one of more than `most_pages` pages.
     """
-    ddl, width = _RELATIONS[what]
+    from pagemill.sources import parts
+
+    ddl = parts.RELATIONS.get(what) or _RELATIONS[what]
     schema = f"doc_id {files.schema[id_col].dataType.simpleString()}, {ddl}"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    width = len(arrow) - 1
+
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(width + 1)], schema=arrow)
 
@@ -598,7 +611,7 @@ def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: s
                 try:
                     if data is None or len(data) > most_bytes:
                         raise Malformed("no content" if data is None else "too large")
-                    out = made([(doc, *r) for r in _rows(what, data)])
+                    out = made([(doc, *r) for r in _rows(what, data, most_pages)])
                 except Exception as e:  # any damage is this row's error
                     out = made([(doc, None, None, None, None, None, [], f"{type(e).__name__}: {e}")] if what == "documents" else [])
                 if out.num_rows:

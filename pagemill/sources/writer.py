@@ -63,7 +63,7 @@ def update(data: bytes, objects: dict[int, object]) -> bytes:
         offsets[n] = len(out)
         out += b"%d 0 obj\n" % n + serialize(v) + b"\nendobj\n"
     at = len(out)
-    trailer = {"Size": max([*pdf.index, *objects]) + 1, "Root": pdf.trailer["Root"], "Prev": before}
+    trailer = {"Size": max([*pdf.index, *objects]) + 1, "Root": pdf.trailer["Root"], "Prev": before} | {k: pdf.trailer[k] for k in ("Info", "ID") if k in pdf.trailer}
     return bytes(out + _index(offsets, False) + b"trailer\n" + serialize(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
 
 
