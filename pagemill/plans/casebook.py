@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import codecs
-from pagemill.operators import conformance, objects, trees
+from pagemill.operators import conformance, objects, reading, trees
 from pagemill.plans import content, structure
-from pagemill.sources import changes, pdf, writer
+from pagemill.sources import changes, crypt, pdf, writer
 from pagemill.sources.pdf import Name, Ref, Stream
 
 QUERIES: dict = {}
@@ -214,3 +214,26 @@ _add("qa_pdfa", lambda s, d: conformance.findings(cases(s, d)), """SELECT doc_id
   UNION ALL SELECT doc_id, 'annotation-hidden', count(*) FROM p WHERE k % 3 = 2 GROUP BY doc_id UNION ALL SELECT doc_id, 'transparency', count(*) FROM p WHERE k % 4 = 3 GROUP BY doc_id)""")
 _add("src_tokenize", lambda s, d: pdf.relation(content.files(s, d), "tokens").where(F.col("kind") == "word").where(F.col("value").isin("obj", "endobj", "stream", "endstream", "trailer", "startxref")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_id, value, CAST(CASE WHEN value IN ('obj', 'endobj') THEN 4 + 2 * n WHEN value LIKE '%stream' THEN n ELSE 1 END AS BIGINT) AS n FROM d, (VALUES ('obj'), ('endobj'), ('stream'), ('endstream'), ('trailer'), ('startxref')) v(value)")
 _add("src_limits", lambda s, d: pdf.relation(cases(s, d), "documents", most_pages=3).select("doc_id", "page_count", "error"), "SELECT doc_id, CASE WHEN n <= 3 THEN n END AS page_count, CASE WHEN n > 3 THEN 'Malformed: too many pages' END AS error FROM d")
+
+
+def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every second conversation encrypted, by either cipher; their user's password is "open 1", their owner's "own 1"."""
+    def seal(data: bytes, doc: int) -> bytes:
+        return data if doc % 2 else crypt.sealed(data, "open 1", "own 1", "V2" if doc % 4 else "AESV2")
+
+    files = content.files(spark, sf_dir)
+    return objects.settled(changes.changed(files.withColumn("doc", F.col("doc_id")), seal, "doc"))
+
+
+_READ = content.ORACLES["ext_text"]
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _sealed(spark, sf_dir)
+    by = [reading.stream_text(pdf.relation(files, "fragments", password=p)).withColumn("by", F.lit(p)) for p in ("open 1", "own 1")]
+    return by[0].unionByName(by[1])
+
+
+QUERIES["src_decrypt"] = _opened
+ORACLES["src_decrypt"] = f"SELECT *, unnest(['open 1', 'own 1']) AS by FROM ({_READ})"
+_add("src_requires_password", lambda s, d: pdf.relation(_sealed(s, d), "documents").select("doc_id", F.col("error").startswith("WrongPassword").alias("asks"), "page_count"), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN true END AS asks, CASE WHEN doc_id % 2 = 1 THEN n END AS page_count FROM d")

@@ -155,5 +155,4 @@ _add("fn_path_flatten", lambda s, d: s.range(3).select("id", F.explode(paths.fla
 _add("fn_line_segments", lambda s, d: s.range(1).select(F.explode(paths.segments(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 0), (1, 2))]))).alias("s")).select("s.*"), "SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (1.0, 0.0, 1.0, 2.0)) v(x0, y0, x1, y1)")
 _add("fn_script_split", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(paths.script_runs("text")).alias("r")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("r.length").alias("n")), None)
 _add("set_flatten_annots", lambda s, d: pages.overlay(_rows(s, "doc_id long, page_index int, z int, payload string", [(1, 0, 0, "text")]), _rows(s, "doc_id long, page_index int, payload string, hidden boolean", [(1, 0, "note", False), (1, 0, "gone", True)]).where(~F.col("hidden")).drop("hidden")), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 'text'), (1, 0, 1, 'note')) v(doc_id, page_index, z, payload)")
-_add("src_requires_password", lambda s, d: pdf.relation(files(s, d), "documents").select("doc_id", "encrypted"), "SELECT DISTINCT conv_id AS doc_id, false AS encrypted FROM conversations")
 _add("rdr_facade", lambda s, d: pdf.relation(files(s, d), "documents").join(reading.stream_text(pdf.relation(files(s, d), "fragments")).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")), "doc_id").select("doc_id", "page_count", "chars"), f"SELECT doc_id, CAST(n AS INT) AS page_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({_READ}) JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (doc_id) GROUP BY doc_id, n")

@@ -175,9 +175,21 @@ class Pdf:
     trailer: dict = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
     cache: dict[int, object] = field(default_factory=dict)
+    handler: object = None
 
     @classmethod
-    def open(cls, data: bytes, repair: bool = True) -> Pdf:
+    def open(cls, data: bytes, repair: bool = True, password: str | None = None) -> Pdf:
+        """Without a password, strings and streams of an encrypted document stay as they are."""
+        pdf = cls._read(data, repair)
+        if password is not None and "Encrypt" in pdf.trailer:
+            from pagemill.sources.crypt import handler_of
+
+            handler = handler_of(pdf, password)
+            pdf.cache, pdf.handler = {}, handler
+        return pdf
+
+    @classmethod
+    def _read(cls, data: bytes, repair: bool) -> Pdf:
         pdf = cls(data)
         at = data.rfind(b"startxref")
         try:
@@ -307,6 +319,8 @@ class Pdf:
             try:
                 if e and e.kind == "offset":
                     found, v = self._object_at(e.offset)
+                    if self.handler is not None and number != (self.trailer["Encrypt"] or (None,))[0]:
+                        v = self.handler.opened(v, number, e.gen)
                     self.cache[number] = v if found == number else None
                 elif e and e.kind == "compressed":
                     holder = self.get(Ref((e.offset, 0)))
@@ -549,10 +563,10 @@ _RELATIONS = {
 }
 
 
-def _rows(what: str, data: bytes, most_pages: int):
+def _rows(what: str, data: bytes, most_pages: int, password: str | None):
     from pagemill.sources import parts
 
-    pdf = Pdf.open(data)
+    pdf = Pdf.open(data, password=password)
     if what in parts.READERS:
         yield from parts.READERS[what](pdf)
         return
@@ -585,11 +599,12 @@ def _rows(what: str, data: bytes, most_pages: int):
                     yield k, i, f.text, f.x, f.y, f.font_size, f.width, f.angle, f.mcid
 
 
-def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: str = "content", most_bytes: int = 256 << 20, most_pages: int = 1_000_000) -> DataFrame:
+def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: str = "content", most_bytes: int = 256 << 20, most_pages: int = 1_000_000, password: str | None = "") -> DataFrame:
     """One of the relations (documents, xref, objects, doc_pages, fragments, and those of parts.RELATIONS) of files (id, content).
 
     A file that can't be read has one row in documents, with its error, and none elsewhere; so has one over `most_bytes`,
-    and, in documents, one of more than `most_pages` pages.
+    and, in documents, one of more than `most_pages` pages. Encrypted files are read with `password`, the user's or the
+    owner's (the empty one opens those that ask for none); one it doesn't open is one that can't be read. None: as they are.
     """
     from pagemill.sources import parts
 
@@ -611,7 +626,7 @@ def relation(files: DataFrame, what: str, id_col: str = "doc_id", content_col: s
                 try:
                     if data is None or len(data) > most_bytes:
                         raise Malformed("no content" if data is None else "too large")
-                    out = made([(doc, *r) for r in _rows(what, data, most_pages)])
+                    out = made([(doc, *r) for r in _rows(what, data, most_pages, password)])
                 except Exception as e:  # any damage is this row's error
                     out = made([(doc, None, None, None, None, None, [], f"{type(e).__name__}: {e}")] if what == "documents" else [])
                 if out.num_rows:

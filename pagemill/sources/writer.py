@@ -43,14 +43,14 @@ def _index(offsets: dict[int, int], free: bool) -> bytes:
     return out
 
 
-def write(objects: dict[int, object], root: int, info: int | None = None) -> bytes:
-    """A whole file: objects in number order, an index, a trailer."""
+def write(objects: dict[int, object], root: int, info: int | None = None, more: dict | None = None) -> bytes:
+    """A whole file: objects in number order, an index, a trailer (with more entries, if given)."""
     out, offsets = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
     for n, v in sorted(objects.items()):
         offsets[n] = len(out)
         out += b"%d 0 obj\n" % n + serialize(v) + b"\nendobj\n"
     at = len(out)
-    trailer = {"Size": max(objects, default=0) + 1, "Root": Ref((root, 0))} | ({"Info": Ref((info, 0))} if info else {})
+    trailer = {"Size": max(objects, default=0) + 1, "Root": Ref((root, 0))} | ({"Info": Ref((info, 0))} if info else {}) | (more or {})
     return bytes(out + _index(offsets, True) + b"trailer\n" + serialize(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
 
 
