@@ -273,3 +273,10 @@ def rc4(key: bytes, data: bytes) -> bytes:
         s[i], s[j] = s[j], s[i]
         out.append(byte ^ s[(s[i] + s[j]) & 255])
     return bytes(out)
+
+
+def hmac(message, key: bytes, bits: int = 256):
+    """A keyed hash of binary columns, of one block's key or less: two hashes, the inner over the message."""
+    block = key.ljust(64 if bits == 256 else 128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ p for b in block)) for p in (0x36, 0x5C))
+    return F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), bits))), bits))

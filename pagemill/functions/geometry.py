@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -146,3 +147,10 @@ def parse_date(text: Column) -> Column:
     local = F.try_to_timestamp(F.concat(g(1, ""), g(2, "01"), g(3, "01"), g(4, "00"), g(5, "00"), g(6, "00")), F.lit("yyyyMMddHHmmss"))
     shift = (g(8, "0").cast("int") * 60 + g(9, "0").cast("int")) * F.when(g(7, "Z") == "-", 1).otherwise(-1)
     return F.when(text.rlike(p), F.timestamp_add("MINUTE", shift, local) if hasattr(F, "timestamp_add") else local + F.make_dt_interval(mins=shift))
+
+
+def arrow_head(x0: Column, y0: Column, x1: Column, y1: Column, length: Column, spread: float = 30.0) -> list[Column]:
+    """x and y of an arrow's head at (x1, y1): one wing, the tip, the other wing, `spread` degrees off the line."""
+    back, half = F.atan2(y0 - y1, x0 - x1), math.radians(spread)
+    a, b = back + half, back - half
+    return [x1 + length * F.cos(a), y1 + length * F.sin(a), x1, y1, x1 + length * F.cos(b), y1 + length * F.sin(b)]

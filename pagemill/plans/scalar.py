@@ -114,5 +114,3 @@ def _square() -> Column:
     return F.array(*[F.struct(lit(float(x)).alias("x"), lit(float(y)).alias("y")) for x, y in ((10, 0), (30, 0), (30, 10), (10, 10))])
 
 
-_part("cry_hash", a=(lambda: F.sha2(name(), 256), "sha256(p_name)"))
-_part("codec_hex", a=(lambda: F.hex(name()), "hex(p_name)"), b=(lambda: F.unhex(F.regexp_replace(lit("4 8 6\n5 >"), "[^0-9A-Fa-f]", "")).cast("string"), "'He'"))

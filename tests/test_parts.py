@@ -2,12 +2,15 @@
 
 import random
 import re
+import struct
+import zlib
 
+import numpy as np
 import pytest
 
-from pagemill.functions import aes
+from pagemill.functions import aes, der, images
 from pagemill.plans import casebook
-from pagemill.sources import changes, crypt, parts, pdf, walk, writer
+from pagemill.sources import changes, crypt, parts, pdf, walk, writer, xfa
 
 CASE = casebook.case_file(60, ["user", "assistant", "user", "é"])
 
@@ -129,3 +132,77 @@ def test_damaged_files_are_errors_of_their_own(spark):
     out = {r.doc_id: r for r in changes.changed(files, changes.minify).collect()}
     assert len(out) == len(rows) and out[0].error is None and out[1].error and out[2].error
     assert pdf.relation(files, "documents", password="x").where("doc_id = 0").first().encrypted is False
+
+
+def test_images_round_trip():
+    rng = np.random.default_rng(6)
+    for channels in (1, 2, 3, 4):
+        for size in ((1, 1), (7, 5), (16, 33)):
+            frame = images.Frame(rng.integers(0, 256, (*size, channels), dtype=np.uint8))
+            assert (images.decode_png(images.encode_png(frame)).samples == frame.samples).all()
+            back = images.decode_bmp(images.encode_bmp(frame)).samples
+            assert (back == (frame.samples[..., :3] if channels > 2 else np.repeat(frame.samples[..., :1], 3, axis=2))).all()
+            assert images.alike(frame, frame) == pytest.approx(1) and (size == (1, 1) or images.alike(frame, images.Frame(255 - frame.samples)) < 0.5 or channels == 2)
+    with pytest.raises(images.BadImage):
+        images.alike(frame, images.Frame(frame.samples[:3]))
+
+
+def test_every_row_filter_and_palettes():
+    """Rows filtered here by the plain rule of each kind, read back; two bits by palette."""
+    rng = random.Random(7)
+    rows, step = [[rng.randrange(256) for _ in range(12)] for _ in range(10)], 3
+    body = bytearray()
+    for y, row in enumerate(rows):
+        up, kind = rows[y - 1] if y else [0] * 12, y % 5
+        body.append(kind)
+        for i, v in enumerate(row):
+            a, b, c = (row[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+            paeth = min((abs(a + b - c - z), k, z) for k, z in enumerate((a, b, c)))[2]
+            body.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+
+    def chunk(kind, part):
+        return struct.pack(">I", len(part)) + kind + part + struct.pack(">I", zlib.crc32(kind + part))
+
+    def png(head, *parts):
+        return images.PNG_HEAD + chunk(b"IHDR", struct.pack(">IIBBBBB", *head, 0, 0, 0)) + b"".join(parts) + chunk(b"IEND", b"")
+
+    data = png((4, 10, 8, 2), chunk(b"IDAT", zlib.compress(bytes(body))))
+    assert images.decode_png(data).samples.reshape(10, -1).tolist() == rows
+    data = png((5, 1, 2, 3), chunk(b"PLTE", bytes(range(12))), chunk(b"IDAT", zlib.compress(b"\0\x1b\xc0")))
+    assert images.decode_png(data).samples[0, :, 0].tolist() == [0, 3, 6, 9, 9]
+    for bad in (b"", data[:40], data.replace(b"IDAT", b"IDAX"), png((1 << 20, 1 << 20, 8, 2), b""), png((4, 10, 8, 2), chunk(b"IDAT", zlib.compress(bytes(body[:20]))))):
+        with pytest.raises(images.BadImage):
+            images.decode_png(bad)
+    with pytest.raises(images.BadImage):
+        images.decode_bmp(b"BM" + bytes(60))
+
+
+def test_der_by_known_encodings():
+    assert der.integer(0) == b"\x02\x01\x00" and der.integer(128) == b"\x02\x02\x00\x80" and der.integer(-128) == b"\x02\x01\x80" and der.integer(-129) == b"\x02\x02\xff\x7f"
+    assert der.identifier("1.2.840.113549.1.1.11") == bytes.fromhex("06092a864886f70d01010b")
+    for n in (0, 1, -1, 127, 128, -128, 255, 256, 2**31, -(2**63), 2**100):
+        assert [e[5] for e in der.decode(der.integer(n))] == [str(n)]
+    inner = der.identifier("2.999.3") + der.encode(1, b"\xff") + der.encode(5, b"") + der.encode(4, b"ab") + der.encode(0x80, b"z")
+    tree = list(der.decode(der.encode(0x30, inner + der.encode(0x31, der.encode(12, b"x" * 200)))))
+    assert [(e[0], e[1], e[5]) for e in tree] == [(0, "SEQUENCE", None), (1, "OBJECT IDENTIFIER", "2.999.3"), (1, "BOOLEAN", "true"), (1, "NULL", None), (1, "OCTET STRING", "6162"), (1, "[0]", "7a"), (1, "SET", None), (2, "UTF8String", "x" * 200)]
+    for bad in (b"\x30", b"\x30\x05\x02", b"\x02\x81\x01\x00", b"\x02\x80\x00\x00", b"\x1f\x01\x00"):
+        with pytest.raises(der.BadEncoding):
+            list(der.decode(bad))
+
+
+def test_scripts_of_forms():
+    xml = """<xdp><template><subform name="f"><field name="a"><value><integer>2</integer></value><calculate><script>f.a + b</script></calculate></field>
+      <subform name="g"><field name="b"><value><text>3</text></value><event activity="initialize"><script contentType="application/x-javascript">this.rawValue = b.rawValue.length + 4; c.rawValue = "x";</script></event></field><field name="c"/></subform>
+      <field name="d"><event activity="initialize"><script>c = 1 d = (</script></event><validate><script>d</script></validate></field></subform></template></xdp>"""
+    form = xfa.Form(xfa.parse(xml))
+    assert [n.path for n in form.nodes] == ["f", "f.a", "f.g", "f.g.b", "f.g.c", "f.d"]
+    form.fire("initialize")
+    assert form.text(form.resolve("c")) == "x" and form.text(form.resolve("b")) == "5"
+    form.fire("calculate")
+    assert form.text(form.resolve("a")) == "7" and [form.nodes[n].path for n in form.invalid()] == ["f.d"]
+    assert form.resolve("b", form.resolve("f.g")) == form.resolve("g.b") == form.resolve("f.g.b.rawValue") and form.resolve("none") is None
+    xfa.bind(form, "<f><a>9</a><g><c>new</c></g></f>")
+    assert (form.text(form.resolve("a")), form.text(form.resolve("c"))) == ("9", "new")
+    for bad in ("<template", "<!DOCTYPE x [<!ENTITY e 'e'>]><template/>", "<other/>"):
+        with pytest.raises(xfa.Malformed):
+            xfa.parse(bad)
