@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions import codecs, der, geometry, images
-from pagemill.sources import xfa
+from pagemill.functions import codecs, der, fonts, geometry, images
+from pagemill.sources import pdf, writer, xfa
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -130,3 +130,39 @@ _SIZES = "FROM (SELECT p_partkey, CAST(p_partkey % 13 + 1 AS INT) AS width, p_si
 _add("src_image_decode", lambda s, d: _pictures(s, d).drop("alike"), f"SELECT p_partkey, format, width, height, 0 AS first, CAST((CAST(width AS BIGINT) * height * 3 - 1) * 7 % 251 AS INT) AS last {_SIZES}")
 _add("sink_image_encode", lambda s, d: _pictures(s, d).groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("width") * F.col("height")).alias("pixels")), f"SELECT format, count(*) AS n, CAST(sum(width * height) AS BIGINT) AS pixels {_SIZES} GROUP BY format")
 _add("fn_ssim", lambda s, d: _pictures(s, d).select("p_partkey", "format", "alike"), f"SELECT p_partkey, format, 1.0::DOUBLE AS alike {_SIZES}")
+
+
+def _fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name set in a font program made for it, whose glyphs are its characters in order and as wide as their code and 300: (p_partkey, glyphs, width, family)."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes = sorted(set(map(ord, text or "")))
+                face = fonts.read(fonts.build({c: k + 1 for k, c in enumerate(codes)}, [500, *(300 + c for c in codes)], 2000, f"Part {key}"))
+                out.append((key, len(face.glyphs), face.width(text or ""), face.names[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.string()))], ["p_partkey", "glyphs", "width", "family"])
+
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").mapInArrow(run, "p_partkey long, glyphs int, width double, family string")
+
+
+_add("src_font_programs", _fonts, "SELECT p_partkey, CAST(len(list_distinct(string_split(p_name, ''))) AS INT) AS glyphs, CAST(list_sum(list_transform(string_split(p_name, ''), lambda c: 300 + unicode(c))) AS DOUBLE) / 2 AS width, 'Part ' || p_partkey AS family FROM part")
+
+
+def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a picture on a page of its own: (doc_id, content)."""
+    def run(batches):
+        for batch in batches:
+            made = [writer.image_document([images.Frame(np.full((size, key % 13 + 1, 3), key % 256, np.uint8))], 36.0) for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "doc_id long, content binary")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _image_files(spark, sf_dir)
+    size = pdf.relation(files, "doc_pages").select("doc_id", F.element_at("media_box", 3).alias("width"), F.element_at("media_box", 4).alias("height"))
+    return pdf.relation(files, "ops").where("kind = 'image'").select("doc_id", "page_index", "x0", "y0", "x1", "y1").join(size, "doc_id")
+
+
+_add("sink_image_to_pdf", _placed, "SELECT p_partkey AS doc_id, 0 AS page_index, 36.0::DOUBLE AS x0, 36.0::DOUBLE AS y0, 36.0::DOUBLE + p_partkey % 13 + 1 AS x1, 36.0::DOUBLE + p_size AS y1, 72.0::DOUBLE + p_partkey % 13 + 1 AS width, 72.0::DOUBLE + p_size AS height FROM part")

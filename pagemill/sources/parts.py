@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from pagemill.sources.pdf import Name, Pdf, Ref, Stream, text_of, tokens
+from pagemill.sources.pdf import Malformed, Name, Pdf, Ref, Stream, text_of, tokens
 from pagemill.sources.walk import walk
 
 #: By relation, the columns after the document's id.
@@ -17,6 +18,7 @@ RELATIONS = {
     "fonts": "page_index int, font string, obj_no int, subtype string, base_font string, embedded boolean, subset boolean",
     "active": "obj_no int, category string",
     "ops": "page_index int, seq int, op string, kind string, paint string, x0 double, y0 double, x1 double, y1 double, fill string, stroke string, line_width double, alpha double, clips int, segments int, obj_no int",
+    "linearization": "version double, length long, first_object int, first_end long, page_count int, main_index long, fits boolean",
     "tokens": "kind string, value string, start long, end long",
 }
 MOST_NODES = 100_000
@@ -201,9 +203,21 @@ def _ops(pdf: Pdf):
             yield k, i, x.op, x.kind, x.paint, *x.box, x.state.fill, x.state.stroke, x.state.width, x.state.alpha, x.state.clips, x.segments, x.obj_no
 
 
+def _linearization(pdf: Pdf, most: int = 1024):
+    """The parameters of a file laid out for reading page by page, from its first object; fits: its length is the one they say."""
+    at = re.search(rb"(?<!\d)\d+\s+\d+\s+obj\b", pdf.data[:most])
+    try:
+        _, first = pdf._object_at(at.start()) if at else (0, None)
+    except Malformed:
+        return
+    if isinstance(first, dict) and "Linearized" in first:
+        numbers = [first.get(k) if isinstance(first.get(k), int) else None for k in ("L", "O", "E", "N", "T")]
+        yield float(first["Linearized"]), *numbers, numbers[0] == len(pdf.data)
+
+
 def _tokens(pdf: Pdf):
     for kind, value, start, end in tokens(pdf.data):
         yield kind, text_of(value) if isinstance(value, bytes) else str(value), start, end
 
 
-READERS = {"fields": _fields, "outlines": _outlines, "annotations": _annotations, "layers": _layers, "signatures": _signatures, "fonts": _fonts, "active": _active, "ops": _ops, "tokens": _tokens}
+READERS = {"fields": _fields, "outlines": _outlines, "annotations": _annotations, "layers": _layers, "signatures": _signatures, "fonts": _fonts, "active": _active, "ops": _ops, "linearization": _linearization, "tokens": _tokens}

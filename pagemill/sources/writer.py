@@ -80,6 +80,26 @@ def text_document(pages: list[str], title: str = "", size: float = 12.0) -> byte
     return write(objects, 1, 4)
 
 
+def image_document(frames: list, margin: float = 0.0, scale: float = 1.0) -> bytes:
+    """A file with a page for each image (images.Frame), as large as it and a margin round it; scale: points a pixel."""
+    import zlib
+
+    objects: dict[int, object] = {1: {"Type": Name("Catalog"), "Pages": Ref((2, 0))}}
+    kids = []
+    for k, frame in enumerate(frames):
+        width, height, channels = frame.size
+        colour = frame.samples[..., :3] if channels > 2 else frame.samples[..., :1]
+        page, image, content = 3 + 3 * k, 4 + 3 * k, 5 + 3 * k
+        w, h = width * scale, height * scale
+        objects[page] = {"Type": Name("Page"), "Parent": Ref((2, 0)), "MediaBox": [0, 0, w + 2 * margin, h + 2 * margin], "Resources": {"XObject": {"Im0": Ref((image, 0))}}, "Contents": Ref((content, 0))}
+        said = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "ColorSpace": Name("DeviceRGB" if channels > 2 else "DeviceGray"), "BitsPerComponent": 8, "Filter": Name("FlateDecode")}
+        objects[image] = Stream(said, zlib.compress(colour.tobytes()))
+        objects[content] = Stream({}, b"q %g 0 0 %g %g %g cm /Im0 Do Q" % (w, h, margin, margin))
+        kids.append(Ref((page, 0)))
+    objects[2] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}
+    return write(objects, 1)
+
+
 def documents_of(pages: DataFrame, doc: str = "doc_id", page: str = "page_index", text: str = "text") -> DataFrame:
     """(doc_id, content): each document's pages written as one file, in one task per document."""
     kind = pages.schema[doc].dataType.simpleString()

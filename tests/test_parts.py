@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pagemill.functions import aes, der, images
+from pagemill.functions import aes, der, fonts, images
 from pagemill.plans import casebook
 from pagemill.sources import changes, crypt, parts, pdf, walk, writer, xfa
 
@@ -128,7 +128,7 @@ def test_damaged_files_are_errors_of_their_own(spark):
         rows.append((10 + k, bad))
     files = spark.createDataFrame(rows, "doc_id long, content binary")
     for what in parts.READERS:
-        assert pdf.relation(files, what).where("doc_id = 0").count() > 0 or what in ("outlines",)
+        assert pdf.relation(files, what).where("doc_id = 0").count() > 0 or what == "outlines"
     out = {r.doc_id: r for r in changes.changed(files, changes.minify).collect()}
     assert len(out) == len(rows) and out[0].error is None and out[1].error and out[2].error
     assert pdf.relation(files, "documents", password="x").where("doc_id = 0").first().encrypted is False
@@ -206,3 +206,18 @@ def test_scripts_of_forms():
     for bad in ("<template", "<!DOCTYPE x [<!ENTITY e 'e'>]><template/>", "<other/>"):
         with pytest.raises(xfa.Malformed):
             xfa.parse(bad)
+
+
+def test_font_programs():
+    rng = random.Random(9)
+    for codes in ([], [65], list(range(32, 127)), [0x41, 0x391, 0xFFFD, 0x1F600, 0x1F601], rng.sample(range(1, 0x3000), 200)):
+        glyphs = {c: rng.randrange(1, 300) for c in codes}
+        widths = [rng.randrange(2000) for _ in range(300)]
+        data = fonts.build(glyphs, widths, 1024, "Ä family")
+        face = fonts.read(data)
+        assert face.glyphs == glyphs and face.widths == widths and (face.em, face.ascent, face.descent, face.names) == (1024, 800, -200, {1: "Ä family"})
+        text = "".join(map(chr, codes)) + "\u0007"
+        assert face.width(text) == pytest.approx(sum(widths[glyphs.get(ord(c), 0)] for c in text) * 1000 / 1024)
+        for cut in range(0, len(data), 37):
+            with pytest.raises(fonts.BadFont):
+                fonts.read(data[:cut])
