@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import folds
+from pagemill.operators import detection
 
 _SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|\-#&~])")
 
@@ -61,6 +62,41 @@ def search(pages: DataFrame, query: str, ignore_case: bool = False, whole_word:
     return pages.withColumn("start", F.explode(places(F.col(text_col), query, ignore_case, whole_word))).drop(text_col)
 
 
+#: Parts of an em: a wider gap between two runs of a line is a space, a larger step of the baseline a new line.
+GAP, STEP = 0.25, 0.5
+
+
+def page_variants(fragments: DataFrame) -> DataFrame:
+    """(doc_id, page_index, text): each page's text as drawn, with spaces at wide gaps, and without any spaces, so that what is set in pieces is found too.
+
+    Fragments (doc_id, page_index, frag_index, text, x, y, font_size, width) are gathered by page, which bounds a group;
+    equal variants are one row.
+    """
+    runs = fragments.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("frag_index", "text", "x", "y", "font_size", "width"))).alias("_r"))
+
+    def joined(gap: str) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            before = F.element_at("_r", F.greatest(i, F.lit(1)))
+            down = F.abs(r["y"] - before["y"]) > STEP * r["font_size"]
+            wide = r["x"] - before["x"] - F.coalesce(before["width"], 0.5 * before["font_size"] * F.length(before["text"])) > GAP * r["font_size"]
+            return F.concat(F.when(i == 0, "").when(down, "\n").when(wide, gap).otherwise(""), r["text"])
+
+        return F.array_join(F.transform("_r", piece), "")
+
+    drawn = joined("")
+    texts = F.array_distinct(F.array(drawn, joined(" "), F.replace(drawn, F.lit(" "), F.lit(""))))
+    return runs.select("doc_id", "page_index", F.explode(texts).alias("text"))
+
+
+def located(fragments: DataFrame, rules, annotations: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_index, source, rule, match): what rules find in any variant of a page's text, or in its notes, each once per page, white space left out."""
+    texts = page_variants(fragments).select("doc_id", "page_index", F.lit("text").alias("source"), "text")
+    if annotations is not None:
+        texts = texts.unionByName(annotations.where("contents IS NOT NULL").select("doc_id", "page_index", F.lit("note").alias("source"), F.col("contents").alias("text")))
+    found = detection.findings(texts, rules)
+    return found.select("doc_id", "page_index", "source", "rule", F.regexp_replace("match", r"\s", "").alias("match")).distinct()
+
+
 def fold(text: str) -> tuple[str, list[int]]:
     """Compatibility decomposition character by character, the minus sign as "-", and for each new character where it comes from."""
     out, back = [], []

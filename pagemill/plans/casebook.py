@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import codecs
-from pagemill.operators import conformance, objects, reading, trees
+from pagemill.operators import conformance, detection, objects, reading, search, trees
 from pagemill.plans import content, structure
 from pagemill.sources import changes, crypt, pdf, writer
 from pagemill.sources.pdf import Name, Ref, Stream
@@ -240,3 +240,17 @@ def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["src_decrypt"] = _opened
 ORACLES["src_decrypt"] = f"SELECT *, unnest(['open 1', 'own 1']) AS by FROM ({_READ})"
 _add("src_requires_password", lambda s, d: pdf.relation(_sealed(s, d), "documents").select("doc_id", F.col("error").startswith("WrongPassword").alias("asks"), "page_count"), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN true END AS asks, CASE WHEN doc_id % 2 = 1 THEN n END AS page_count FROM d")
+
+
+_LOCATED = [detection.RULES[n] for n in ("email", "ssn", "phone", "isodate", "ipv4")]
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = content.files(spark, sf_dir)
+    noted = changes.changed(files, lambda data: changes.add_annotations(data, [(0, "Text", (0.0, 0.0, 9.0, 9.0), f"call {SSN}")]))
+    return search.located(pdf.relation(noted, "fragments"), _LOCATED, pdf.relation(noted, "annotations"))
+
+
+_SPACELESS = "(SELECT doc_id, page_index, text FROM read_ UNION SELECT doc_id, page_index, replace(text, ' ', '') FROM read_)"
+QUERIES["pii_locate"] = _located
+ORACLES["pii_locate"] = f"WITH read_ AS ({_READ}) " + " UNION ".join(f"SELECT doc_id, page_index, 'text' AS source, '{r.name}' AS rule, regexp_replace(unnest(regexp_extract_all(text, '{r.pattern}')), '\\s', '', 'g') AS \"match\" FROM {_SPACELESS}" for r in _LOCATED) + f" UNION SELECT DISTINCT conv_id, 0, 'note', 'ssn', '{SSN}' FROM conversations"

@@ -148,7 +148,6 @@ ORACLES["red_verify_patterns"] = f"WITH {_values()} " + " UNION ALL ".join(f"SEL
 QUERIES["srch_substring"] = lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.size(search.places(F.col("text"), "the")).cast("long").alias("n"), F.size(search.places(F.col("text"), "the", whole_word=True)).cast("long").alias("n_words"))
 ORACLES["srch_substring"] = f"WITH {_values()} SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(range(1, len(string_split(text, 'the'))), lambda i: CASE WHEN regexp_matches(right(string_split(text, 'the')[i], 1), '[\\p{{L}}\\p{{N}}]') OR (string_split(text, 'the')[i] = '' AND i > 1) OR regexp_matches(left(string_split(text, 'the')[i + 1], 1), '[\\p{{L}}\\p{{N}}]') OR (string_split(text, 'the')[i + 1] = '' AND i + 1 < len(string_split(text, 'the'))) THEN 0 ELSE 1 END)), 0) AS BIGINT) AS n_words FROM docs"
 QUERIES["srch_fold"] = lambda spark, sf_dir: _docs(spark, sf_dir).withColumn("m", F.explode(search.folded_places(F.col("text"), F.lit("ét")))).select("doc_id", "m.start", "m.length")
-QUERIES["pii_locate"] = lambda spark, sf_dir: search.search(_docs(spark, sf_dir), " and ")
 
 
 def _characters(spark: SparkSession) -> DataFrame:

@@ -224,3 +224,15 @@ def test_outlines_and_pages_by_large_ordinals(spark):
     rows = [(1, k, None, o, f"t{o}", 0) for k, o in enumerate([999_999, 1_000_000, 12_345_678, 2])]
     out = trees.outline(spark.createDataFrame(rows, "doc_id long, node_id int, parent_id int, ordinal long, title string, page_index int"))
     assert [r.title for r in out.orderBy("place").collect()] == ["t2", "t999999", "t1000000", "t12345678"]
+
+
+def test_what_is_drawn_in_pieces_is_located(spark):
+    """A number in runs that touch, with gaps, letter by letter with spaces, or over two lines; the same one once a page."""
+    def row(page, k, text, x, y=700.0):
+        return (1, page, k, text, x, y, 10.0, 5.0 * len(text))
+
+    rows = [row(0, 0, "call 123-4", 50.0), row(0, 1, "5-6789", 100.0), row(1, 0, "on", 50.0), row(1, 1, "123-45-6789", 70.0), row(2, 0, "1 2 3 - 4 5 - 6 7 8 9", 50.0), row(3, 0, "123-45-", 50.0), row(3, 1, "6789", 50.0, 680.0), row(4, 0, "x123-45-6789", 50.0)]
+    frags = spark.createDataFrame(rows, "doc_id long, page_index int, frag_index int, text string, x double, y double, font_size double, width double")
+    notes = spark.createDataFrame([(1, 9, "123-45-6789 and 123-45-6789"), (1, 9, None)], "doc_id long, page_index int, contents string")
+    got = search.located(frags, [detection.RULES["ssn"]], notes).collect()
+    assert sorted((r.page_index, r.source, r.match) for r in got) == [(0, "text", "123-45-6789"), (1, "text", "123-45-6789"), (2, "text", "123-45-6789"), (9, "note", "123-45-6789")]
