@@ -164,12 +164,22 @@ def garbage(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     return objects.join(reachable(edges, roots), ["doc_id", "obj_no"], "left_anti")
 
 
+def numbered(rows: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """Adds out: 1 to n in each group by order, which must be unique in it. A group of any size is dealt to slices by ranges, numbered slice by slice."""
+    sliced = settled(rows.repartitionByRange(F.col(group), F.col(order)).withColumn("_slice", F.spark_partition_id()))
+    counts = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order))
+    return sliced.withColumn(out, within).join(counts, [group, "_slice"]).withColumn(out, (F.col(out) + F.col("_before")).cast("int")).drop("_slice", "_before")
+
+
 def densify(objects: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects numbered 1 to n per document in their order (adds new_no), and references in the new numbers; a reference to nothing goes to 0."""
-    numbered = objects.withColumn("new_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("obj_no")))
-    to = numbered.select("doc_id", "obj_no", "new_no")
+    dense = numbered(objects, "doc_id", "obj_no", "new_no")
+    to = settled(dense.select("doc_id", "obj_no", "new_no"))
     out = edges.join(to.withColumnsRenamed({"obj_no": "src", "new_no": "new_src"}), ["doc_id", "src"]).join(to.withColumnsRenamed({"obj_no": "dst", "new_no": "new_dst"}), ["doc_id", "dst"], "left")
-    return numbered, out.select("doc_id", F.col("new_src").alias("src"), F.coalesce("new_dst", F.lit(0)).alias("dst"))
+    return dense, out.select("doc_id", F.col("new_src").alias("src"), F.coalesce("new_dst", F.lit(0)).alias("dst"))
 
 
 def compression_report(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

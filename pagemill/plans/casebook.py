@@ -214,6 +214,8 @@ _add("qa_pdfa", lambda s, d: conformance.findings(cases(s, d)), """SELECT doc_id
   UNION ALL SELECT doc_id, 'lzw', 1 FROM d WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'javascript', 1 FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'attachment', 2 FROM d WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, 'font-not-embedded', n FROM d UNION ALL SELECT doc_id, 'annotation-without-appearance', 2 * n FROM d
   UNION ALL SELECT doc_id, 'annotation-hidden', count(*) FROM p WHERE k % 3 = 2 GROUP BY doc_id UNION ALL SELECT doc_id, 'transparency', count(*) FROM p WHERE k % 4 = 3 GROUP BY doc_id)""")
+_add("sink_pdfa", lambda s, d: conformance.findings(changes.changed(cases(s, d), changes.archived)), """SELECT doc_id, rule, CAST(n AS BIGINT) AS n FROM (
+  SELECT doc_id, 'font-not-embedded' AS rule, n FROM d UNION ALL SELECT doc_id, 'transparency', count(*) FROM p WHERE k % 4 = 3 GROUP BY doc_id)""")
 _add("src_tokenize", lambda s, d: pdf.relation(content.files(s, d), "tokens").where(F.col("kind") == "word").where(F.col("value").isin("obj", "endobj", "stream", "endstream", "trailer", "startxref")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_id, value, CAST(CASE WHEN value IN ('obj', 'endobj') THEN 4 + 2 * n WHEN value LIKE '%stream' THEN n ELSE 1 END AS BIGINT) AS n FROM d, (VALUES ('obj'), ('endobj'), ('stream'), ('endstream'), ('trailer'), ('startxref')) v(value)")
 _add("src_linearization", _over("linearization", lambda t: t), "SELECT doc_id, 1.0::DOUBLE AS version, CAST(doc_id AS BIGINT) AS length, 2 AS first_object, CAST(500 AS BIGINT) AS first_end, n AS page_count, CAST(9000 AS BIGINT) AS main_index, false AS fits FROM d WHERE doc_id % 2 = 0")
 _add("src_limits", lambda s, d: pdf.relation(cases(s, d), "documents", most_pages=3).select("doc_id", "page_count", "error"), "SELECT doc_id, CASE WHEN n <= 3 THEN n END AS page_count, CASE WHEN n > 3 THEN 'Malformed: too many pages' END AS error FROM d")

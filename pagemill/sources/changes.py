@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Sequence
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
 from pagemill.sources import parts, walk, writer
-from pagemill.sources.pdf import Name, Pdf, Ref, Stream, _refs, text_of
+from pagemill.sources.pdf import Entry, Name, Pdf, Ref, Stream, _refs, text_of
 
 
 def _text(value: str) -> bytes:
@@ -123,6 +125,39 @@ def sanitize(data: bytes, categories: Sequence[str] = parts.ACTIVE) -> bytes:
     return rewritten(pdf, lambda number, value: cut(value), "metadata" not in categories)
 
 
+_XMP = """<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/" pdfaid:part="2" pdfaid:conformance="B" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title><rdf:Alt><rdf:li xml:lang="x-default">%s</rdf:li></rdf:Alt></dc:title></rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>"""
+
+
+def archived(data: bytes) -> bytes:
+    """The document as an archive takes it, as far as no content has to be drawn anew: no active content, attachments, layers or hidden notes; LZW data deflated, notes with an appearance, metadata and an output intent.
+
+    Fonts that aren't embedded and transparency stay, and conformance.findings() tells of them.
+    """
+    clean = Pdf.open(sanitize(data, [c for c in parts.ACTIVE if c != "metadata"]))
+    title = parts._text(clean, parts._dict(clean, clean.trailer.get("Info")).get("Title")) or ""
+    top = _free(clean)
+    blank = Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, 0, 0]}, b"")
+    root, about = clean.trailer["Root"][0], escape(title)
+    added = {top: Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, (_XMP % about).encode()), top + 1: blank}
+
+    def change(number, value):
+        if number in added:
+            return added[number]
+        if number == root:
+            intent = {"Type": Name("OutputIntent"), "S": Name("GTS_PDFA1"), "OutputConditionIdentifier": b"sRGB"}
+            return {k: v for k, v in value.items() if k != "OCProperties"} | {"Metadata": Ref((top, 0)), "OutputIntents": [intent]}
+        if isinstance(value, Stream) and "LZWDecode" in str(clean.get(value.dict.get("Filter"))):
+            return Stream({k: v for k, v in value.dict.items() if k != "DecodeParms"} | {"Filter": Name("FlateDecode")}, zlib.compress(clean.decoded(value)))
+        if isinstance(value, dict) and isinstance(notes := clean.get(value.get("Annots")), list):
+            value = value | {"Annots": [a for a in notes if not (clean.get(parts._dict(clean, a).get("F")) or 0) & 34]}
+        if isinstance(value, dict) and "Subtype" in value and "Rect" in value and "AP" not in value:
+            return value | {"AP": {"N": Ref((top + 1, 0))}, "F": (value.get("F") or 0) | 4}
+        return value
+
+    clean.index |= {n: Entry("offset", 0, 0, 0) for n in added}
+    return rewritten(clean, change)
+
+
 def scrub(data: bytes, replace: Callable[[str], str]) -> bytes:
     """The document with replace() over every text outside its pages' contents: titles, names, field values, notes, attachments' text, metadata."""
     pdf = Pdf.open(data)

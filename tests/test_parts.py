@@ -221,3 +221,13 @@ def test_font_programs():
         for cut in range(0, len(data), 37):
             with pytest.raises(fonts.BadFont):
                 fonts.read(data[:cut])
+
+
+def test_archived_documents():
+    before = pdf.Pdf.open(CASE)
+    after = pdf.Pdf.open(changes.archived(CASE))
+    root = parts.catalog(after)
+    assert b"SSN 123-45-6789 of case 60" in after.get(root["Metadata"]).raw and root["OutputIntents"] and "OCProperties" not in root and not after.warnings
+    assert [c for _, c in parts.READERS["active"](after)] == ["metadata", "metadata"]
+    assert [after.contents(p) for p, _ in after.pages()] == [before.contents(p) for p, _ in before.pages()]
+    assert all(r[-1] and r[4] & 34 == 0 for r in parts.READERS["annotations"](after))
