@@ -177,3 +177,23 @@ def alike(a: Frame, b: Frame, block: int = 8) -> float:
             total += (2 * mp * mq + one) * (2 * both + two) / ((mp**2 + mq**2 + one) * (p.var() + q.var() + two))
             n += 1
     return total / n
+
+
+def straightened(frame: Frame, corners: list[tuple[float, float]], width: int, height: int) -> Frame:
+    """What lies between four corners (from the upper left, clockwise) as an image of its own: the plane's projective map, sampled between the four nearest pixels."""
+    _limited(width, height)
+    rows, right = [], []
+    for (x, y), (u, v) in zip([(0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1)], corners, strict=True):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+        right += [u, v]
+    m = np.linalg.lstsq(np.array(rows, float), np.array(right, float), rcond=None)[0]
+    y, x = np.mgrid[0:height, 0:width]
+    depth = m[6] * x + m[7] * y + 1
+    u, v = (m[0] * x + m[1] * y + m[2]) / depth, (m[3] * x + m[4] * y + m[5]) / depth
+    wide, high, _ = frame.size
+    u, v = np.clip(u, 0, wide - 1), np.clip(v, 0, high - 1)
+    i, j = np.minimum(u.astype(int), max(0, wide - 2)), np.minimum(v.astype(int), max(0, high - 2))
+    p, q = (u - i)[..., None], (v - j)[..., None]
+    s, k, n = frame.samples.astype(float), np.minimum(i + 1, wide - 1), np.minimum(j + 1, high - 1)
+    out = (s[j, i] * (1 - p) + s[j, k] * p) * (1 - q) + (s[n, i] * (1 - p) + s[n, k] * p) * q
+    return Frame(np.clip(np.rint(out), 0, 255).astype(np.uint8))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import codecs, der, fonts, geometry, images
+from pagemill.operators import authoring
 from pagemill.sources import pdf, writer, xfa
 
 QUERIES: dict = {}
@@ -19,15 +20,15 @@ def _add(name: str, run, sql: str) -> None:
     ORACLES[name] = sql
 
 
-_TEMPLATE = """<?xml version="1.0"?><template xmlns="http://www.xfa.org/schema/xfa-template/3.3/"><subform name="form1" layout="tb"><occur min="0" max="-1"/>
-<field name="First" x="0.5in" w="3in" h="0.25in"><value><text>%s</text></value></field>
-<subform name="money"><field name="Base" w="2cm"><value><text>%d</text></value><validate><script>Base &gt; 100</script></validate></field>
-<field name="Rate"><value><text>3</text></value></field>
-<field name="Amount"><event activity="initialize"><script contentType="application/x-formcalc">Amount = Base * Rate</script></event></field></subform>
-<field name="Full"><event activity="initialize"><script>Full = Upper(First) &amp; " " &amp; money.Base</script></event></field>
-<field name="Tier"><calculate><script>if (Base &gt; 100) then "premium" else "standard" endif</script></calculate></field>
-<field name="Size"><calculate><script contentType="application/x-javascript">Size.rawValue = First.rawValue.length + 1;</script></calculate><validate><script contentType="application/x-javascript">no.such(</script></validate></field>
-<field name="Broken"><value><text>as it was</text></value><event activity="initialize"><script>Broken = ((</script></event></field>
+_TEMPLATE = """<?xml version="1.0"?><template xmlns="http://www.xfa.org/schema/xfa-template/3.3/"><subform name="form1" layout="tb"><occur min="0" max="-1"/><pageSet><pageArea name="P"><contentArea x="0.5in" y="0.5in" w="7.5in" h="10in"/></pageArea></pageSet>
+<field name="First" x="0.5in" w="3in" h="2in"><value><text>%s</text></value></field>
+<subform name="money"><field name="Base" h="2in" w="2cm"><value><text>%d</text></value><validate><script>Base &gt; 100</script></validate></field>
+<field name="Rate" h="2in"><value><text>3</text></value></field>
+<field name="Amount" h="2in"><event activity="initialize"><script contentType="application/x-formcalc">Amount = Base * Rate</script></event></field></subform>
+<field name="Full" h="2in"><event activity="initialize"><script>Full = Upper(First) &amp; " " &amp; money.Base</script></event></field>
+<field name="Tier" h="2in"><calculate><script>if (Base &gt; 100) then "premium" else "standard" endif</script></calculate></field>
+<field name="Size" h="2in"><calculate><script contentType="application/x-javascript">Size.rawValue = First.rawValue.length + 1;</script></calculate><validate><script contentType="application/x-javascript">no.such(</script></validate></field>
+<field name="Broken" h="2in"><value><text>as it was</text></value><event activity="initialize"><script>Broken = ((</script></event></field>
 <draw name="Note"><value><text>note</text></value></draw></subform></template>"""
 
 
@@ -48,7 +49,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("src_xfa_template", lambda s, d: _nodes(s, d).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"), F.max(geometry.points_of(F.col("w"))).alias("w"), F.max("value").alias("value")), """
 SELECT c_custkey AS doc_id, kind, CAST(n AS BIGINT) AS n, path, w, CASE kind WHEN 'field' THEN greatest(c_name, CAST(c_custkey AS VARCHAR), '3', 'as it was') WHEN 'draw' THEN 'note' END AS value
-FROM customer, (VALUES ('subform', 2, 'form1', CAST(NULL AS DOUBLE)), ('field', 8, 'form1.Broken', 216.0), ('draw', 1, 'form1.Note', NULL)) v(kind, n, path, w)""")
+FROM customer, (VALUES ('subform', 2, 'form1', CAST(NULL AS DOUBLE)), ('field', 8, 'form1.Broken', 216.0), ('draw', 1, 'form1.Note', NULL), ('pageSet', 1, 'form1', NULL), ('pageArea', 1, 'form1.P', NULL), ('contentArea', 1, 'form1.P', 540.0)) v(kind, n, path, w)""")
 
 
 def _values(data: bool):
@@ -66,6 +67,7 @@ FROM (SELECT *, {base} AS b FROM customer), {_LISTED}"""
 
 _add("fn_xfa_events", _values(False), _values_sql("c_custkey"))
 _add("ext_xfa", _values(True), _values_sql("CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000 ELSE c_custkey END"))
+_add("ord_xfa_paginate", lambda s, d: xfa.paginated(_nodes(s, d).where("kind = 'field'"), 720.0), f"SELECT c_custkey AS doc_id, path, CAST(k // 5 AS INT) AS page, (k % 5) * 144.0::DOUBLE AS y FROM customer, {_LISTED}")
 _REFS = [("form1.money.Base", None, "form1.money.Base", "root"), ("Base.rawValue", "form1.money", "form1.money.Base", "context"), ("money.Rate", "form1.money", "form1.money.Rate", "subform"), ("$form.form1.Full", None, "form1.Full", "root"), ("elsewhere.Tier", None, "form1.Tier", "leaf"), ("Nothing", "form1", None, None), ("Size", "form1", "form1.Size", "context")]
 
 
@@ -126,6 +128,33 @@ def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, format string, width int, height int, first int, last int, alike double")
 
 
+def _straight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a ramp drawn askew, straightened: (p_partkey, off), the largest difference from the ramp."""
+    def run(batches):
+        for batch in batches:
+            off = []
+            for size in batch.column(1).to_pylist():
+                wide = size + 8
+                drawn = images.Frame((np.add.outer(2 * np.arange(80), np.arange(80)) % 256).astype(np.uint8)[..., None])
+                got = images.straightened(drawn, [(1, 2), (wide, 2), (wide, 12), (1, 12)], wide, 11)
+                want = np.add.outer(2 * np.arange(2, 13), np.arange(1, wide + 1)) % 256
+                off.append(int(np.abs(got.samples[..., 0].astype(int) - want).max()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(off, pa.int32())], ["p_partkey", "off"])
+
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, off int")
+
+
+_add("img_perspective", _straight, "SELECT p_partkey, 0 AS off FROM part")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("heading").alias("kind"), F.concat(F.lit("Document "), F.col("doc_id")).alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("paragraph").alias("kind"), F.col("text")))).alias("b"))
+    return t.select("doc_id", "b.*")
+
+
+_add("aut_document", lambda s, d: pdf.relation(authoring.documents(_blocks(s, d)), "documents").select("doc_id", "page_count"), """
+SELECT doc_id, CAST(CASE WHEN n <= 48 THEN 1 ELSE 1 + ceil((n - 48) / 50.0) END AS INT) AS page_count
+FROM (SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '.{1,90}(?:\\s|$)|\\S{90}'), lambda x: rtrim(x, ' ')), lambda x: x <> '')) AS n FROM documents)""".replace("\\\\", "\\"))
 _SIZES = "FROM (SELECT p_partkey, CAST(p_partkey % 13 + 1 AS INT) AS width, p_size AS height FROM part), (VALUES ('png'), ('bmp')) v(format)"
 _add("src_image_decode", lambda s, d: _pictures(s, d).drop("alike"), f"SELECT p_partkey, format, width, height, 0 AS first, CAST((CAST(width AS BIGINT) * height * 3 - 1) * 7 % 251 AS INT) AS last {_SIZES}")
 _add("sink_image_encode", lambda s, d: _pictures(s, d).groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("width") * F.col("height")).alias("pixels")), f"SELECT format, count(*) AS n, CAST(sum(width * height) AS BIGINT) AS pixels {_SIZES} GROUP BY format")

@@ -249,6 +249,15 @@ def relation(templates: DataFrame, what: str, id_col: str = "doc_id", xml_col: s
     return templates.select(F.col(id_col), F.col(xml_col), data.alias("_data")).mapInArrow(read, schema)
 
 
+def paginated(nodes: DataFrame, room: float) -> DataFrame:
+    """(doc_id, path, page, y): a template's fields, in document order, flowed into pages whose content area is `room` points high. A field without a height takes none."""
+    from pagemill.functions import geometry
+    from pagemill.operators import pages
+
+    fields = nodes.where("kind IN ('field', 'draw')").select("doc_id", "path", F.col("node_id").cast("bigint").alias("at"), F.coalesce(geometry.points_of(F.col("h")), F.lit(0.0)).alias("high"))
+    return pages.paginate(fields, "doc_id", "at", "high", room).select("doc_id", "path", "page", "y")
+
+
 def resolved(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """references (doc_id, ref, context) with found, the path of the node each names (null if none), and how: root, context, subform or leaf.
 

@@ -231,3 +231,12 @@ def test_archived_documents():
     assert [c for _, c in parts.READERS["active"](after)] == ["metadata", "metadata"]
     assert [after.contents(p) for p, _ in after.pages()] == [before.contents(p) for p, _ in before.pages()]
     assert all(r[-1] and r[4] & 34 == 0 for r in parts.READERS["annotations"](after))
+
+
+def test_straightened_images():
+    """The corners of a projective square land on the corners of its image; straight lines between them stay straight."""
+    ramp = images.Frame(np.clip(np.add.outer(np.zeros(50), np.arange(60) * 4), 0, 255).astype(np.uint8)[..., None])
+    out = images.straightened(ramp, [(10, 5), (50, 10), (45, 40), (5, 45)], 21, 31).samples[..., 0]
+    assert (out[0, 0], out[0, -1], out[-1, -1], out[-1, 0]) == (40, 200, 180, 20) and (np.diff(out.astype(int), axis=1) > 0).all()
+    assert (images.straightened(ramp, [(0, 0), (59, 0), (59, 49), (0, 49)], 60, 50).samples == ramp.samples).all()
+    assert images.straightened(images.Frame(np.full((1, 1, 3), 9, np.uint8)), [(0, 0)] * 4, 2, 2).samples.tolist() == [[[9] * 3] * 2] * 2
