@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from datetime import UTC, datetime
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.functions import codecs
+from pagemill.functions import codecs, signing
 from pagemill.operators import conformance, detection, objects, reading, search, trees
 from pagemill.plans import content, structure
 from pagemill.sources import changes, crypt, pdf, writer
@@ -256,3 +259,50 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACELESS = "(SELECT doc_id, page_index, text FROM read_ UNION SELECT doc_id, page_index, replace(text, ' ', '') FROM read_)"
 QUERIES["pii_locate"] = _located
 ORACLES["pii_locate"] = f"WITH read_ AS ({_READ}) " + " UNION ".join(f"SELECT doc_id, page_index, 'text' AS source, '{r.name}' AS rule, regexp_replace(unnest(regexp_extract_all(text, '{r.pattern}')), '\\s', '', 'g') AS \"match\" FROM {_SPACELESS}" for r in _LOCATED) + f" UNION SELECT DISTINCT conv_id, 0, 'note', 'ssn', '{SSN}' FROM conversations"
+
+
+@cache
+def _certified() -> dict:
+    """Keys and certificates of tests: a root, one below it with and one without authority, signers below these, one of them of the past."""
+    root, middle, own = (signing.test_key(k) for k in (1, 2, 3))
+    out = {"key": own, "root": signing.certificate("Root", root, "Root", root, 1, authority=True)}
+    out["middle"], out["plain"] = (signing.certificate("Middle", middle, "Root", root, 2, authority=a) for a in (True, False))
+    out["signer"] = signing.certificate("Signer", own, "Middle", middle, 3)
+    out["past"] = signing.certificate("Signer", own, "Middle", middle, 4, "000101000000Z", "010101000000Z")
+    return out
+
+
+def _sign(data: bytes, doc: int) -> bytes:
+    """Signed by the document's number: with the whole path, without its middle, by one of the past, over a middle without authority; every third one is changed afterwards."""
+    c = _certified()
+    raw, more = ((c["signer"], (c["middle"],)), (c["signer"], ()), (c["past"], (c["middle"],)), (c["signer"], (c["plain"],)))[doc % 4]
+    out = changes.signed(data, lambda content: signing.signed_message(content, c["key"], raw, more), "Signer")
+    return out.replace(b"/MediaBox [0 0 600 800]", b"/MediaBox [0 0 600 801]", 1) if doc % 3 == 0 else out
+
+
+def _checked(signatures: DataFrame) -> DataFrame:
+    """(doc_id, field, whole, genuine, signer, path, trust) of rows with what was signed and the message; none for messages that aren't read."""
+    def run(batches):
+        trusted = [signing.read_certificate(_certified()["root"])]
+        for batch in batches:
+            out = []
+            for doc, name, content, message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    v = signing.check(message or b"", content, trusted, datetime(2026, 1, 1, tzinfo=UTC))
+                except signing.BadSignature:
+                    continue
+                out.append((doc, name, v.whole, v.genuine, v.signer, " < ".join(v.path), v.trust))
+            types = (batch.schema.field(0).type, pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["doc_id", "field", "whole", "genuine", "signer", "path", "trust"])
+
+    return signatures.select("doc_id", "field", "signed", "message").mapInArrow(run, "doc_id long, field string, whole boolean, genuine boolean, signer string, path string, trust string")
+
+
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = content.files(spark, sf_dir)
+    return pdf.relation(changes.changed(files.withColumn("doc", F.col("doc_id")), _sign, "doc"), "signatures")
+
+
+_add("sig_sign", lambda s, d: _signatures(s, d).select("doc_id", "sub_filter", "signer", "whole"), "SELECT doc_id, 'adbe.pkcs7.detached' AS sub_filter, 'Signer' AS signer, true AS whole FROM d")
+_add("sig_verify", lambda s, d: _checked(_signatures(s, d)).select("doc_id", "whole", "genuine", "signer"), "SELECT doc_id, doc_id % 3 <> 0 AS whole, true AS genuine, 'Signer' AS signer FROM d")
+_add("cry_path", lambda s, d: _checked(_signatures(s, d)).select("doc_id", "path", "trust"), "SELECT doc_id, ['Signer < Middle < Root', 'Signer', 'Signer', 'Signer < Middle'][doc_id % 4 + 1] AS path, ['trusted', 'untrusted', 'expired', 'authority'][doc_id % 4 + 1] AS trust FROM d")

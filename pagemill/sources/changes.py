@@ -199,6 +199,29 @@ def minify(data: bytes) -> bytes:
     return rewritten(Pdf.open(writer.update(data, new)), lambda number, value: value)
 
 
+def signed(data: bytes, sign: Callable[[bytes], bytes], signer: str, room: int = 8192) -> bytes:
+    """The document with an invisible signature field over all of it; sign(content) gives the detached message, of up to `room` bytes."""
+    pdf = Pdf.open(data)
+    number, root = _root(pdf)
+    at, place = _free(pdf), b"[0 0000000000 0000000000 0000000000]"
+    head = b"<</Type /Sig /Filter /Adobe.PPKLite /SubFilter /adbe.pkcs7.detached /Name " + writer.serialize(_text(signer)) + b" /ByteRange "
+    value = writer.Raw(head + place + b" /Contents <" + b"0" * (2 * room) + b">>>")
+    form = dict(parts._dict(pdf, root.get("AcroForm")))
+    pages = {k: n for n, k in parts.page_numbers(pdf).items()}
+    field = {"FT": Name("Sig"), "T": b"Signature%d" % at, "V": Ref((at, 0)), "Type": Name("Annot"), "Subtype": Name("Widget"), "Rect": [0, 0, 0, 0], "F": 132} | ({"P": Ref((pages[0], 0))} if pages else {})
+    root["AcroForm"] = form | {"Fields": [*parts._list(pdf, form.get("Fields")), Ref((at + 1, 0))], "SigFlags": 3}
+    out = bytearray(writer.update(data, {number: root, at: value, at + 1: field}))
+    first = out.find(place, len(data))
+    start = out.find(b"/Contents <", first) + 10
+    end = start + 2 + 2 * room
+    out[first : first + len(place)] = (b"[0 %d %d %d" % (start, end, len(out) - end)).ljust(len(place) - 1) + b"]"
+    message = sign(bytes(out[:start] + out[end:]))
+    if len(message) > room:
+        raise ValueError(f"a message of {len(message)} bytes")
+    out[start + 1 : start + 1 + 2 * len(message)] = message.hex().encode()
+    return bytes(out)
+
+
 def changed(files: DataFrame, change: Callable[..., bytes], *columns: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """(id, content, error) of files after change(content, *columns of the row): narrow, one file at a time. A file that can't be changed keeps its content and has an error."""
     import pyarrow as pa

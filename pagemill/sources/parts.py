@@ -14,7 +14,7 @@ RELATIONS = {
     "outlines": "node_id int, parent_id int, ordinal int, title string, page_index int",
     "annotations": "page_index int, obj_no int, ordinal int, subtype string, flags int, contents string, x0 double, y0 double, x1 double, y1 double, target int, appearance boolean",
     "layers": "layer int, name string, base boolean, printed boolean",
-    "signatures": "field string, sub_filter string, signer string, ranges array<long>, signed binary, whole boolean",
+    "signatures": "field string, sub_filter string, signer string, ranges array<long>, signed binary, message binary, whole boolean",
     "fonts": "page_index int, font string, obj_no int, subtype string, base_font string, embedded boolean, subset boolean",
     "active": "obj_no int, category string",
     "ops": "page_index int, seq int, op string, kind string, paint string, x0 double, y0 double, x1 double, y1 double, fill string, stroke string, line_width double, alpha double, clips int, segments int, obj_no int",
@@ -153,7 +153,8 @@ def _signatures(pdf: Pdf):
         spans = list(zip(ranges[::2], ranges[1::2], strict=False))
         signed = b"".join(pdf.data[a : a + n] for a, n in spans)
         whole = len(spans) == 2 and spans[0][0] == 0 and sum(spans[1]) >= len(pdf.data.rstrip())
-        yield name, str(pdf.get(value.get("SubFilter"))), _text(pdf, value.get("Name")), ranges, signed, whole
+        message = pdf.get(value.get("Contents"))
+        yield name, str(pdf.get(value.get("SubFilter"))), _text(pdf, value.get("Name")), ranges, signed, message if isinstance(message, bytes) else None, whole
 
 
 def _fonts(pdf: Pdf):

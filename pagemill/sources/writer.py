@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 from pagemill.sources.pdf import Name, Pdf, Ref, Stream
 
 
+class Raw(bytes):
+    """Document syntax that is written as it is."""
+
+
 def serialize(value) -> bytes:
     """One object in document syntax."""
+    if isinstance(value, Raw):
+        return bytes(value)
     if value is None:
         return b"null"
     if isinstance(value, bool):

@@ -4,11 +4,12 @@ import random
 import re
 import struct
 import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
 
-from pagemill.functions import aes, der, fonts, images
+from pagemill.functions import aes, der, fonts, images, signing
 from pagemill.plans import casebook
 from pagemill.sources import changes, crypt, parts, pdf, walk, writer, xfa
 
@@ -240,3 +241,30 @@ def test_straightened_images():
     assert (out[0, 0], out[0, -1], out[-1, -1], out[-1, 0]) == (40, 200, 180, 20) and (np.diff(out.astype(int), axis=1) > 0).all()
     assert (images.straightened(ramp, [(0, 0), (59, 0), (59, 49), (0, 49)], 60, 50).samples == ramp.samples).all()
     assert images.straightened(images.Frame(np.full((1, 1, 3), 9, np.uint8)), [(0, 0)] * 4, 2, 2).samples.tolist() == [[[9] * 3] * 2] * 2
+
+
+def test_signatures():
+    c, now = casebook._certified(), datetime(2026, 1, 1, tzinfo=UTC)
+    root = [signing.read_certificate(c["root"])]
+    own = signing.read_certificate(c["signer"])
+    assert (own.name, own.serial, own.authority, own.start.year, own.end.year) == ("Signer", 3, False, 2020, 2040) and root[0].authority
+    message = signing.signed_message(b"text", c["key"], c["signer"], (c["middle"],), "sha512")
+    assert signing.check(message, b"text", root, now) == signing.Verdict(True, True, "Signer", ["Signer", "Middle", "Root"], "trusted")
+    assert not signing.check(message, b"Text", root, now).whole and signing.check(message, b"text", root, datetime(2041, 1, 1, tzinfo=UTC)).trust == "expired"
+    rng, kept = random.Random(3), 0
+    for _ in range(200):  # a changed byte is never taken for the signer's
+        bad = bytearray(message)
+        bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        try:
+            v = signing.check(bytes(bad), b"text", root, now)
+            kept += v.whole and v.genuine and v.trust == "trusted"
+        except signing.BadSignature:
+            pass
+    assert kept <= 20  # bytes that nothing is signed by: versions, parameters, further certificates' wrapping
+    forged = signing.certificate("Signer", c["key"], "Middle", signing.test_key(9))
+    assert signing.check(signing.signed_message(b"t", c["key"], forged, (c["middle"],)), b"t", root, now).trust == "signature"
+    once = changes.signed(CASE, lambda content: signing.signed_message(content, c["key"], c["signer"], (c["middle"],)), "É")
+    twice = changes.signed(once, lambda content: signing.signed_message(content, c["key"], c["signer"]), "B")
+    got = {r[0]: r for r in parts.READERS["signatures"](pdf.Pdf.open(twice))}
+    assert sorted(r[2] for r in got.values() if r[0] != "sig") == ["B", "É"] and [r[6] for r in got.values() if r[2] == "B"] == [True] and [r[6] for r in got.values() if r[2] == "É"] == [False]
+    assert all(signing.check(r[5], r[4], root, now).whole for r in got.values() if r[0] != "sig")
