@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.plans import casebook, content, forms, scalar, sensitive, structure
+from pagemill.plans import casebook, content, forms, layout, scalar, sensitive, structure
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (sensitive, scalar, structure, content, casebook, forms):
+for _part in (sensitive, scalar, structure, content, casebook, forms, layout):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

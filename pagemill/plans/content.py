@@ -48,10 +48,9 @@ _SQUEEZED = "regexp_replace(regexp_replace(text, '\\n+', chr(10), 'g'), '^\\s+|\
 _READ = f"WITH {_PAGES} SELECT doc_id, page_index, {_SQUEEZED} AS text FROM p WHERE length(regexp_replace(text, '\\n', '', 'g')) > 0"
 _add("ext_fragments", lambda s, d: pdf.relation(files(s, d), "fragments").groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("top"), F.min("x").alias("x")), f"WITH {_PAGES}, l AS (SELECT doc_id, page_index, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM p) SELECT doc_id, page_index, count(*) AS n, 750.0::DOUBLE - 14.4 * min(k) AS top, 50.0::DOUBLE AS x FROM l WHERE line <> '' GROUP BY ALL")
 _add("ext_text", lambda s, d: reading.stream_text(pdf.relation(files(s, d), "fragments")), _READ)
-_add("ord_operator_text", lambda s, d: reading.stream_text(_rows(s, *_LINES)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'Hello world' || chr(10) || 'Next....... 7'), (1, 1, 'one')) v(doc_id, page_index, text)")
 _FRAGMENT = "doc_id long, page_index int, frag_index int, text string, x double, y double, font_size double, width double, angle double"
 _LINES = (_FRAGMENT, [(1, 0, 0, "Hello", 50.0, 700.0, 10.0, 25.0, 0.0), (1, 0, 1, "world", 79.0, 700.0, 10.0, 25.0, 0.0), (1, 0, 2, "Next", 50.0, 680.0, 10.0, 20.0, 0.0), (1, 0, 3, ".......", 70.0, 680.0, 10.0, 30.0, 0.0), (1, 0, 4, "7", 100.0, 680.0, 10.0, 5.0, 0.0), (1, 1, 0, "one", 50.0, 700.0, 10.0, None, 0.0)])
-ORACLES["ord_operator_text"] = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'Hello world' || chr(10) || 'Next ....... 7'), (1, 1, 'one')) v(doc_id, page_index, text)"
+_add("ord_operator_text", lambda s, d: reading.stream_text(_rows(s, *_LINES)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'Hello world' || chr(10) || 'Next ....... 7'), (1, 1, 'one')) v(doc_id, page_index, text)")
 
 
 def column_page(doc: int, backwards: bool) -> list[tuple]:
@@ -154,5 +153,4 @@ def _curve():
 _add("fn_path_flatten", lambda s, d: s.range(3).select("id", F.explode(paths.flattened(_curve(), (F.col("id") + 1) / 10.0)).alias("p")).select("id", "p.x", "p.y"))
 _add("fn_line_segments", lambda s, d: s.range(1).select(F.explode(paths.segments(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 0), (1, 2))]))).alias("s")).select("s.*"), "SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (1.0, 0.0, 1.0, 2.0)) v(x0, y0, x1, y1)")
 _add("fn_script_split", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(paths.script_runs("text")).alias("r")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("r.length").alias("n")), None)
-_add("set_flatten_annots", lambda s, d: pages.overlay(_rows(s, "doc_id long, page_index int, z int, payload string", [(1, 0, 0, "text")]), _rows(s, "doc_id long, page_index int, payload string, hidden boolean", [(1, 0, "note", False), (1, 0, "gone", True)]).where(~F.col("hidden")).drop("hidden")), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 'text'), (1, 0, 1, 'note')) v(doc_id, page_index, z, payload)")
 _add("rdr_facade", lambda s, d: pdf.relation(files(s, d), "documents").join(reading.stream_text(pdf.relation(files(s, d), "fragments")).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")), "doc_id").select("doc_id", "page_count", "chars"), f"SELECT doc_id, CAST(n AS INT) AS page_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({_READ}) JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (doc_id) GROUP BY doc_id, n")

@@ -74,15 +74,6 @@ _over_pages("aut_table", lambda p: pages.paginate(p.withColumn("at", F.col("page
 _over_pages("aut_headerfooter", lambda p: pages.header_footer(p.select("doc_id", "page_index", "role"), {"top-left": F.col("role"), "top-center": F.lit(""), "bottom-right": num.template("{page}/{total}", F.col("page_index") + 1, F.lit(9))}), "SELECT doc_id, page_index, role, 'top-left' AS slot, role AS text FROM p UNION ALL SELECT doc_id, page_index, role, 'bottom-right', CAST(page_index + 1 AS VARCHAR) || '/9' FROM p")
 _over_pages("set_pipeline", lambda p: p.transform(lambda x: pages.delete_pages(x, [0])).transform(lambda x: pages.page_range(x, 0, 2)), "SELECT doc_id, CAST(page_index - 1 AS INT) AS page_index, role, n FROM p WHERE page_index BETWEEN 1 AND 2")
 
-_CONTENT = ("doc_id long, page_index int, z int, payload string, stamp string", [(1, 0, 0, "a", None), (1, 0, 1, "b", "draft"), (1, 1, 0, "c", None), (2, 0, 5, "d", "final")])
-_STAMPS = ("doc_id long, page_index int, payload string", [(1, 0, "s1"), (1, 0, "s2"), (3, 0, "s3")])
-_add("set_overlay", lambda s, d: pages.overlay(_rows(s, *_CONTENT).drop("stamp"), _rows(s, *_STAMPS)), f"WITH c AS (SELECT * FROM {_sql_rows(*_CONTENT)}), s AS (SELECT * FROM {_sql_rows(*_STAMPS)}) SELECT doc_id, page_index, z, payload FROM c UNION ALL SELECT s.doc_id, s.page_index, CAST(coalesce((SELECT max(z) FROM c WHERE c.doc_id = s.doc_id AND c.page_index = s.page_index), 0) + row_number() OVER (PARTITION BY doc_id, page_index ORDER BY payload) AS INT), payload FROM s")
-_add("set_stamp_remove", lambda s, d: pages.remove_stamp(_rows(s, *_CONTENT), "draft"), f"SELECT * FROM {_sql_rows(*_CONTENT)} WHERE stamp IS DISTINCT FROM 'draft'")
-_add("set_compose", lambda s, d: pages.overlay(_rows(s, *_CONTENT).drop("stamp"), _rows(s, *_STAMPS), below=True), f"WITH c AS (SELECT * FROM {_sql_rows(*_CONTENT)}), s AS (SELECT * FROM {_sql_rows(*_STAMPS)}) SELECT doc_id, page_index, z, payload FROM c UNION ALL SELECT s.doc_id, s.page_index, CAST(coalesce((SELECT min(z) FROM c WHERE c.doc_id = s.doc_id AND c.page_index = s.page_index), 0) - count(*) OVER (PARTITION BY doc_id, page_index) - 1 + row_number() OVER (PARTITION BY doc_id, page_index ORDER BY payload) AS INT), payload FROM s")
-_BOXES = ("doc_id long, page_index int, x1 double, y1 double, x2 double, y2 double, rotate int", [(1, 0, 0.0, 0.0, 600.0, 800.0, 0), (1, 1, 10.0, 20.0, 610.0, 820.0, 90), (2, 0, 0.0, 0.0, 300.0, 300.0, 270)])
-_CROPS = ("doc_id long, page_index int, x1 double, y1 double, x2 double, y2 double", [(1, 0, 50.0, -5.0, 900.0, 400.0), (2, 0, 400.0, 0.0, 500.0, 10.0)])
-_add("set_crop", lambda s, d: pages.crop(_rows(s, *_BOXES), _rows(s, *_CROPS)), f"SELECT b.doc_id, b.page_index, rotate, CASE WHEN hit THEN greatest(b.x1, c.x1) ELSE b.x1 END AS x1, CASE WHEN hit THEN greatest(b.y1, c.y1) ELSE b.y1 END AS y1, CASE WHEN hit THEN least(b.x2, c.x2) ELSE b.x2 END AS x2, CASE WHEN hit THEN least(b.y2, c.y2) ELSE b.y2 END AS y2 FROM {_sql_rows(*_BOXES)} b LEFT JOIN {_sql_rows(*_CROPS)} c ON b.doc_id = c.doc_id AND b.page_index = c.page_index, LATERAL (SELECT coalesce(least(b.x2, c.x2) > greatest(b.x1, c.x1) AND least(b.y2, c.y2) > greatest(b.y1, c.y1) AND c.x1 IS NOT NULL, false) AS hit)")
-_add("fn_fit_page", lambda s, d: _rows(s, *_BOXES).select("doc_id", "page_index", *[geo.place_page([F.col(c) for c in ("x1", "y1", "x2", "y2")], F.col("rotate"), [F.lit(0.0), F.lit(0.0), F.lit(300.0), F.lit(400.0)])[k].alias(k) for k in "ae"]), f"SELECT doc_id, page_index, CASE WHEN rotate = 0 THEN least(300 / (x2 - x1), 400 / (y2 - y1)) ELSE 0 END AS a, CASE rotate WHEN 0 THEN -x1 * least(300 / (x2 - x1), 400 / (y2 - y1)) + (300 - (x2 - x1) * least(300 / (x2 - x1), 400 / (y2 - y1))) / 2 WHEN 90 THEN -y1 * least(300 / (y2 - y1), 400 / (x2 - x1)) + (300 - (y2 - y1) * least(300 / (y2 - y1), 400 / (x2 - x1))) / 2 ELSE y2 * least(300 / (y2 - y1), 400 / (x2 - x1)) + (300 - (y2 - y1) * least(300 / (y2 - y1), 400 / (x2 - x1))) / 2 END AS e FROM {_sql_rows(*_BOXES)}")
 
 # -- objects -----------------------------------------------------------------------------------------------------------
 
@@ -112,8 +103,6 @@ _FIELDS = ("doc_id long, ref string, name string", [(1, "$record.form.a", "a"),
 _add("join_xfa_data", lambda s, d: objects.bind_data(_rows(s, *_FIELDS), _rows(s, *_DATA)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '$record.form.a', 'a', '2'), (1, '$.b', 'b', '3'), (1, 'q.c', 'c', '5'), (1, 'none', 'none', NULL)) v(doc_id, ref, name, value)")
 _add("join_outline_dest", lambda s, d: objects.named_targets(_rows(s, "doc_id long, dest string, title string", [(1, "a", "A"), (1, "zz", "Z")]), _rows(s, "doc_id long, dest string, page_index int", [(1, "a", 3)])), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', 'A', 3), (1, 'zz', 'Z', -1)) v(doc_id, dest, title, page_index)")
 _add("join_tag_rank", lambda s, d: objects.tag_ranks(_rows(s, "doc_id long, page_index int, frag_index int, text string, mcid int", [(1, 0, 0, "aaaa", 1), (1, 0, 1, "bbbb", 2), (1, 0, 2, "c", None), (1, 1, 0, "dd", 1), (1, 1, 1, "ee", None)]), _rows(s, "doc_id long, page_index int, mcid int, rank int", [(1, 0, 1, 7), (1, 0, 2, 3), (1, 1, 1, 1)])).select("doc_id", "page_index", "frag_index", "rank"), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 7), (1, 0, 1, 3), (1, 0, 2, NULL), (1, 1, 0, NULL), (1, 1, 1, NULL)) v(doc_id, page_index, frag_index, rank)")
-_RECTS = ("doc_id long, page_index int, x double, y double, w double, h double, replacement string", [(1, 0, 0.0, 0.0, 50.0, 50.0, "[x]"), (1, 1, 10.0, 10.0, 5.0, 5.0, None)])
-_FRAGS = ("doc_id long, page_index int, frag_index int, text string, x double, y double, width double, height double", [(1, 0, 0, "in", 10.0, 10.0, 20.0, 10.0), (1, 0, 1, "edge", 45.0, 45.0, 20.0, 10.0), (1, 0, 2, "out", 60.0, 60.0, 5.0, 5.0), (1, 1, 0, "off", 100.0, 10.0, 5.0, 5.0)])
 
 
 def overlaps(frags: DataFrame, rects: DataFrame) -> DataFrame:
@@ -123,13 +112,6 @@ def overlaps(frags: DataFrame, rects: DataFrame) -> DataFrame:
     return frags.join(r, ["doc_id", "page_index"]).where(hit)
 
 
-_HIT = "f.x < r.x + r.w AND f.x + f.width > r.x AND f.y < r.y + r.h AND f.y + f.height > r.y"
-_ON = f"FROM {_sql_rows(*_FRAGS)} f JOIN {_sql_rows(*_RECTS)} r ON f.doc_id = r.doc_id AND f.page_index = r.page_index AND {_HIT}"
-_add("join_region", lambda s, d: overlaps(_rows(s, *_FRAGS), _rows(s, *_RECTS)).select("doc_id", "page_index", "frag_index", "text"), f"SELECT f.doc_id, f.page_index, f.frag_index, f.text {_ON}")
-_add("red_verify", lambda s, d: overlaps(_rows(s, *_FRAGS), _rows(s, *_RECTS)).groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("survivors")), f"SELECT f.doc_id, f.page_index, count(*) AS survivors {_ON} GROUP BY ALL")
-_add("flt_extract_within", lambda s, d: overlaps(_rows(s, *_FRAGS), _rows(s, *_RECTS)).where((F.col("x") >= F.col("rx")) & (F.col("x") + F.col("width") <= F.col("rx") + F.col("w"))).select("doc_id", "frag_index", "text"), f"SELECT f.doc_id, f.frag_index, f.text {_ON} AND f.x >= r.x AND f.x + f.width <= r.x + r.w")
-_add("red_replace", lambda s, d: _rows(s, *_FRAGS).join(overlaps(_rows(s, *_FRAGS), _rows(s, *_RECTS)).select("doc_id", "page_index", "frag_index", F.coalesce("replacement", F.lit("")).alias("_new")), ["doc_id", "page_index", "frag_index"], "left").select("doc_id", "page_index", "frag_index", F.coalesce("_new", "text").alias("text")), f"SELECT f.doc_id, f.page_index, f.frag_index, CASE WHEN r.doc_id IS NULL THEN f.text ELSE coalesce(r.replacement, '') END AS text FROM {_sql_rows(*_FRAGS)} f LEFT JOIN {_sql_rows(*_RECTS)} r ON f.doc_id = r.doc_id AND f.page_index = r.page_index AND {_HIT}")
-_add("flt_viewport", lambda s, d: _rows(s, *_FRAGS).join(_rows(s, *_RECTS).select("doc_id", "page_index", F.col("x").alias("rx"), F.col("y").alias("ry"), "w", "h"), ["doc_id", "page_index"]).where(geo.rect_contains(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"), F.col("w"), F.col("h"))).select("doc_id", "page_index", "frag_index"), f"SELECT f.doc_id, f.page_index, f.frag_index FROM {_sql_rows(*_FRAGS)} f JOIN {_sql_rows(*_RECTS)} r ON f.doc_id = r.doc_id AND f.page_index = r.page_index AND f.x BETWEEN r.x AND r.x + r.w AND f.y BETWEEN r.y AND r.y + r.h")
 _CMAP = ("code int, unicode string", [(104, "H"), (105, "I"), (32, " ")])
 _add("join_cmap", lambda s, d: _rows(s, "doc_id long, codes array<int>", [(1, [104, 105]), (2, [105, 999])]).select("doc_id", F.posexplode("codes").alias("i", "code")).join(F.broadcast(_rows(s, *_CMAP)), "code", "left").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("unicode", F.lit("?")).alias("u")))), lambda x: x["u"]), "").alias("text")), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'HI'), (2, 'I?')) v(doc_id, text)")
 
@@ -142,8 +124,6 @@ _add("agg_dedup", lambda s, d: objects.dedup_once(_texts(s, d), objects.content_
 _OBJECTS = ("doc_id long, obj_no int, value string, refs array<int>", [(1, 1, "root", [2, 3]), (1, 2, "x", [4]), (1, 3, "x", [5]), (1, 4, "leaf", []), (1, 5, "leaf", []), (1, 6, "lost", [7]), (1, 7, "lost2", [6]), (2, 1, "root", [2]), (2, 2, "leaf", [])])
 _EDGES = [(1, 1, 2), (1, 1, 3), (1, 2, 4), (1, 3, 5), (1, 6, 7), (1, 7, 6), (2, 1, 2)]
 _add("agg_dedup_fixpoint", lambda s, d: objects.dedup_objects(_rows(s, *_OBJECTS)).select("doc_id", "obj_no", "keeper"), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 1, 1), (1, 2, 2), (1, 3, 2), (1, 4, 4), (1, 5, 4), (1, 6, 6), (1, 7, 7), (2, 1, 1), (2, 2, 2)) v(doc_id, obj_no, keeper)")
-_E = "(SELECT CAST(a AS BIGINT) AS doc_id, b AS src, c AS dst FROM (VALUES " + ", ".join(map(str, _EDGES)) + ") v(a, b, c))"
-_add("agg_gc", lambda s, d: objects.garbage(_rows(s, *_OBJECTS).select("doc_id", "obj_no"), _rows(s, "doc_id long, src int, dst int", _EDGES), _rows(s, "doc_id long, obj_no int", [(1, 1), (2, 1)])), f"WITH RECURSIVE r AS (SELECT DISTINCT doc_id, 1 AS obj_no FROM {_E} UNION SELECT e.doc_id, e.dst FROM r JOIN {_E} e ON e.doc_id = r.doc_id AND e.src = r.obj_no), o AS (SELECT doc_id, src AS obj_no FROM {_E} UNION SELECT doc_id, dst FROM {_E}) SELECT * FROM o EXCEPT SELECT * FROM r")
 _add("agg_compress", lambda s, d: objects.compression_report(_rows(s, *_OBJECTS).select("doc_id", "obj_no", "value"), _rows(s, "doc_id long, src int, dst int", _EDGES), _rows(s, "doc_id long, obj_no int", [(1, 1), (2, 1)])), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(7 AS BIGINT), CAST(2 AS BIGINT), CAST(2 AS BIGINT), CAST(3 AS BIGINT)), (2, 2, 0, 0, 2)) v(doc_id, objects, unreachable, duplicates, kept)")
 
 
