@@ -108,11 +108,6 @@ def guarded(*own: str):
     return wrap
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
