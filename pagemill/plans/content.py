@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.functions import codecs, paths
-from pagemill.operators import objects, pages, reading
-from pagemill.plans.structure import _rows, _sql_rows
+from pagemill.operators import pages, reading
+from pagemill.plans.structure import _rows
 from pagemill.sources import pdf, writer
 
 QUERIES: dict = {}

@@ -7,7 +7,6 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.validators import dihedral
 from pagemill.operators import detection as d
 from pagemill.operators import search
 
@@ -43,18 +42,34 @@ def _luhn(digits: str) -> str:
     return f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN (2 * {x}) // 10 + (2 * {x}) % 10 ELSE {x} END)) % 10 = 0"
 
 
-def _verhoeff() -> str:
-    group, powers = dihedral()
-    g, p = [x for r in group for x in r], [x for r in powers for x in r]
-    codes = f"list_transform(range(0, length({_D})), lambda i: {p}[(i % 8) * 10 + ascii(substr(reverse({_D}), i + 1, 1)) - 48 + 1])"
-    return f"list_reduce(list_prepend(0, {codes}), lambda c, v: {g}[c * 10 + v + 1]) = 0"
-
-
+# The scheme's published tables, so that the check doesn't lean on the rule that the code builds them by.
+_GROUP_TABLE = [
+    0, 1, 2, 3, 4, 5, 6, 7, 8, 9,
+    1, 2, 3, 4, 0, 6, 7, 8, 9, 5,
+    2, 3, 4, 0, 1, 7, 8, 9, 5, 6,
+    3, 4, 0, 1, 2, 8, 9, 5, 6, 7,
+    4, 0, 1, 2, 3, 9, 5, 6, 7, 8,
+    5, 9, 8, 7, 6, 0, 4, 3, 2, 1,
+    6, 5, 9, 8, 7, 1, 0, 4, 3, 2,
+    7, 6, 5, 9, 8, 2, 1, 0, 4, 3,
+    8, 7, 6, 5, 9, 3, 2, 1, 0, 4,
+    9, 8, 7, 6, 5, 4, 3, 2, 1, 0,
+]
+_PLACE_TABLE = [
+    0, 1, 2, 3, 4, 5, 6, 7, 8, 9,
+    1, 5, 7, 6, 2, 8, 3, 0, 9, 4,
+    5, 8, 0, 3, 7, 9, 6, 1, 4, 2,
+    8, 9, 1, 6, 0, 4, 3, 5, 2, 7,
+    9, 4, 5, 3, 1, 2, 6, 8, 7, 0,
+    4, 2, 8, 6, 5, 7, 3, 9, 0, 1,
+    2, 7, 9, 3, 8, 0, 6, 4, 1, 5,
+    7, 0, 4, 6, 9, 1, 3, 2, 5, 8,
+]
 _TURNED = "(substr(m, 5) || substr(m, 1, 4))"
 _CODE = f"CASE WHEN ascii(substr({_TURNED}, i, 1)) >= 65 THEN ascii(substr({_TURNED}, i, 1)) - 55 ELSE ascii(substr({_TURNED}, i, 1)) - 48 END"
 _GROUP = "CAST(substr(m, 5, 2) AS INT)"
 _SQL_VALID = {
-    "card": _luhn(_D), "npi": _luhn("('80840' || m)"), "aadhaar": f"list_reduce(list_prepend(0, list_transform(list_filter(string_split(reverse(m), ''), lambda c: c BETWEEN '0' AND '9'), lambda c, i: {[x for r in dihedral()[1] for x in r]}[((i - 1) % 8) * 10 + ascii(c) - 48 + 1])), lambda c, v: {[x for r in dihedral()[0] for x in r]}[c * 10 + v + 1]) = 0",
+    "card": _luhn(_D), "npi": _luhn("('80840' || m)"), "aadhaar": f"list_reduce(list_prepend(0, list_transform(list_filter(string_split(reverse(m), ''), lambda c: c BETWEEN '0' AND '9'), lambda c, i: {_PLACE_TABLE}[((i - 1) % 8) * 10 + ascii(c) - 48 + 1])), lambda c, v: {_GROUP_TABLE}[c * 10 + v + 1]) = 0",
     "iban": f"length(m) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(range(1, length(m) + 1), lambda i: {_CODE})), lambda r, c: CASE WHEN c > 9 THEN (r * 100 + c) % 97 ELSE (r * 10 + c) % 97 END) = 1",
     "aba": "list_sum(list_transform(range(1, 10), lambda i: [3, 7, 1][(i - 1) % 3 + 1] * (ascii(substr(m, i, 1)) - 48))) % 10 = 0",
     "itin": f"({_GROUP} BETWEEN 50 AND 65 OR {_GROUP} BETWEEN 70 AND 88 OR {_GROUP} BETWEEN 90 AND 92 OR {_GROUP} BETWEEN 94 AND 99)",

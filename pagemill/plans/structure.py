@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.functions import geometry as geo
 from pagemill.functions import numbering as num
 from pagemill.operators import objects, pages, trees
 
