@@ -53,26 +53,34 @@ _LINES = (_FRAGMENT, [(1, 0, 0, "Hello", 50.0, 700.0, 10.0, 25.0, 0.0), (1, 0, 1
 _add("ord_operator_text", lambda s, d: reading.stream_text(_rows(s, *_LINES)), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'Hello world' || chr(10) || 'Next ....... 7'), (1, 1, 'one')) v(doc_id, page_index, text)")
 
 
-def column_page(doc: int, backwards: bool) -> list[tuple]:
-    """A page of a title, two columns of six lines and a footer, drawn in either order."""
-    left = [(f"Left column line {k} of running text", 50.0, 700.0 - 14 * k) for k in range(6)]
-    right = [(f"Right column line {k} of running text", 320.0, 700.0 - 14 * k) for k in range(6)]
-    drawn = [("Title across the page that is wide enough to be over both of the two columns here", 50.0, 740.0), *left, *right, ("Footer across the page that is wide enough to be over both of the two columns too", 50.0, 560.0)]
-    return [(doc, 0, k, t, x, y, 10.0, len(t) * 6.0, 0.0) for k, (t, x, y) in enumerate(reversed(drawn) if backwards else drawn)]
-
-
-_COLUMNS = (_FRAGMENT, column_page(1, False) + column_page(2, True))
-_COLUMN_TEXT = " || chr(10) || ".join("'" + t.replace("'", "''") + "'" for t in [column_page(1, False)[0][3], *[r[3] for r in column_page(1, False)[1:]]])
-_add("ord_layout_text", lambda s, d: reading.layout_text(_rows(s, *_COLUMNS)), f"SELECT CAST(d AS BIGINT) AS doc_id, 0 AS page_index, {_COLUMN_TEXT} AS text, 2 AS columns FROM (VALUES (1), (2)) v(d)")
-_add("ord_columns", lambda s, d: reading.layout_text(_rows(s, *_COLUMNS).unionByName(_rows(s, *_LINES))).select("doc_id", "page_index", "columns"))
+def column_page() -> list[tuple[str, float, float]]:
+    """(text, x, y) of a page of a title, two columns of six lines and a footer, as read; # stands for the document's number."""
+    left = [(f"Left column line {k} of running text #", 50.0, 700.0 - 14 * k) for k in range(6)]
+    right = [(f"Right column line {k} of running text #", 320.0, 700.0 - 14 * k) for k in range(6)]
+    return [("Title across the page that is wide enough to be over both of the two columns here", 50.0, 740.0), *left, *right, ("Footer across the page that is wide enough to be over both of the two columns too", 50.0, 560.0)]
+
+
+def column_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such a page for every conversation, drawn as read by odd ones, backwards by even ones."""
+    docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id")).distinct()
+    drawn = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y")) for t, x, y in column_page()])
+    runs = docs.select("doc_id", F.posexplode(F.when(F.col("doc_id") % 2 == 1, drawn).otherwise(F.reverse(drawn))).alias("frag_index", "r"))
+    text = F.replace(F.col("r.text"), F.lit("#"), F.col("doc_id").cast("string"))
+    return runs.select("doc_id", F.lit(0).alias("page_index"), "frag_index", text.alias("text"), "r.x", "r.y", F.lit(10.0).alias("font_size"), (F.length("r.text") * 6.0).alias("width"), F.lit(0.0).alias("angle"))
+
+
+_DOCS = "(SELECT DISTINCT conv_id AS d FROM conversations)"
+_COLUMN_TEXT = " || chr(10) || ".join(f"replace('{t}', '#', CAST(d AS VARCHAR))" for t, _, _ in column_page())
+_add("ord_layout_text", lambda s, d: reading.layout_text(column_pages(s, d)), f"SELECT CAST(d AS BIGINT) AS doc_id, 0 AS page_index, {_COLUMN_TEXT} AS text, 2 AS columns FROM {_DOCS}")
+_add("ord_columns", lambda s, d: reading.layout_text(column_pages(s, d).unionByName(pdf.relation(files(s, d), "fragments").select((-F.col("doc_id") - 1).alias("doc_id"), "page_index", "frag_index", "text", "x", "y", "font_size", "width", "angle"))).select("doc_id", "page_index", "columns"), f"SELECT CAST(d AS BIGINT) AS doc_id, 0 AS page_index, 2 AS columns FROM {_DOCS} UNION ALL SELECT -doc_id - 1, page_index, 1 FROM ({_READ})")
 _add("ord_arrange", lambda s, d: reading.layout_text(pdf.relation(files(s, d), "fragments")).select("doc_id", "page_index", F.length("text").cast("long").alias("n")), f"SELECT doc_id, page_index, length(text) AS n FROM ({_READ})")
 _add("ext_layout", lambda s, d: reading.layout_text(pdf.relation(files(s, d), "fragments")).select("doc_id", "page_index", "columns"), f"SELECT doc_id, page_index, 1 AS columns FROM ({_READ})")
 _add("ord_lines", lambda s, d: reading.lines(pdf.relation(files(s, d), "fragments")).groupBy("doc_id", "page_index").agg(F.countDistinct("line").alias("n_lines")), f"WITH {_PAGES} SELECT doc_id, page_index, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS n_lines FROM p WHERE length(replace(text, chr(10), '')) > 0")
-_add("ord_row_order", lambda s, d: reading.row_order(reading.lines(_rows(s, *_COLUMNS))).select("doc_id", "frag_index", "position"), "WITH f AS (SELECT CAST(d AS BIGINT) AS doc_id, CAST(k AS INT) AS frag_index, CASE WHEN d = 1 THEN k ELSE 13 - k END AS e FROM range(1, 3) a(d), range(14) b(k)) SELECT doc_id, frag_index, CAST(CASE WHEN e = 0 THEN 0 WHEN e = 13 THEN 13 WHEN e <= 6 THEN 2 * e - 1 ELSE 2 * (e - 6) END AS INT) AS position FROM f")
+_add("ord_row_order", lambda s, d: reading.row_order(reading.lines(column_pages(s, d))).select("doc_id", "frag_index", "position"), f"WITH f AS (SELECT CAST(d AS BIGINT) AS doc_id, CAST(k AS INT) AS frag_index, CASE WHEN d % 2 = 1 THEN k ELSE 13 - k END AS e FROM {_DOCS}, range(14) b(k)) SELECT doc_id, frag_index, CAST(CASE WHEN e = 0 THEN 0 WHEN e = 13 THEN 13 WHEN e <= 6 THEN 2 * e - 1 ELSE 2 * (e - 6) END AS INT) AS position FROM f")
 _add("ord_tagged_text", lambda s, d: reading.tagged_text(_rows(s, _FRAGMENT + ", rank int", [(1, 0, 0, "b", 0.0, 50.0, 10.0, 5.0, 0.0, 2), (1, 0, 1, "a", 0.0, 40.0, 10.0, 5.0, 0.0, 1), (1, 0, 2, "head", 0.0, 90.0, 10.0, 5.0, 0.0, None), (1, 0, 3, "foot", 0.0, 10.0, 10.0, 5.0, 0.0, None)])), "SELECT CAST(1 AS BIGINT) AS doc_id, 0 AS page_index, 'head' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'foot' AS text")
 _add("ord_scripts", lambda s, d: reading.raised(_rows(s, *_SCRIPTS)).select("doc_id", "frag_index", "shift"), "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'none'), (1, 1, 'super'), (1, 2, 'sub'), (1, 3, 'none')) v(doc_id, frag_index, shift)")
 _SCRIPTS = (_FRAGMENT, [(1, 0, 0, "E = mc", 0.0, 100.0, 12.0, 40.0, 0.0), (1, 0, 1, "2", 40.0, 104.0, 8.0, 4.0, 0.0), (1, 0, 2, "i", 44.0, 97.0, 8.0, 4.0, 0.0), (1, 0, 3, " done", 50.0, 100.0, 12.0, 30.0, 0.0)])
-_add("ord_text_runs", lambda s, d: reading.run_order(_rows(s, *_COLUMNS)).select("doc_id", "frag_index", "reading_index"), ORACLES["ord_row_order"].replace("AS position", "AS reading_index"))
+_add("ord_text_runs", lambda s, d: reading.run_order(column_pages(s, d)).select("doc_id", "frag_index", "reading_index"), ORACLES["ord_row_order"].replace("AS position", "AS reading_index"))
 
 
 def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
