@@ -134,8 +134,9 @@ QUERIES["pii_rule"] = lambda spark, sf_dir: d.findings(_docs(spark, sf_dir).with
 ORACLES["pii_rule"] = f"WITH {_values()}, f AS (SELECT doc_id, CAST(doc_id % 4 AS INT) AS page, regexp_extract_all(text, '(?i)licen[cs]e') AS ms FROM docs WHERE doc_id % 4 IN (0, 2)) SELECT doc_id, page, 'custom' AS rule, CAST(i AS INT) AS seq, ms[i] AS \"match\" FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f)"
 
 _PLAIN = [d.RULES[n] for n in ("email", "ssn", "ipv4", "isodate")]
-#: Every rule of the three sets, one after the other, then searched again until nothing is left.
-QUERIES["red_apply"] = lambda spark, sf_dir: d.redacted(_docs(spark, sf_dir), _SET, mask="#")[0].select("doc_id", "text")
+#: Every rule of the three sets, one after the other, then searched again until nothing is left. A separator behind a card's
+#: number, which only one engine takes for a part of it (see pii_card), is written as masked in both.
+QUERIES["red_apply"] = lambda spark, sf_dir: d.redacted(_docs(spark, sf_dir), _SET, mask="#")[0].select("doc_id", F.regexp_replace("text", "#[ -]", "##").alias("text"))
 
 
 def _masked(name: str) -> str:
@@ -153,7 +154,7 @@ def _redacted() -> str:
     sql = f"WITH {_values()}, t0 AS (SELECT doc_id, text FROM docs)"
     for k, r in enumerate(_SET):
         sql += f", t{k + 1} AS ({_masked(r.name).replace('FROM docs))', f'FROM t{k}))')})"
-    return f"{sql} SELECT doc_id, text FROM t{len(_SET)}"
+    return f"{sql} SELECT doc_id, regexp_replace(text, '#[ -]', '##', 'g') AS text FROM t{len(_SET)}"
 
 
 ORACLES["red_apply"] = _redacted()
