@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 
@@ -10,9 +11,21 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: The pre-tokenizer never joins these pieces, and splits each of them alone as it does within its text.
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _LONG = 64
+#: Letters to every version of Unicode. To the pre-tokenizer a space and a run of them is a piece, and so are the marks after it.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_WORD = re.compile(f" {_LETTERS}")
+_MARKS = string.punctuation
+_ENDED = re.compile(f" ?{_LETTERS}[{re.escape(_MARKS)}]+")
 _open: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte; with a space before it for the space."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: " " * (b == 32) + chr(256 + k) for k, b in enumerate(other)}
+
+
 class Encoder:
     """Encodes whole texts as the library does; pieces of up to 64 characters are encoded once and remembered.
 
@@ -24,9 +37,13 @@ class Encoder:
     def __init__(self, path: str, most: int = 400_000):
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words alone, already written as the vocabulary writes them.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         pre = said.get("pre_tokenizer") or {}
@@ -62,6 +79,13 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces together, with what tells them apart again: a token that starts with a space, or a line's end."""
+        words = [p for p in pieces if _WORD.fullmatch(p)]
+        if words:
+            text = "".join(words).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            first = np.nonzero(self.opens[ids])[0]
+            self._cut(words, ids, first, np.append(first[1:], len(ids)))
+            pieces = list(set(pieces).difference(words))
         for text, part in self._runs(pieces):
             if not part:
                 continue
@@ -71,13 +95,15 @@ class Encoder:
                 continue
             at = np.nonzero(self.opens[ids] if text[0] == " " else ids == self.line)[0]
             skip = text[0] != " "
-            first = np.concatenate([[0], at + 1]) if skip else at
-            last = np.append(at, len(ids)) if skip else np.append(at[1:], len(ids))
-            if len(first) != len(part):  # not the vocabulary this was made for
-                self.known.update(zip(part, self._ids(part), strict=True))
-                continue
-            raw = ids.tobytes()
-            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, first.tolist(), last.tolist(), strict=True))
+            self._cut(part, ids, np.concatenate([[0], at + 1]) if skip else at, np.append(at, len(ids)) if skip else np.append(at[1:], len(ids)))
+
+    def _cut(self, part: list[str], ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Remembers the ids from first to last of each piece."""
+        if len(first) != len(part):  # not the vocabulary this was made for
+            self.known.update(zip(part, self._ids(part), strict=True))
+            return
+        raw = ids.tobytes()
+        self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, first.tolist(), last.tolist(), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,20 +113,32 @@ class Encoder:
         pieces = [None if self._whole(t) else _PIECE.findall(t) for t in texts]
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = list(set().union(*filter(None, pieces)).difference(known))
-        if older:
-            again = [p for p in missing if p in older]
-            known.update((p, older[p]) for p in again)
-            missing = list(set(missing).difference(again))
-        for at in range(0, len(missing), 50_000):
-            self._learn(missing[at : at + 50_000])
+        known = self.known
+        missing = self._unknown(set().union(*filter(None, pieces)))
+        ended = [p for p in missing if p[-1] in _MARKS and _ENDED.fullmatch(p)]
+        stems = [p.rstrip(_MARKS) for p in ended]
+        marks = [p[len(s) :] for p, s in zip(ended, stems, strict=True)]
+        missing.difference_update(ended)
+        missing |= self._unknown({*stems, *marks})
+        new = list(missing)
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
+        known.update(zip(ended, map(bytes.__add__, map(known.__getitem__, stems), map(known.__getitem__, marks)), strict=True))
         out = [self._ids([t])[0] if some is None else b"".join(map(known.__getitem__, some)) for t, some in zip(texts, pieces, strict=True)]
-        for p in missing:
+        for p in (*new, *ended):
             if len(p) > _LONG:
                 del known[p]
         return out
 
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those of pieces that aren't remembered; what is only among those met before is taken over."""
+        pieces = pieces.difference(self.known)
+        if self.older:
+            again = [p for p in pieces if p in self.older]
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            pieces.difference_update(again)
+        return pieces
+
     def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The character spans (starts, ends) of each text's tokens. Tokens of parts of a character span the character.
 

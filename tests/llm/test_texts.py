@@ -203,6 +203,23 @@ def test_encoder_is_the_library():
         assert [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in e.offsets(part)] == [x.offsets for x in want]
 
 
+def test_encoder_learns_a_word_once(monkeypatch):
+    """Marks after a word are apart from it: the library gets each word once, whatever follows it, and the ids stay its own."""
+    rng = random.Random(21)
+    stems = ["word", "Straße", "été", "ǅabc", "x" * 70, "it's", "a1", "7", "日本", "e\u0301", "ªº", "µ", "ʰa", "a\u00adb"]
+    ends = ["", ".", ",", "...", "'", "'.", "***", "$$$", "-", "_", "\u2026", "»", ".a", "'s", "'ll,"]
+    texts = [sep.join(rng.choice(["", "", "(", "'", "«"]) + rng.choice(stems) + rng.choice(ends) for _ in range(rng.randrange(1, 40))) for sep in (" ", "  ", "\n", "\t ") for _ in range(100)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library(texts)]
+    e = Encoder(tokens.default_tokenizer(), most=30)
+    for at in range(0, len(texts), 7):
+        assert e.encode(texts[at : at + 7]) == want[at : at + 7]
+    given, learn = [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces: (given.extend(pieces), learn(self, pieces)))
+    e = Encoder(tokens.default_tokenizer())
+    e.encode(["so nebulant, nebulant. (nebulant) nebulant*** nebulant"])
+    assert sum("nebulant" in p for p in given) == 2 and " nebulant" in given
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 13 % 101, ODD[i % len(ODD)] + words(random.Random(i), i)) for i in range(60)] + [(None, "no id"), (5, None), (5, None), (-3, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x"))
