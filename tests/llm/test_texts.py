@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -220,6 +221,32 @@ def test_encoder_learns_a_word_once(monkeypatch):
     assert sum("nebulant" in p for p in given) == 2 and " nebulant" in given
 
 
+def test_encoder_looks_words_up_in_arrays(monkeypatch):
+    """Words are split from all that is around them and given to the library once, and long texts need little memory; cut and forgotten or not, ids are the library's."""
+    rng = random.Random(22)
+    some = ["word", " ", " ", "  ", "\n", "\r\n", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "é", "ß", "×", "ɏ", "ɐ", "х", "😀", "日本", "'", "'s", "-", "...", "12", "\x00", "²", "x" * 15, "y" * 16, "z" * 70]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(60))) for _ in range(400)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library(texts)]
+    for most, chars in ((1, 1), (3, 30), (1000, 1_000_000)):
+        monkeypatch.setattr("pagemill.llm.encode._CHARS", chars)
+        e = Encoder(tokens.default_tokenizer(), most)
+        for at in (0, 100, 0, 200, 300, 100):
+            assert e.encode(texts[at : at + 100]) == want[at : at + 100]
+
+    given, learn = [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces: (given.extend(pieces), learn(self, pieces)))
+    e = Encoder(tokens.default_tokenizer())
+    texts = ["nebulant nebulant-nebulant (nebulant/nebulant2) 12nebulant, x=nebulant"]
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in library(texts)]
+    assert sorted(p for p in given if "nebulant" in p) == [" nebulant", "nebulant"]
+
+    text = "ab cd, ef. " * 700_000
+    tracemalloc.start()
+    e.encode([text])
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(text)
+    tracemalloc.stop()
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 13 % 101, ODD[i % len(ODD)] + words(random.Random(i), i)) for i in range(60)] + [(None, "no id"), (5, None), (5, None), (-3, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x"))
