@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -422,6 +423,27 @@ def _count(x: float) -> int:
     return 0 if math.isnan(x) else max(0, int(min(x, 1e9)))
 
 
+def remembered(parse):
+    """parse, with what it gave for the last 1,024 sources, or its error, kept: forms of one make share their scripts."""
+    @lru_cache(1024)
+    def known(source: str):
+        try:
+            return parse(source), None
+        except ScriptError as e:
+            return None, str(e)
+
+    def get(source: str) -> list[tuple]:
+        statements, error = known(source)
+        if error is not None:
+            raise ScriptError(error)
+        return statements
+
+    return get
+
+
+_statements = remembered(parse)
+
+
 def interpret(source: str, values: dict[str, object]):
     """Runs any script over one row's values; returns its last value and the values after it. A loop of over 100,000 rounds is an error."""
     names = {k: float(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in values.items()}
@@ -488,7 +510,7 @@ def interpret(source: str, values: dict[str, object]):
             p, q = _text(a), _text(b)
         return {"==": p == q, "<>": p != q, "<": p < q, ">": p > q, "<=": p <= q, ">=": p >= q}[op]
 
-    return run(parse(source)), names
+    return run(_statements(source)), names
 
 
 def _call(name, args):

@@ -29,6 +29,13 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into as many tasks as a shuffle has (four a core at least), however few files, row groups or bytes its rows come from: for rows that are small but take Python long."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def merge_index(xref: DataFrame) -> DataFrame:
     """The entry that counts for each (doc, object): the newest revision's, its hybrid section before its table; free entries shadow older ones.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import codecs, der, fonts, geometry, images
-from pagemill.operators import authoring
+from pagemill.operators import authoring, objects
 from pagemill.sources import pdf, writer, xfa
 
 QUERIES: dict = {}
@@ -34,7 +34,7 @@ _TEMPLATE = """<?xml version="1.0"?><template xmlns="http://www.xfa.org/schema/x
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, template, data): a template for every customer, and data that change every third one's base."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = objects.dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), "c_custkey")
     data = F.when(F.col("c_custkey") % 3 == 0, F.format_string("<datasets><data><form1><money><Base>%d</Base></money></form1></data></datasets>", F.col("c_custkey") + 1000))
     return c.select(F.col("c_custkey").alias("doc_id"), F.format_string(_TEMPLATE.replace("%", "%"), "c_name", "c_custkey").alias("template"), data.alias("data"))
 
