@@ -112,8 +112,12 @@ def _der(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("cry_asn1", _der, "SELECT o_orderkey, depth, tag, CAST(CASE tag WHEN 'SEQUENCE' THEN 2 + n + 2 + length(o_orderstatus) WHEN 'INTEGER' THEN n ELSE length(o_orderstatus) END AS INT) AS size, CASE tag WHEN 'INTEGER' THEN CAST(o_orderkey AS VARCHAR) WHEN 'UTF8String' THEN o_orderstatus END AS value FROM (SELECT *, CASE WHEN o_orderkey < 128 THEN 1 WHEN o_orderkey < 32768 THEN 2 WHEN o_orderkey < 8388608 THEN 3 WHEN o_orderkey < 2147483648 THEN 4 ELSE 5 END AS n FROM orders), (VALUES (0, 'SEQUENCE'), (1, 'INTEGER'), (1, 'UTF8String')) v(depth, tag)")
 
 
-def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part as a small picture in both formats and back: (p_partkey, format, width, height, first, last, alike)."""
+def _parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return objects.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *columns), "p_partkey")
+
+
+def _pictures(spark: SparkSession, sf_dir: str, compared: bool = False) -> DataFrame:
+    """Every part as a small picture in both formats and back: (p_partkey, format, width, height, first, last, alike); alike is null where pictures aren't compared."""
     def run(batches):
         for batch in batches:
             out = []
@@ -122,10 +126,10 @@ def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
                 frame = images.Frame((np.arange(wide * size * 3) * 7 % 251).astype(np.uint8).reshape(size, wide, 3))
                 for kind, to, back in (("png", images.encode_png, images.decode_png), ("bmp", images.encode_bmp, images.decode_bmp)):
                     got = back(to(frame))
-                    out.append((key, kind, *got.size[:2], int(got.samples.ravel()[0]), int(got.samples.ravel()[-1]), round(images.alike(frame, got), 9)))
+                    out.append((key, kind, *got.size[:2], int(got.samples.ravel()[0]), int(got.samples.ravel()[-1]), round(images.alike(frame, got), 9) if compared else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["p_partkey", "format", "width", "height", "first", "last", "alike"])
 
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, format string, width int, height int, first int, last int, alike double")
+    return _parts(spark, sf_dir, "p_size").mapInArrow(run, "p_partkey long, format string, width int, height int, first int, last int, alike double")
 
 
 def _straight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +145,7 @@ def _straight(spark: SparkSession, sf_dir: str) -> DataFrame:
                 off.append(int(np.abs(got.samples[..., 0].astype(int) - want).max()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(off, pa.int32())], ["p_partkey", "off"])
 
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, off int")
+    return _parts(spark, sf_dir, "p_size").mapInArrow(run, "p_partkey long, off int")
 
 
 _add("img_perspective", _straight, "SELECT p_partkey, 0 AS off FROM part")
@@ -158,7 +162,7 @@ FROM (SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(coalesce(
 _SIZES = "FROM (SELECT p_partkey, CAST(p_partkey % 13 + 1 AS INT) AS width, p_size AS height FROM part), (VALUES ('png'), ('bmp')) v(format)"
 _add("src_image_decode", lambda s, d: _pictures(s, d).drop("alike"), f"SELECT p_partkey, format, width, height, 0 AS first, CAST((CAST(width AS BIGINT) * height * 3 - 1) * 7 % 251 AS INT) AS last {_SIZES}")
 _add("sink_image_encode", lambda s, d: _pictures(s, d).groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("width") * F.col("height")).alias("pixels")), f"SELECT format, count(*) AS n, CAST(sum(width * height) AS BIGINT) AS pixels {_SIZES} GROUP BY format")
-_add("fn_ssim", lambda s, d: _pictures(s, d).select("p_partkey", "format", "alike"), f"SELECT p_partkey, format, 1.0::DOUBLE AS alike {_SIZES}")
+_add("fn_ssim", lambda s, d: _pictures(s, d, True).select("p_partkey", "format", "alike"), f"SELECT p_partkey, format, 1.0::DOUBLE AS alike {_SIZES}")
 
 
 def _fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +176,7 @@ def _fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((key, len(face.glyphs), face.width(text or ""), face.names[1]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.string()))], ["p_partkey", "glyphs", "width", "family"])
 
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").mapInArrow(run, "p_partkey long, glyphs int, width double, family string")
+    return _parts(spark, sf_dir, "p_name").mapInArrow(run, "p_partkey long, glyphs int, width double, family string")
 
 
 _add("src_font_programs", _fonts, "SELECT p_partkey, CAST(len(list_distinct(string_split(p_name, ''))) AS INT) AS glyphs, CAST(list_sum(list_transform(string_split(p_name, ''), lambda c: 300 + unicode(c))) AS DOUBLE) / 2 AS width, 'Part ' || p_partkey AS family FROM part")
@@ -185,13 +189,15 @@ def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             made = [writer.image_document([images.Frame(np.full((size, key % 13 + 1, 3), key % 256, np.uint8))], 36.0) for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "doc_id long, content binary")
+    return _parts(spark, sf_dir, "p_size").mapInArrow(run, "doc_id long, content binary")
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _image_files(spark, sf_dir)
-    size = pdf.relation(files, "doc_pages").select("doc_id", F.element_at("media_box", 3).alias("width"), F.element_at("media_box", 4).alias("height"))
-    return pdf.relation(files, "ops").where("kind = 'image'").select("doc_id", "page_index", "x0", "y0", "x1", "y1").join(size, "doc_id")
+    both = pdf.relations(_image_files(spark, sf_dir), ["doc_pages", "ops"])
+    box, place = F.col("doc_pages.media_box"), F.struct(*[f"ops.{c}" for c in ("x0", "y0", "x1", "y1")])
+    pages = both.where("doc_pages IS NOT NULL OR ops.kind = 'image'").groupBy("doc_id", F.coalesce("doc_pages.page_index", "ops.page_index").alias("page_index"))
+    placed = pages.agg(F.collect_list(F.when(F.col("ops").isNotNull(), place)).alias("p"), F.max(F.struct(F.element_at(box, 3).alias("width"), F.element_at(box, 4).alias("height"))).alias("s"))
+    return placed.select("doc_id", "page_index", F.explode("p").alias("p"), "s").select("doc_id", "page_index", "p.*", "s.*")
 
 
 _add("sink_image_to_pdf", _placed, "SELECT p_partkey AS doc_id, 0 AS page_index, 36.0::DOUBLE AS x0, 36.0::DOUBLE AS y0, 36.0::DOUBLE + p_partkey % 13 + 1 AS x1, 36.0::DOUBLE + p_size AS y1, 72.0::DOUBLE + p_partkey % 13 + 1 AS width, 72.0::DOUBLE + p_size AS height FROM part")

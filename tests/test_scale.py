@@ -27,3 +27,11 @@ def test_odd_references(spark):
     asked = spark.createDataFrame([(1, "x", None, 7), (1, "a.x.rawValue", "f", 8), (1, "b.x", "f", 9), (1, None, "f.a", 1), (1, "no", None, 2), (2, "f", None, 3), (None, "x", None, 4), (1, "$form.f.x", None, 5)], "doc_id long, ref string, context string, more int")
     out = {r.more: (r.doc_id, r.found, r.how) for r in xfa.resolved(asked, nodes).collect()}
     assert out == {7: (1, "f.a.x", "subform"), 8: (1, "f.a.x", "context"), 9: (1, "f.a.x", "leaf"), 1: (1, "f.a", "context"), 2: (1, None, None), 3: (2, None, None), 4: (None, None, None), 5: (1, "f.x", "root")}
+
+
+def test_pictures_are_dealt_to_tasks(spark):
+    assert tasks(forms.QUERIES["src_image_decode"](spark, oracle.SF)) >= 4
+
+
+def test_image_files_are_made_and_read_once(spark):
+    assert plan(forms.QUERIES["sink_image_to_pdf"](spark, oracle.SF)).count("MapInArrow") == 2
