@@ -35,3 +35,15 @@ def test_pictures_are_dealt_to_tasks(spark):
 
 def test_image_files_are_made_and_read_once(spark):
     assert plan(forms.QUERIES["sink_image_to_pdf"](spark, oracle.SF)).count("MapInArrow") == 2
+
+
+def test_pictures_are_compared_by_blocks_of_all_sizes():
+    """Edges that are no whole block count as one: the mean over blocks, each by itself."""
+    import numpy as np
+
+    from pagemill.functions.images import Frame, alike
+
+    made = np.random.default_rng(3)
+    a, b = (made.integers(0, 256, (19, 11, 3)).astype(np.uint8) for _ in range(2))
+    each = [alike(Frame(a[i : i + 8, j : j + 8]), Frame(b[i : i + 8, j : j + 8])) for i in (0, 8, 16) for j in (0, 8)]
+    assert abs(alike(Frame(a), Frame(b)) - sum(each) / 6) < 1e-12 and alike(Frame(a), Frame(a)) == 1
