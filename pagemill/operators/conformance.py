@@ -13,26 +13,28 @@ HIDDEN = 2 | 32
 def findings(files: DataFrame) -> DataFrame:
     """(doc_id, rule, n): how often a document breaks each rule; rules it keeps have no row, nor do files that can't be read.
 
-    Every relation is read in a pass of its own over the files; only counts per document and rule are shuffled.
+    Every file is opened once; only counts per document and rule are shuffled.
     """
-    def rows(what: str, rule, condition) -> DataFrame:
-        return pdf.relation(files, what).where(condition).select("doc_id", (rule if not isinstance(rule, str) else F.lit(rule)).alias("rule"), F.lit(1).alias("one"))
-
-    value = F.col("value")
+    value, active, note = F.col("objects.value"), F.col("active.category"), F.col("annotations")
     kind = F.get_json_object(value, "$.Type")
-    broken = [
-        rows("documents", "encrypted", F.col("encrypted")),
-        rows("objects", "lzw", F.coalesce(F.get_json_object(value, "$.Filter"), F.lit("")).contains("LZW")),
-        rows("active", F.col("category"), F.col("category").isin("javascript", "attachment")),
-        rows("layers", "layers", F.lit(True)),
-        rows("fonts", "font-not-embedded", ~F.col("embedded")),
-        rows("annotations", "annotation-without-appearance", ~F.col("appearance") & ~F.col("subtype").isin("Popup", "Link")),
-        rows("annotations", "annotation-hidden", F.col("flags").bitwiseAND(HIDDEN) != 0),
-        rows("ops", "transparency", F.col("alpha") < 1),
-    ]
-    said = pdf.relation(files, "objects").groupBy("doc_id").agg(F.bool_or(F.coalesce(kind == "/Metadata", F.lit(False))).alias("metadata"), F.bool_or(F.coalesce((kind == "/Catalog") & F.get_json_object(value, "$.OutputIntents").isNotNull(), F.lit(False))).alias("intent"))
-    lacks = F.filter(F.array(F.when(~F.col("metadata"), "no-metadata"), F.when(~F.col("intent"), "no-output-intent")), lambda x: x.isNotNull())
-    out = said.select("doc_id", F.explode(lacks).alias("rule"), F.lit(1).alias("one"))
-    for part in broken:
-        out = out.unionByName(part)
-    return out.groupBy("doc_id", "rule").agg(F.sum("one").alias("n"))
+    metadata = kind == "/Metadata"
+    intent = (kind == "/Catalog") & F.get_json_object(value, "$.OutputIntents").isNotNull()
+    broken = F.array(
+        F.when(F.col("documents.encrypted"), "encrypted"),
+        F.when(F.get_json_object(value, "$.Filter").contains("LZW"), "lzw"),
+        F.when(active.isin("javascript", "attachment"), active),
+        F.when(F.col("layers").isNotNull(), "layers"),
+        F.when(~F.col("fonts.embedded"), "font-not-embedded"),
+        F.when(~note["appearance"] & ~note["subtype"].isin("Popup", "Link"), "annotation-without-appearance"),
+        F.when(note["flags"].bitwiseAND(HIDDEN) != 0, "annotation-hidden"),
+        F.when(F.col("ops.alpha") < 1, "transparency"),
+        # Not rules: that a document was read, and what it has.
+        F.when(value.isNotNull(), ""), F.when(metadata, "+no-metadata"), F.when(intent, "+no-output-intent"),
+    )
+    rows = pdf.relations(files, ["documents", "objects", "active", "layers", "fonts", "annotations", "ops"])
+    out = rows.select("doc_id", F.explode(F.array_compact(broken)).alias("rule")).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    has = out.groupBy("doc_id").agg(F.collect_list(F.struct("rule", "n")).alias("_r"))
+    names = F.transform("_r", lambda r: r["rule"])
+    lacks = F.transform(F.filter(F.array(F.lit("no-metadata"), F.lit("no-output-intent")), lambda r: F.array_contains(names, "") & ~F.array_contains(names, F.concat(F.lit("+"), r))), lambda r: F.struct(r.alias("rule"), F.lit(1).cast("long").alias("n")))
+    kept = F.filter("_r", lambda r: (r["rule"] != "") & ~r["rule"].startswith("+"))
+    return has.select("doc_id", F.explode(F.concat(kept, lacks)).alias("r")).select("doc_id", "r.rule", "r.n")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.functions import codecs, paths
-from pagemill.operators import pages, reading
+from pagemill.operators import objects, pages, reading
 from pagemill.plans.structure import _rows
 from pagemill.sources import pdf, writer
 
@@ -29,7 +29,7 @@ _PAGES = "p AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY c
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    t = objects.dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
     return t.select(F.col("conv_id").alias("doc_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill.sources.pdf import Name, Pdf, Ref, Stream
 
@@ -12,6 +16,11 @@ class Raw(bytes):
     """Document syntax that is written as it is."""
 
 
+@lru_cache(4096)
+def _named(value: str) -> bytes:
+    return b"/" + b"".join(bytes((c,)) if 33 <= c <= 126 and c not in b"()<>[]{}/%#" else b"#%02X" % c for c in value.encode("latin-1"))
+
+
 def serialize(value) -> bytes:
     """One object in document syntax."""
     if isinstance(value, Raw):
@@ -21,7 +30,7 @@ def serialize(value) -> bytes:
     if isinstance(value, bool):
         return b"true" if value else b"false"
     if isinstance(value, Name):
-        return b"/" + b"".join(bytes((c,)) if 33 <= c <= 126 and c not in b"()<>[]{}/%#" else b"#%02X" % c for c in value.encode("latin-1"))
+        return _named(value) if len(value) <= 64 else _named.__wrapped__(value)
     if isinstance(value, Ref):
         return b"%d %d R" % value
     if isinstance(value, int):
@@ -106,21 +115,27 @@ def image_document(frames: list, margin: float = 0.0, scale: float = 1.0) -> byt
     return write(objects, 1)
 
 
-def documents_of(pages: DataFrame, doc: str = "doc_id", page: str = "page_index", text: str = "text") -> DataFrame:
-    """(doc_id, content): each document's pages written as one file, in one task per document."""
+def each_written(pages: DataFrame, make: Callable[[object, list], bytes], doc: str = "doc_id", page: str = "page_index", text: str = "text") -> DataFrame:
+    """(doc_id, content): make(document, its pages' texts in order), one file at a time."""
     kind = pages.schema[doc].dataType.simpleString()
+    listed = pages.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda x: x[text]).alias("_t"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(page)
-        return pd.DataFrame({"doc_id": [pdf[doc].iloc[0]], "content": [text_document([t or "" for t in pdf[text]])]})
+    def run(batches):
+        for batch in batches:
+            for number, texts in zip(batch.column(0), batch.column(1), strict=True):
+                content = make(number.as_py(), [t or "" for t in texts.as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], batch.schema.field(0).type), pa.array([content], pa.binary())], ["doc_id", "content"])
 
-    return pages.select(doc, page, text).groupBy(doc).applyInPandas(one, f"doc_id {kind}, content binary")
+    return listed.select(doc, "_t").mapInArrow(run, f"doc_id {kind}, content binary")
+
+
+def documents_of(pages: DataFrame, doc: str = "doc_id", page: str = "page_index", text: str = "text") -> DataFrame:
+    """(doc_id, content): each document's pages written as one file, in one task per document."""
+    return each_written(pages, lambda _, texts: text_document(texts), doc, page, text)
 
 
 def svg_of(shapes: DataFrame) -> DataFrame:
     """(doc_id, page_index, svg) of (doc_id, page_index, z, kind, x, y, width, height, text, fill): rectangles and texts, in their order."""
-    from pyspark.sql import functions as F
-
     safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     rect = F.format_string('<rect x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="%s"/>', "x", "y", "width", "height", F.coalesce("fill", F.lit("none")))
     label = F.concat(F.format_string('<text x="%.2f" y="%.2f">', "x", "y"), safe, F.lit("</text>"))

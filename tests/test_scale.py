@@ -47,3 +47,20 @@ def test_pictures_are_compared_by_blocks_of_all_sizes():
     a, b = (made.integers(0, 256, (19, 11, 3)).astype(np.uint8) for _ in range(2))
     each = [alike(Frame(a[i : i + 8, j : j + 8]), Frame(b[i : i + 8, j : j + 8])) for i in (0, 8, 16) for j in (0, 8)]
     assert abs(alike(Frame(a), Frame(b)) - sum(each) / 6) < 1e-12 and alike(Frame(a), Frame(a)) == 1
+
+
+def test_findings_open_each_file_once(spark):
+    for name, steps in (("qa_pdfa", 2), ("sink_pdfa", 3)):
+        assert plan(casebook.QUERIES[name](spark, oracle.SF)).count("MapInArrow") == steps
+
+
+def test_relations_are_those_of_one_each(spark):
+    files = content.files(spark, oracle.SF).limit(5).unionByName(spark.createDataFrame([(-1, bytearray(b"none"))], "doc_id long, content binary"))
+    from pagemill.sources import pdf
+
+    names = ["doc_pages", "documents", "fragments"]
+    rows = pdf.relations(files, names).localCheckpoint()
+    for n in names:
+        one = pdf.relation(files, n)
+        got = rows.where(F.col(n).isNotNull()).select("doc_id", f"{n}.*")
+        assert got.columns == one.columns and sorted(map(str, got.collect())) == sorted(map(str, one.collect()))
