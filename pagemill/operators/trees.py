@@ -10,8 +10,8 @@ DEEPEST = 1024
 
 
 def _recursive(df: DataFrame, sql: str) -> DataFrame:
-    """Runs SQL over df as {t}, in a session whose limits on recursion are these queries' own."""
-    spark = df.sparkSession
+    """Runs SQL over df as {t}, in a session whose limits on recursion are these queries' own. df is written first: every level reads it anew."""
+    spark, df = df.sparkSession, settled(df)
     wanted = {"spark.sql.cteRecursionLevelLimit": str(DEEPEST), "spark.sql.cteRecursionRowLimit": "-1"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for key, value in wanted.items():

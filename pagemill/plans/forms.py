@@ -184,10 +184,12 @@ _add("src_font_programs", _fonts, "SELECT p_partkey, CAST(len(list_distinct(stri
 
 def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a picture on a page of its own: (doc_id, content)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary())])
+
     def run(batches):
         for batch in batches:
-            made = [writer.image_document([images.Frame(np.full((size, key % 13 + 1, 3), key % 256, np.uint8))], 36.0) for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
+            made = ((key, writer.image_document([images.Frame(np.full((size, key % 13 + 1, 3), key % 256, np.uint8))], 36.0)) for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield from pdf.in_batches(made, schema)
 
     return _parts(spark, sf_dir, "p_size").mapInArrow(run, "doc_id long, content binary")
 

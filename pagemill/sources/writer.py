@@ -8,8 +8,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pagemill.sources.pdf import Name, Pdf, Ref, Stream
+from pagemill.sources.pdf import Name, Pdf, Ref, Stream, in_batches
 
 
 class Raw(bytes):
@@ -120,12 +121,15 @@ def each_written(pages: DataFrame, make: Callable[[object, list], bytes], doc: s
     kind = pages.schema[doc].dataType.simpleString()
     listed = pages.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda x: x[text]).alias("_t"))
 
-    def run(batches):
+    def each(batches):
         for batch in batches:
             for number, texts in zip(batch.column(0), batch.column(1), strict=True):
-                content = make(number.as_py(), [t or "" for t in texts.as_py()])
-                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], batch.schema.field(0).type), pa.array([content], pa.binary())], ["doc_id", "content"])
+                yield number.as_py(), make(number.as_py(), [t or "" for t in texts.as_py()])
+
+    def run(batches):
+        return in_batches(each(batches), schema)
 
+    schema = pa.schema([("doc_id", to_arrow_type(pages.schema[doc].dataType)), ("content", pa.binary())])
     return listed.select(doc, "_t").mapInArrow(run, f"doc_id {kind}, content binary")
 
 
