@@ -71,3 +71,17 @@ def test_what_a_file_says_of_its_length_never_fits():
     roles = ["user", "assistant"]
     by_chance = [d for d in range(2000, 6000, 2) if len(casebook.case_file(d, roles)) in (d, d + 1)]
     assert by_chance and all(len(casebook.case_file(d, roles)) != d for d in by_chance)
+
+
+def test_scripts_are_parsed_once():
+    """Forms share their scripts; the last sources' statements and errors are kept."""
+    import pytest
+
+    for engine in (formcalc, jsengine):
+        calls = []
+        known = formcalc.remembered(lambda s, p=engine.parse: calls.append(s) or p(s))
+        assert known("1 + 1;") is known("1 + 1;") and len(calls) == 1
+        for _ in range(2):
+            with pytest.raises(formcalc.ScriptError):
+                known("x = ((")
+        assert len(calls) == 2
