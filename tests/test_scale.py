@@ -85,3 +85,7 @@ def test_scripts_are_parsed_once():
             with pytest.raises(formcalc.ScriptError):
                 known("x = ((")
         assert len(calls) == 2
+
+
+def test_templates_are_dealt_to_tasks(spark):
+    assert tasks(forms.templates(spark, oracle.SF)) >= 4
