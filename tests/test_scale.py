@@ -89,3 +89,21 @@ def test_scripts_are_parsed_once():
 
 def test_templates_are_dealt_to_tasks(spark):
     assert tasks(forms.templates(spark, oracle.SF)) >= 4
+
+
+def test_trees_read_their_input_once(spark, tmp_path):
+    """Each level of the recursion ran the Python that made its input anew."""
+    from pagemill.operators import trees
+
+    seen = str(tmp_path / "seen")
+
+    def told(batches):
+        for batch in batches:
+            with open(seen, "a") as f:
+                f.write("x" * len(batch))
+            yield batch
+
+    ddl = "doc_id long, field_id int, parent_id int, ordinal int, partial_name string, type string, flags int, max_len int"
+    rows = spark.createDataFrame([(1, 0, None, 0, "a", "Tx", 0, None), (1, 1, 0, 0, "b", None, None, None), (1, 2, 1, 0, "c", None, None, None)], ddl)
+    assert sorted(r.full_name for r in trees.form_fields(rows.mapInPandas(told, ddl)).collect()) == ["a", "a.b", "a.b.c"]
+    assert len(open(seen).read()) == 3
