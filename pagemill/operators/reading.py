@@ -7,14 +7,20 @@ line, shrinking common gaps), so they run per page in Python over Arrow batches;
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from pagemill.operators.objects import dealt
+
 KEYS = ["doc_id", "page_index"]
+AT_ONCE = 4096  # rows that Python makes before they go on
 # Shares of the text size, or plain counts, that decide what is a line, a gap, a column.
 TURN, LINE, GAP = 2.0, 0.5, 0.3
 GUTTER_EM, LEAST_GUTTER, MOST_COLUMNS, COLUMN_EM = 1.0, 4.0, 3, 10.0
@@ -240,19 +246,31 @@ def written(ordered: list[list]) -> str:
 
 
 def _per_page(fragments: DataFrame, schema: str, make) -> DataFrame:
-    columns = [*KEYS, "frag_index", "text", "x", "y", "font_size", "width", "angle"]
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        return make(list(pdf.sort_values("frag_index").itertuples(index=False)))
-
-    return fragments.select(*columns).groupBy(*KEYS).applyInPandas(page, schema)
+    rest = ["frag_index", "text", "x", "y", "font_size", "width", "angle"]
+    kind = namedtuple("Piece", [*KEYS, *rest])
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    pages = dealt(fragments.select(*KEYS, *rest), *KEYS).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("_f"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, page, pieces in zip(*batch.columns, strict=True):
+                columns = [pieces.values.field(k) for k in range(len(rest))]
+                columns = [c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in columns]  # null numbers as NaN
+                rows += make([kind(doc.as_py(), page.as_py(), *r) for r in zip(*columns, strict=True)])
+                if len(rows) >= AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    return pages.mapInArrow(run, schema)
 
 
 def lines(fragments: DataFrame) -> DataFrame:
     """Each fragment's line: (doc_id, page_index, frag_index, line, line_y, along), lines numbered by arrival."""
     def make(fs):
-        rows = [(f.doc_id, f.page_index, f.frag_index, k, x.items[0].y, along(f, x.angle)) for k, x in enumerate(gather(fs)) for f in x.items]
-        return pd.DataFrame(rows, columns=[*KEYS, "frag_index", "line", "line_y", "along"])
+        return [(f.doc_id, f.page_index, f.frag_index, k, x.items[0].y, along(f, x.angle)) for k, x in enumerate(gather(fs)) for f in x.items]
 
     return _per_page(fragments, "doc_id long, page_index int, frag_index int, line int, line_y double, along double", make)
 
@@ -261,7 +279,7 @@ def layout_text(fragments: DataFrame) -> DataFrame:
     """(doc_id, page_index, text, columns) in layout order: columns where the page has them, else rows. columns: the most of any band."""
     def make(fs):
         found = gather(fs)
-        return pd.DataFrame([(fs[0].doc_id, fs[0].page_index, written(arrange(found)), max(len(b.cuts) + 1 for b in bands(found)))], columns=[*KEYS, "text", "columns"])
+        return [(fs[0].doc_id, fs[0].page_index, written(arrange(found)), max(len(b.cuts) + 1 for b in bands(found)))]
 
     return _per_page(fragments, "doc_id long, page_index int, text string, columns int", make)
 

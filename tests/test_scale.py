@@ -117,3 +117,8 @@ def test_changed_files_are_made_once(spark):
 
 def test_files_are_signed_as_they_are_written(spark):
     assert plan(casebook.QUERIES["sig_verify"](spark, oracle.SF)).count("MapInArrow") == 3
+
+
+def test_pages_are_laid_out_without_data_frames(spark):
+    said = plan(content.QUERIES["ord_arrange"](spark, oracle.SF))
+    assert "FlatMapGroupsInPandas" not in said
