@@ -161,11 +161,19 @@ def header_footer(pages: DataFrame, slots: dict[str, Column]) -> DataFrame:
 
 def overlay(content: DataFrame, stamps: DataFrame, below: bool = False, doc: str = DOC, page: str = PAGE) -> DataFrame:
     """Stamps (doc, page, payload) as content rows (doc, page, z, payload), before or after what each page has."""
-    edge = content.groupBy(doc, page).agg((F.min("z") if below else F.max("z")).alias("_edge"))
-    seq = F.row_number().over(Window.partitionBy(doc, page).orderBy("payload"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(doc, page)).cast("int")
-    placed = stamps.join(edge, [doc, page], "left").withColumn("_e", F.coalesce("_edge", F.lit(0)))
-    return content.unionByName(placed.select(doc, page, (F.col("_e") - n - 1 + seq if below else F.col("_e") + seq).alias("z"), "payload"))
+    rows = content.select(doc, page, "z", "payload", F.lit(False).alias("stamped")).unionByName(stamps.select(doc, page, F.lit(None).cast("int").alias("z"), "payload", F.lit(True).alias("stamped")))
+    return overlaid(rows, below, doc, page)
+
+
+def overlaid(rows: DataFrame, below: bool = False, doc: str = DOC, page: str = PAGE) -> DataFrame:
+    """Content and stamps in one relation (doc, page, z, payload, stamped; stamps without z) as content rows. One shuffle; a page is a bounded group."""
+    whole = Window.partitionBy(doc, page)
+    edge = F.when(F.col(doc).isNotNull() & F.col(page).isNotNull(), (F.min("z") if below else F.max("z")).over(whole))
+    seq = F.row_number().over(Window.partitionBy(doc, page, "stamped").orderBy("payload"))
+    n = F.count_if("stamped").over(whole).cast("int")
+    placed = rows.select(doc, page, "z", "payload", "stamped", F.coalesce(edge, F.lit(0)).alias("_e"), seq.alias("_s"), n.alias("_n"))
+    z = F.col("_e") - F.col("_n") - 1 + F.col("_s") if below else F.col("_e") + F.col("_s")
+    return placed.select(doc, page, F.when(F.col("stamped"), z).otherwise(F.col("z")).alias("z"), "payload")
 
 
 def remove_stamp(content: DataFrame, stamp: str, column: str = "stamp") -> DataFrame:

@@ -44,9 +44,11 @@ _add("set_stamp_remove", lambda s, d: pages.remove_stamp(_content(s, d), "draft"
 
 def _flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes that are to be seen, drawn over what their page has."""
-    seen = structure.annotation_mode(pdf.relation(casebook.cases(spark, sf_dir), "annotations"), "view")
-    drawn = seen.select("doc_id", "page_index", F.concat_ws(":", F.lpad(F.col("ordinal").cast("string"), 9, "0"), "subtype").alias("payload"))
-    return pages.overlay(_content(spark, sf_dir).drop("stamp"), drawn)
+    both = pdf.relations(casebook.cases(spark, sf_dir), ["ops", "annotations"])
+    note = F.col("annotations")
+    drawn = F.concat_ws(":", F.lpad(note["ordinal"].cast("string"), 9, "0"), note["subtype"])
+    rows = both.select("doc_id", F.coalesce("ops.page_index", "annotations.page_index").alias("page_index"), F.col("ops.seq").alias("z"), F.coalesce("ops.op", drawn).alias("payload"), note.isNotNull().alias("stamped"), F.coalesce(note["flags"], F.lit(0)).alias("flags"))
+    return pages.overlaid(structure.annotation_mode(rows, "view").drop("flags"))
 
 
 _add("set_flatten_annots", _flattened, f"{_C}, {casebook._NOTES} SELECT doc_id, k AS page_index, z, payload FROM c UNION ALL SELECT a.doc_id, a.k, CAST(top + row_number() OVER (PARTITION BY a.doc_id, a.k ORDER BY ordinal) AS INT), '00000000' || ordinal || ':' || subtype FROM a JOIN e USING (doc_id, k) WHERE flags & 34 = 0")

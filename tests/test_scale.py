@@ -122,3 +122,11 @@ def test_files_are_signed_as_they_are_written(spark):
 def test_pages_are_laid_out_without_data_frames(spark):
     said = plan(content.QUERIES["ord_arrange"](spark, oracle.SF))
     assert "FlatMapGroupsInPandas" not in said
+
+
+def test_stamps_go_on_pages_in_one_pass(spark):
+    from pagemill.plans import layout
+
+    for name in ("set_overlay", "set_flatten_annots"):
+        said = plan(layout.QUERIES[name](spark, oracle.SF))
+        assert said.count("MapInArrow") == 2 and "Join" not in said
