@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,20 +53,42 @@ def script_of(c: str) -> str:
     return name if name and name not in ("Combining", "Modifier", "Feminine", "Masculine") else "Common"
 
 
+class _Codes(dict):
+    """Characters' scripts as single characters, for str.translate: "\\0" is Common, the others stand in `names`."""
+
+    def __init__(self):
+        super().__init__()
+        self.names, self.of = ["Common"], {"Common": 0}
+
+    def __missing__(self, c: int) -> str:
+        script = script_of(chr(c))
+        if script not in self.of:
+            self.of[script] = len(self.names)
+            self.names.append(script)
+        self[c] = chr(self.of[script])
+        return self[c]
+
+
+_CODES = _Codes()
+
+
+@lru_cache(1024)
+def _run_of(code: str):
+    return re.compile(f"[\0{re.escape(code)}]*")
+
+
+def _runs(text: str | None) -> list[dict]:
+    codes = (text or "").translate(_CODES)
+    runs, at, lead = [], 0, len(codes) - len(codes.lstrip("\0"))
+    while at < len(codes):
+        code = codes[max(at, lead)] if lead < len(codes) else "\0"
+        end = _run_of(code).match(codes, at).end()
+        runs.append({"start": at, "length": end - at, "script": _CODES.names[ord(code)]})
+        at = end
+    return runs
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("script", T.StringType())])))
 def script_runs(texts: pd.Series) -> pd.Series:
     """Runs of one script; common characters go with the run before them (leading ones with the one after)."""
-    def one(t: str | None):
-        runs: list[dict] = []
-        for i, c in enumerate(t or ""):
-            s = script_of(c)
-            if runs and (s == "Common" or s == runs[-1]["script"]):
-                runs[-1]["length"] += 1
-            elif runs and runs[-1]["script"] == "Common":
-                runs[-1]["length"] += 1
-                runs[-1]["script"] = s
-            else:
-                runs.append({"start": i, "length": 1, "script": s})
-        return runs
-
-    return texts.map(one)
+    return texts.map(_runs)

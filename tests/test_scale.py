@@ -130,3 +130,16 @@ def test_stamps_go_on_pages_in_one_pass(spark):
     for name in ("set_overlay", "set_flatten_annots"):
         said = plan(layout.QUERIES[name](spark, oracle.SF))
         assert said.count("MapInArrow") == 2 and "Join" not in said
+
+
+def test_script_runs_take_no_time_by_character():
+    """Runs of odd texts, and a long one in a moment."""
+    import time
+
+    from pagemill.functions import paths
+
+    assert paths._runs("..a b. бв .") == [{"start": 0, "length": 7, "script": "Latin"}, {"start": 7, "length": 4, "script": "Cyrillic"}]
+    assert paths._runs(" ..") == [{"start": 0, "length": 3, "script": "Common"}] and paths._runs(None) == paths._runs("") == []
+    began = time.process_time()
+    assert len(paths._runs("Ein Wort, und слово. " * 100_000)) == 200_000
+    assert time.process_time() - began < 3
