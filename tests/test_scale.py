@@ -143,3 +143,13 @@ def test_script_runs_take_no_time_by_character():
     began = time.process_time()
     assert len(paths._runs("Ein Wort, und слово. " * 100_000)) == 200_000
     assert time.process_time() - began < 3
+
+
+def test_codecs_take_rows_one_by_one():
+    """A batch's values were all Python's at once."""
+    from pyspark.util import PythonEvalType
+
+    from pagemill.functions import codecs
+
+    assert codecs.chain.evalType == codecs.deflate.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert codecs.hex_decode(b"4 1\n4zg2>5") == b"AB" and codecs.hex_decode(b"4") == b"@"
